@@ -198,7 +198,9 @@ def tokenise(docs: DataFrame, held_out: Column) -> DataFrame:
 
         chunk = TaskContext.get().partitionId() << 32
         for batch in regroup(batches, "text", CHUNK_BYTES):
-            lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column(2).cast(pa.large_string())))
+            # lowered in Python: Arrow's ascii_lower misreads slices of longer arrays
+            lowered = pa.array([t.encode().lower() for t in batch.column(2).to_pylist()], pa.large_binary())
+            lists = pc.ascii_split_whitespace(lowered.cast(pa.large_string()))
             offsets = np.asarray(lists.offsets)
             coded = lists.values[offsets[0] : offsets[-1]].dictionary_encode()
             words, ids = coded.dictionary, np.asarray(coded.indices, np.int32)

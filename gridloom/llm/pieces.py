@@ -36,7 +36,9 @@ MARK = "▁"
 LITERAL = "\udc81"
 UNKNOWN_PENALTY = 10.0
 #: Units whose encoding a worker remembers; further ones are encoded anew.
-MEMO = 250_000
+MEMO = 150_000
+#: Text encoded, and rows decoded, at once: bounds of a worker's memory.
+ENCODE_BYTES, DECODE_ROWS = 4 << 20, 1000
 
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -171,11 +173,11 @@ def default_model() -> str:
 def encoder(model_file: str):
     """A function from a list of texts to (ids, count, score) Arrow arrays."""
     auto = vocabulary(model_file).automaton
-    memo: dict[str, tuple[np.ndarray, float]] = {}
+    memo: dict[str, tuple[bytes, float]] = {}
 
     def encode(texts: list[str | None]) -> list[pa.Array]:
-        fresh: dict[str, tuple[np.ndarray, float]] = {}
-        parts: list[np.ndarray] = []
+        fresh: dict[str, tuple[bytes, float]] = {}
+        parts: list[bytes] = []
         counts, scores = [], []
         for text in texts:
             if text is None:
@@ -191,18 +193,17 @@ def encoder(model_file: str):
                         hit = fresh.get(unit)
                         if hit is None:
                             ids, s = auto.viterbi(unit)
-                            hit = (np.array(ids, np.int32), s)
+                            hit = (np.array(ids, np.int32).tobytes(), s)
                             if len(memo) < MEMO and len(unit) <= 64:
                                 memo[unit] = hit
                             else:
                                 fresh[unit] = hit
                         got[k] = hit
-            arrays = [g[0] for g in got]
-            joined = np.concatenate(arrays) if arrays else np.empty(0, np.int32)
+            joined = b"".join([g[0] for g in got])
             parts.append(joined)
-            counts.append(len(joined))
+            counts.append(len(joined) // 4)
             scores.append(float(sum([g[1] for g in got])))
-        values = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        values = np.frombuffer(b"".join(parts), np.int32)
         offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([c or 0 for c in counts], out=offsets[1:])
         marks = pa.array([None if c is None else int(o) for c, o in zip(counts, offsets)] + [int(offsets[-1])], pa.int32())
@@ -215,7 +216,7 @@ def encode(docs: DataFrame, model_file: str | None = None, text_col: str = "text
     """``carry`` columns plus piece_ids array<int>, n_pieces long, piece_score double."""
     path = model_file or default_model()
     fields = [T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_pieces", T.LongType()), T.StructField("piece_score", T.DoubleType())]
-    return map_text(docs, lambda: encoder(path), fields, text_col, carry)
+    return map_text(docs, lambda: encoder(path), fields, text_col, carry, ENCODE_BYTES)
 
 
 def decode(encoded: DataFrame, model_file: str | None = None, ids_col: str = "piece_ids") -> DataFrame:
@@ -227,11 +228,12 @@ def decode(encoded: DataFrame, model_file: str | None = None, ids_col: str = "pi
 
     def run(batches):
         vocab = vocabulary(path)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids_col))
-            values, offsets = column.values.to_pylist(), column.offsets.to_pylist()
-            valid = column.is_valid().to_pylist()
-            texts = [vocab.decode(values[a:b]) if ok else None for a, b, ok in zip(offsets, offsets[1:], valid)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*keep, "decoded"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, DECODE_ROWS):
+                batch = whole.slice(start, DECODE_ROWS)
+                column = batch.column(batch.schema.get_field_index(ids_col))
+                values, offsets, valid = np.asarray(column.values), column.offsets.to_pylist(), column.is_valid().to_pylist()
+                texts = [vocab.decode(values[a:b].tolist()) if ok else None for a, b, ok in zip(offsets, offsets[1:], valid)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
     return source.mapInArrow(run, schema)

@@ -19,8 +19,7 @@ position; repeated rows are rows of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
-import struct
-import zlib
+import hashlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -33,15 +32,20 @@ SALTS = 32
 VIRTUAL_NODES = 128
 
 
+def spread_hash(*parts: int) -> int:
+    """A well-mixed 64-bit number for a node or unit."""
+    return int.from_bytes(hashlib.sha256(repr(parts).encode()).digest()[:8], "big")
+
+
 def ring_owners(shards: int, cells: int = CELLS, virtual_nodes: int = VIRTUAL_NODES) -> np.ndarray:
     """Virtual nodes in clockwise order as (cells,) arrays: owner of each cell.
 
-    A node sits at crc32 of (shard, k); the lower shard wins a shared cell.
+    A node sits at a hash of (shard, k); the lower shard wins a shared cell.
     """
     at = np.full(cells, -1, np.int64)
     for shard in reversed(range(shards)):
         for k in range(virtual_nodes):
-            at[zlib.crc32(struct.pack("<II", shard, k) * 2) % cells] = shard
+            at[spread_hash(shard, k) % cells] = shard
     owners = np.empty(cells, np.int64)
     current = at[at >= 0][0]
     for cell in reversed(range(cells)):
@@ -74,7 +78,7 @@ def deal(counts: dict[int, int], shards: int, cells: int = CELLS, salts: int = S
     order = clockwise(ring_owners(shards, cells), shards)
     slots = np.zeros(shards, np.int64)
     # a shared shuffled order, so that overflow isn't always the ring's last part
-    waiting = sorted(((unit, 0, n) for unit, n in counts.items()), key=lambda u: zlib.crc32(struct.pack("<q", u[0])))
+    waiting = sorted(((unit, 0, n) for unit, n in counts.items()), key=lambda u: spread_hash(u[0]))
     plan = []
     for hop in range(shards):
         left = []

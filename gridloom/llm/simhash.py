@@ -211,7 +211,7 @@ def wide_links(marked: DataFrame) -> DataFrame:
     pairs = cut(near.select("b", F.explode("before").alias("a")).where(F.col("a").isNotNull()).distinct())
     side = lambda x: prints.select(F.col("node").alias(x), F.col("segments").alias(f"s{x}"), F.col("shingles").alias(f"h{x}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda n, d: n + d)
     return full.where((apart <= WIDE_RADIUS) & (distance(F.col("ha"), F.col("hb")) <= SHINGLE_RADIUS)).select("a", "b")
 
 

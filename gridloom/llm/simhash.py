@@ -22,8 +22,10 @@ bits, so they get a wider fingerprint: 160 bits voted by the distinct words of t
 text, each by its length, in five segments of 32 bits.  The radius-1 ball of each
 segment is enumerated; two fingerprints share a key if some segment differs in at
 most 2 bits.  Holders of a key are chained with the two before them, and the
-complete distances are verified: ``WIDE_RADIUS`` bits of the words' fingerprint,
-and ``SHINGLE_RADIUS`` bits of the SimHash of five-word shingles.
+complete distance is verified (``WIDE_RADIUS`` bits); an exact-leaning check follows:
+the Jaccard similarity of the five-word shingles, by a one-permutation MinHash
+sketch of ``BINS`` bins (exact in effect for short texts), must reach
+``MIN_SIMILARITY``, set below 0.8 by two standard errors of the sketch.
 
 Components: alternating large-star and small-star steps on the links, each round
 checkpointed; no link ever reaches the driver.
@@ -166,42 +168,50 @@ def link_documents(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFram
     return group_documents(marked, links).drop("node")
 
 
-SEGMENTS, WIDE_RADIUS, SHINGLE_RADIUS, MAX_WEIGHT = 5, 32, 18, 16
+SEGMENTS, WIDE_RADIUS, MAX_WEIGHT = 5, 32, 16
+BINS, MIN_SIMILARITY = 128, 0.72
 
 
-def wide_fingerprint(text: str | None, width: int = 5) -> tuple[list[int], int]:
-    """(five signed 32-bit segments by words, SimHash of the shingles)."""
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The least hash of each bin, as int32; 0 where a bin has none."""
+    least = np.full(BINS, 0xFFFFFFFF, np.uint32)
+    np.minimum.at(least, (hashes & np.uint64(BINS - 1)).astype(np.int64), np.maximum(hashes >> np.uint64(32), 1).astype(np.uint32))
+    return np.where(least == 0xFFFFFFFF, 0, least).astype(np.uint32).view(np.int32)
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> tuple[list[int], list[int]]:
+    """(five signed 32-bit segments by words, sketch of the shingles)."""
     from xxhash import xxh3_128_digest, xxh32_digest
 
     words = text.encode().lower().split() if text else []
     if not words:
-        return [0] * SEGMENTS, 0
+        return [0] * SEGMENTS, [0] * BINS
     terms = list(dict.fromkeys(words))
     long = np.frombuffer(b"".join(map(xxh3_128_digest, terms)), np.uint8).reshape(-1, 16)
     short = np.frombuffer(b"".join(map(xxh32_digest, terms)), np.uint8).reshape(-1, 4)
     bits = np.unpackbits(np.hstack([long, short]), axis=1).astype(np.float32)
     weights = np.minimum(np.fromiter(map(len, terms), np.float32, len(terms)), MAX_WEIGHT)
     votes = np.packbits(2 * (weights @ bits) > weights.sum())
-    return votes.view("<i4").tolist(), signed(majority(shingle_hashes(words, width)))
+    return votes.view("<i4").tolist(), sketch(shingle_hashes(words, width)).tolist()
 
 
 def with_wide_fingerprint(docs: DataFrame, carry: list[str], width: int = 5) -> DataFrame:
-    """``carry`` plus segments array<int>, shingles long and node long (their hash)."""
+    """``carry`` plus segments and sketch (array<int>) and node long (their hash)."""
 
     def make():
         def run(texts):
             made = [wide_fingerprint(t, width) for t in texts]
-            return [pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.int64())]
+            return [pa.array([m[i] for m in made], pa.list_(pa.int32())) for i in (0, 1)]
 
         return run
 
-    fields = [T.StructField("segments", T.ArrayType(T.IntegerType())), T.StructField("shingles", T.LongType())]
-    return map_text(docs, make, fields, "text", carry).withColumn("node", F.xxhash64("segments", "shingles"))
+    fields = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("segments", "sketch")]
+    return map_text(docs, make, fields, "text", carry).withColumn("node", F.xxhash64("segments", "sketch"))
 
 
 def wide_links(marked: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes of similar texts, of marked(node, segments, shingles)."""
-    prints = cut(marked.groupBy("node").agg(F.first("segments").alias("segments"), F.first("shingles").alias("shingles")))
+    """Links (a, b) between nodes of similar texts, of marked(node, segments, sketch)."""
+    prints = cut(marked.groupBy("node").agg(F.first("segments").alias("segments"), F.first("sketch").alias("sketch")))
     flips = F.array(F.lit(0), *[F.lit(1 << i).cast("int") if i < 31 else F.lit(-(1 << 31)).cast("int") for i in range(32)])
     ball = F.flatten(F.transform("segments", lambda s, k: F.transform(flips, lambda f: s.bitwiseXOR(f).cast("long") + k.cast("long") * (1 << 32))))
     keyed = prints.select("node", F.explode(ball).alias("key"))
@@ -209,10 +219,13 @@ def wide_links(marked: DataFrame) -> DataFrame:
     near = keyed.select(F.col("node").alias("b"), F.array(F.lag("node", 1).over(chain), F.lag("node", 2).over(chain)).alias("before"))
     near = near.where(F.col("before")[0].isNotNull())
     pairs = cut(near.select("b", F.explode("before").alias("a")).where(F.col("a").isNotNull()).distinct())
-    side = lambda x: prints.select(F.col("node").alias(x), F.col("segments").alias(f"s{x}"), F.col("shingles").alias(f"h{x}"))
+    side = lambda x: prints.select(F.col("node").alias(x), F.col("segments").alias(f"s{x}"), F.col("sketch").alias(f"h{x}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda n, d: n + d)
-    return full.where((apart <= WIDE_RADIUS) & (distance(F.col("ha"), F.col("hb")) <= SHINGLE_RADIUS)).select("a", "b")
+    both = F.zip_with("ha", "hb", lambda x, y: F.struct(((x == y) & (x != 0)).cast("int").alias("same"), ((x != 0) | (y != 0)).cast("int").alias("any")))
+    counts = F.aggregate(both, F.struct(F.lit(0).alias("same"), F.lit(0).alias("any")), lambda n, p: F.struct((n["same"] + p["same"]).alias("same"), (n["any"] + p["any"]).alias("any")))
+    close = full.where(apart <= WIDE_RADIUS).select("a", "b", counts.alias("n"))
+    return close.where(F.col("n.same") >= MIN_SIMILARITY * F.col("n.any")).select("a", "b")
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:

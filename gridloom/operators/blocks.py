@@ -152,10 +152,12 @@ def merge_small(meta: ArrayMeta, pairs) -> ArrayMeta:
     for sizes, (a, b) in zip(meta.chunks, pairs):
         least, merged = max(a, b), []
         for c in sizes:
-            if merged and (merged[-1] < least or c < least):
+            if merged and merged[-1] < least:
                 merged[-1] += c
             else:
                 merged.append(c)
+        if len(merged) > 1 and merged[-1] < least:
+            merged[-2:] = [sum(merged[-2:])]
         chunks.append(tuple(merged))
     return replace(meta, chunks=tuple(chunks))
 

@@ -8,10 +8,16 @@ the lattice gives a distribution over words.  A character without a piece of its
 
 Piece probabilities start from the vocabulary's own scores (a score is minus a
 rank; the prior is 1 / (rank + ``RANK_OFFSET``)) and are re-estimated by
-expectation-maximisation over all distinct training words, weighted by their
-counts, with the prior as pseudo-counts.  The lattice is the back-off of the
-counts: p(word) = max(c - d, 0) / n + d * v / n * lattice(word), with c the word's
-training count, n all, v distinct training words, d = ``DISCOUNT``.
+expectation-maximisation over all distinct training words, with the prior as
+pseudo-counts.  Each word weighs the same there, as the lattice is the back-off of
+discounted counts, to which each gives d: p(word) = max(c - d, 0) / n + d * v / n *
+lattice(word), with c the word's training count, n all, v distinct training words,
+d = ``DISCOUNT``.
+
+Along a document that probability is the base of an adaptive rule: after i words, t
+of them distinct, a word met h times before has (max(h - b, 0) + (a + b * t) *
+p(word)) / (a + i), a = ``ADAPT_MASS``, b = ``ADAPT_DISCOUNT``.  It sums to 1 over
+words at each position and sees earlier words of the same text only.
 
 Scale: documents are read in chunks of about ``CHUNK_BYTES``.  A chunk is encoded
 against its own dictionary, and only distinct words of chunks are shuffled: once to
@@ -39,7 +45,10 @@ from gridloom.llm.common import regroup, store
 from gridloom.llm.pieces import MARK, default_model, vocabulary
 
 CHUNK_BYTES = 24 << 20
-RANK_OFFSET, PRIOR_COUNTS, ROUNDS, DISCOUNT = 10.0, 1000.0, 2, 0.75
+RANK_OFFSET, PRIOR_COUNTS, ROUNDS, DISCOUNT = 10.0, 1000.0, 3, 0.75
+ADAPT_MASS, ADAPT_DISCOUNT = 100.0, 0.9
+#: Words that are scored at once; a longer document is taken alone.
+SCORE_WORDS = 1 << 18
 #: Matrix cells (words x longest word) that the recursion handles at once.
 CELLS = 1 << 20
 NEG = -1e30
@@ -227,7 +236,7 @@ def tokenise(docs: DataFrame, held_out: Column) -> DataFrame:
 
 
 def fit_pieces(words: DataFrame, model_file: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece log probabilities by expectation-maximisation on words(word, c)."""
+    """Piece log probabilities by expectation-maximisation on the distinct words(word)."""
     pieces = vocabulary(model_file).pieces
     logp = Lattice(pieces).logp
     for _ in range(rounds):
@@ -236,11 +245,11 @@ def fit_pieces(words: DataFrame, model_file: str, rounds: int = ROUNDS) -> np.nd
             lattice = Lattice(vocabulary(model_file).pieces, logp)
             total = np.zeros(len(logp))
             for batch in batches:
-                total += lattice.expected_counts(batch.column(0).to_pylist(), np.asarray(batch.column(1)))
+                total += lattice.expected_counts(batch.column(0).to_pylist(), np.ones(batch.num_rows))
             at = np.flatnonzero(total).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 
-        sums = words.select("word", "c").mapInArrow(expect, "k int, n double").groupBy("k").agg(F.sum("n").alias("n"))
+        sums = words.select("word").mapInArrow(expect, "k int, n double").groupBy("k").agg(F.sum("n").alias("n"))
         counts = np.zeros(len(logp))
         for r in sums.collect():  # a row a piece at most
             counts[r["k"]] = r["n"]
@@ -248,6 +257,27 @@ def fit_pieces(words: DataFrame, model_file: str, rounds: int = ROUNDS) -> np.nd
     return logp
 
 
+def adapt(ids: np.ndarray, doc: np.ndarray, logp: np.ndarray, go_on: float) -> np.ndarray:
+    """Natural log probability of each word in its place.
+
+    ids: word numbers, document after document; doc: their document's number,
+    ascending; logp: by word number, the factor go_on (no end here) within it.
+    """
+    each = np.arange(len(ids))
+    order = np.lexsort((each, ids, doc))
+    w, d = ids[order], doc[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
+    met = np.empty(len(ids), np.int64)
+    met[order] = each - np.maximum.accumulate(np.where(new, each, 0))
+    first = np.searchsorted(doc, doc)
+    fresh = np.concatenate([[0], np.cumsum(met == 0)])
+    before, distinct = each - first, fresh[each] - fresh[first]
+    again = np.log(np.maximum(met - ADAPT_DISCOUNT, 1e-300) * go_on)
+    again[met == 0] = -np.inf
+    return np.logaddexp(again, np.log(ADAPT_MASS + ADAPT_DISCOUNT * distinct) + logp[ids]) - np.log(ADAPT_MASS + before)
+
+
 def score(docs: DataFrame, held_out: Column, model_file: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     path = model_file or default_model()
@@ -270,7 +300,7 @@ def score(docs: DataFrame, held_out: Column, model_file: str | None = None) -> D
                 seen = np.log(np.maximum(c - DISCOUNT, 1e-300) / n_words)
                 seen[c == 0] = -np.inf
                 q = np.logaddexp(seen, math.log(DISCOUNT * v_words / n_words) + q)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((q + math.log(1 - p_end)) / math.log(10))], names=["word", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(q + math.log(1 - p_end))], names=["word", "c", "lp"])
 
     table = words.mapInArrow(word_probabilities, "word string, c long, lp double")
     known = dictionary.drop("n_train").join(table, "word").select(F.col("chunk").alias("part"), "wid", "c", "lp")
@@ -295,12 +325,23 @@ def score(docs: DataFrame, held_out: Column, model_file: str | None = None) -> D
         base = np.log10((c + 1) / smooth)
         end_base = math.log10((ends + 1) / smooth)
         made = [[], [], [], []]
-        for raw in left["ids"].to_pylist():
-            ids = np.frombuffer(raw, np.int32)
-            made[0].append(len(ids) + 1)
-            made[1].append(int((c[ids] > 0).sum()) + (1 if ends else 0))
-            made[2].append(float(base[ids].sum() + end_base))
-            made[3].append(float(lp[ids].sum() + math.log10(p_end)))
+        texts = [np.frombuffer(raw, np.int32) for raw in left["ids"].to_pylist()]
+        ends_at = np.cumsum([len(ids) for ids in texts])
+        a = 0
+        while a < len(texts):
+            done = ends_at[a] - len(texts[a])
+            b = max(a + 1, int(np.searchsorted(ends_at, done + SCORE_WORDS, side="right")))
+            sizes = [len(ids) for ids in texts[a:b]]
+            ids, doc = np.concatenate(texts[a:b]).astype(np.int64), np.repeat(np.arange(b - a), sizes)
+
+            def total_of(values: np.ndarray) -> np.ndarray:
+                return np.bincount(doc, values, b - a)
+
+            made[0] += [k + 1 for k in sizes]
+            made[1] += (total_of(c[ids] > 0).astype(np.int64) + (1 if ends else 0)).tolist()
+            made[2] += (total_of(base[ids]) + end_base).tolist()
+            made[3] += (total_of(adapt(ids, doc, lp, 1 - p_end)) / math.log(10) + math.log10(p_end)).tolist()
+            a = b
         n = left.num_rows
         columns = [left["doc_id"].combine_chunks(), left["held_out"].combine_chunks(), pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array([total] * n, pa.int64()), pa.array(made[2], pa.float64()), pa.array(made[3], pa.float64())]
         return pa.Table.from_arrays(columns, names=out.fieldNames())

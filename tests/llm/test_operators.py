@@ -393,6 +393,28 @@ def test_scores(docs, rows):
         assert math.isfinite(r["score"]) and r["score"] < 0
 
 
+def test_adaptive_rule_is_a_distribution():
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet(np.ones(12)) * 0.9  # 0.1 is the end's
+    texts = [rng.integers(0, 12, n) for n in (0, 40, 1, 0, 25, 0)]
+    a, b = lattice_lm.ADAPT_MASS, lattice_lm.ADAPT_DISCOUNT
+
+    def rule(before, w):
+        h = before.count(w)
+        return (max(h - b, 0) * 0.9 + (a + b * len(set(before))) * p[w]) / (a + len(before))
+
+    want = []
+    for text in texts:
+        text = text.tolist()
+        for i, w in enumerate(text):
+            want.append(math.log(rule(text[:i], w)))
+            assert sum(rule(text[:i], k) for k in range(12)) == pytest.approx(0.9)
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    got = lattice_lm.adapt(np.concatenate(texts), doc, np.log(p), 0.9)
+    assert got == pytest.approx(want)
+    assert len(lattice_lm.adapt(np.array([], np.int64), np.array([], np.int64), np.log(p), 0.9)) == 0
+
+
 def test_scores_of_nothing(empty):
     assert lattice_lm.score(empty, id_bucket(empty["doc_id"], 7) == 2).collect() == []
 

@@ -16,7 +16,7 @@ ANY = "DASK_ARRAY[any]"
 
 
 def _spark() -> SparkSession:
-    return SparkSession.getActiveSession()
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()  # other threads have none active
 
 
 @dataclass
@@ -103,10 +103,10 @@ class RechunkNode(_SameType):
     INPUTS = {
         "dask_arr": (ANY, {}),
         "mode": (["explicit", "axis_index", "axis_name", "match_reference"], {"default": "explicit"}),
-        "chunks": ("STRING", {"default": "", "optional": True}),
-        "axis_chunks": ("STRING", {"default": "", "optional": True}),
-        "reference_arr": (ANY, {"optional": True}),
-        "axes": ("STRING", {"default": "", "optional": True}),
+        "chunks": ("STRING", {"default": "", "optional": True, "visible_when": {"mode": "explicit"}}),
+        "axis_chunks": ("STRING", {"default": "", "optional": True, "visible_when": {"mode": ["axis_index", "axis_name"]}}),
+        "reference_arr": (ANY, {"optional": True, "visible_when": {"mode": "match_reference"}}),
+        "axes": ("STRING", {"default": "", "optional": True, "visible_when": {"mode": "axis_name"}}),
     }
 
     def execute(self, dask_arr, mode, chunks, axis_chunks, reference_arr, axes):

@@ -22,9 +22,9 @@ bits, so they get a wider fingerprint: 160 bits voted by the distinct words of t
 text, each by its length, in five segments of 32 bits.  The radius-1 ball of each
 segment is enumerated; two fingerprints share a key if some segment differs in at
 most 2 bits.  Holders of a key are chained with the two before them in the order of
-one bin of their MinHash sketch: similar texts mostly have equal values there and
-stand together, however many others hold the key.  A pair shares many keys, and the
-bin depends on the key.  The complete distance is verified (``WIDE_RADIUS`` bits); an exact-leaning check follows:
+one bin of their MinHash sketch, another for each segment: similar texts mostly have
+equal values there and stand together, however many others hold the key.  The
+complete distance is verified (``WIDE_RADIUS`` bits); an exact-leaning check follows:
 the Jaccard similarity of the five-word shingles, by a one-permutation MinHash
 sketch of ``BINS`` bins (exact in effect for short texts), must reach
 ``MIN_SIMILARITY``, set below 0.8 by two standard errors of the sketch.
@@ -215,10 +215,9 @@ def wide_links(marked: DataFrame) -> DataFrame:
     """Links (a, b) between nodes of similar texts, of marked(node, segments, sketch)."""
     prints = cut(marked.groupBy("node").agg(F.first("segments").alias("segments"), F.first("sketch").alias("sketch")))
     flips = F.array(F.lit(0), *[F.lit(1 << i).cast("int") if i < 31 else F.lit(-(1 << 31)).cast("int") for i in range(32)])
-    ball = F.flatten(F.transform("segments", lambda s, k: F.transform(flips, lambda f: s.bitwiseXOR(f).cast("long") + k.cast("long") * (1 << 32))))
-    # the bin of the sketch differs by key, so that no single bin decides a pair
-    ordered = F.transform(ball, lambda key: F.struct(key.alias("key"), F.get("sketch", F.pmod(key, F.lit(BINS)).cast("int")).alias("least")))
-    keyed = prints.select("node", F.explode(ordered).alias("k")).select("node", "k.key", "k.least")
+    keyed = prints.select("node", F.posexplode("segments").alias("k", "s"), "sketch")
+    # a bin a segment: the rows of a ball stay alike and pack well on the shuffle
+    keyed = keyed.select("node", F.get("sketch", F.col("k")).alias("least"), F.explode(F.transform(flips, lambda f: F.col("s").bitwiseXOR(f).cast("long") + F.col("k").cast("long") * (1 << 32))).alias("key"))
     chain = Window.partitionBy("key").orderBy("least", "node")
     near = keyed.select(F.col("node").alias("b"), F.array(F.lag("node", 1).over(chain), F.lag("node", 2).over(chain)).alias("before"))
     near = near.where(F.col("before")[0].isNotNull())

@@ -48,7 +48,7 @@ CHUNK_BYTES = 24 << 20
 RANK_OFFSET, PRIOR_COUNTS, ROUNDS, DISCOUNT = 10.0, 1000.0, 3, 0.75
 ADAPT_MASS, ADAPT_DISCOUNT = 100.0, 0.9
 #: Words that are scored at once; a longer document is taken alone.
-SCORE_WORDS = 1 << 18
+SCORE_WORDS = 1 << 16
 #: Matrix cells (words x longest word) that the recursion handles at once.
 CELLS = 1 << 20
 NEG = -1e30

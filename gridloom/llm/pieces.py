@@ -36,9 +36,9 @@ MARK = "▁"
 LITERAL = "\udc81"
 UNKNOWN_PENALTY = 10.0
 #: Units whose encoding a worker remembers; further ones are encoded anew.
-MEMO = 150_000
+MEMO = 100_000
 #: Text encoded, and rows decoded, at once: bounds of a worker's memory.
-ENCODE_BYTES, DECODE_ROWS = 4 << 20, 1000
+ENCODE_BYTES, DECODE_ROWS = 2 << 20, 500
 
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 

@@ -23,8 +23,11 @@ text, each by its length, in five segments of 32 bits.  The radius-1 ball of eac
 segment is enumerated; two fingerprints share a key if some segment differs in at
 most 2 bits.  Holders of a key are chained with the two before them in the order of
 one bin of their MinHash sketch, another for each segment: similar texts mostly have
-equal values there and stand together, however many others hold the key.  The
-complete distance is verified (``WIDE_RADIUS`` bits); an exact-leaning check follows:
+equal values there and stand together, however many others hold the key.  Of keys
+with more than three holders, those left in different components are then compared
+wherever they share a triple of sketch bins (``crowded_pairs``), so that the chain
+loses no component.  The complete distance is verified (``WIDE_RADIUS`` bits); an
+exact-leaning check follows:
 the Jaccard similarity of the five-word shingles, by a one-permutation MinHash
 sketch of ``BINS`` bins (exact in effect for short texts), must reach
 ``MIN_SIMILARITY``, set below 0.8 by two standard errors of the sketch.
@@ -172,6 +175,8 @@ def link_documents(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFram
 
 SEGMENTS, WIDE_RADIUS, MAX_WEIGHT = 5, 32, 16
 BINS, MIN_SIMILARITY = 128, 0.72
+#: Disjoint triples of bins of which one must agree: one more than may differ.
+TRIPLES = 36
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -211,17 +216,8 @@ def with_wide_fingerprint(docs: DataFrame, carry: list[str], width: int = 5) ->
     return map_text(docs, make, fields, "text", carry).withColumn("node", F.xxhash64("segments", "sketch"))
 
 
-def wide_links(marked: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes of similar texts, of marked(node, segments, sketch)."""
-    prints = cut(marked.groupBy("node").agg(F.first("segments").alias("segments"), F.first("sketch").alias("sketch")))
-    flips = F.array(F.lit(0), *[F.lit(1 << i).cast("int") if i < 31 else F.lit(-(1 << 31)).cast("int") for i in range(32)])
-    keyed = prints.select("node", F.posexplode("segments").alias("k", "s"), "sketch")
-    # a bin a segment: the rows of a ball stay alike and pack well on the shuffle
-    keyed = keyed.select("node", F.get("sketch", F.col("k")).alias("least"), F.explode(F.transform(flips, lambda f: F.col("s").bitwiseXOR(f).cast("long") + F.col("k").cast("long") * (1 << 32))).alias("key"))
-    chain = Window.partitionBy("key").orderBy("least", "node")
-    near = keyed.select(F.col("node").alias("b"), F.array(F.lag("node", 1).over(chain), F.lag("node", 2).over(chain)).alias("before"))
-    near = near.where(F.col("before")[0].isNotNull())
-    pairs = cut(near.select("b", F.explode("before").alias("a")).where(F.col("a").isNotNull()).distinct())
+def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose fingerprints and sketches are near enough."""
     side = lambda x: prints.select(F.col("node").alias(x), F.col("segments").alias(f"s{x}"), F.col("sketch").alias(f"h{x}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda n, d: n + d)
@@ -231,6 +227,46 @@ def wide_links(marked: DataFrame) -> DataFrame:
     return close.where(F.col("n.same") >= MIN_SIMILARITY * F.col("n.any")).select("a", "b")
 
 
+def mixed_only(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (key, root, ...) of keys that hold more than one root."""
+    spans = rows.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return rows.join(spans.where(F.col("lo") != F.col("hi")).select(key), key, "left_semi")
+
+
+def crowded_pairs(crowded: DataFrame, links: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a crowded key that the chain may have missed.
+
+    crowded(node, key): all holders of keys with more than three.  Only holders whose
+    components differ under ``links`` can add anything.  Two sketches that pass the
+    check differ in at most 35 of 128 bins, so one of 36 disjoint triples of bins is
+    the same in both; pairs are formed of holders that share the key and a triple.
+    """
+    named = crowded.join(components(links), "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    rows = mixed_only(cut(named), "key").join(prints.select("node", "sketch"), "node")
+    triples = F.transform(F.sequence(F.lit(0), F.lit(TRIPLES - 1)), lambda i: F.xxhash64("key", i, F.slice("sketch", 3 * i + 1, F.lit(3))))
+    parts = mixed_only(cut(rows.select("node", "root", F.explode(triples).alias("part"))), "part")
+    sides = [parts.select("part", F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b")]
+    pairs = sides[0].join(sides[1], "part").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
+    return pairs.select("a", "b").distinct()
+
+
+def wide_links(marked: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of similar texts, of marked(node, segments, sketch),
+    whose components are those of all links between holders of a key."""
+    prints = cut(marked.groupBy("node").agg(F.first("segments").alias("segments"), F.first("sketch").alias("sketch")))
+    flips = F.array(F.lit(0), *[F.lit(1 << i).cast("int") if i < 31 else F.lit(-(1 << 31)).cast("int") for i in range(32)])
+    keyed = prints.select("node", F.posexplode("segments").alias("k", "s"), "sketch")
+    # a bin a segment: the rows of a ball stay alike and pack well on the shuffle
+    keyed = keyed.select("node", F.get("sketch", F.col("k")).alias("least"), F.explode(F.transform(flips, lambda f: F.col("s").bitwiseXOR(f).cast("long") + F.col("k").cast("long") * (1 << 32))).alias("key"))
+    chain = Window.partitionBy("key").orderBy("least", "node")
+    held = F.count(F.lit(1)).over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    near = keyed.select("node", "key", F.array(F.lag("node", 1).over(chain), F.lag("node", 2).over(chain)).alias("before"), held.alias("held"))
+    near = cut(near.where(F.col("held") > 1))
+    pairs = near.select(F.col("node").alias("b"), F.explode("before").alias("a")).where(F.col("a").isNotNull()).distinct()
+    links = cut(verified(pairs, prints))
+    return links.unionByName(verified(crowded_pairs(near.where(F.col("held") > 3).select("node", "key"), links, prints), prints))
+
+
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id; of rows
     that share it, any one of those with the same text.  Columns as given."""

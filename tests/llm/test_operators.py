@@ -323,6 +323,32 @@ def test_long_chain_of_links(spark):
     assert got == {i: 0 for i in range(1, 61)}
 
 
+def test_crowded_keys_lose_no_component(spark):
+    rng = random.Random(5)
+    bins = simhash.BINS
+    fresh = lambda: [rng.randrange(1, 1 << 31) for _ in range(bins)]
+    sketches = [fresh() for _ in range(60)]
+    for base in range(0, 30, 2):  # near copies that differ in the bins the chain sorts by, and in others
+        twin = list(sketches[base])
+        for i in [*range(simhash.SEGMENTS), *rng.sample(range(simhash.SEGMENTS, bins), 30 - base)]:
+            twin[i] = rng.randrange(1, 1 << 31)
+        sketches.append(twin)
+    short = [fresh()[:3] + [0] * (bins - 3) for _ in range(6)]
+    sketches += short + [[*short[0][:3], *[0] * (bins - 4), 9]]
+    rows = [(node, [7] * simhash.SEGMENTS, s) for node, s in enumerate(sketches)]
+    found = simhash.wide_links(spark.createDataFrame(rows, "node long, segments array<int>, sketch array<int>"))
+    roots = {r["node"]: r["root"] for r in simhash.components(found).collect()}
+
+    def linked(x, y):
+        used = [(a, b) for a, b in zip(x, y) if a or b]
+        return sum(a == b for a, b in used) >= simhash.MIN_SIMILARITY * len(used)
+
+    want = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if linked(sketches[a], sketches[b])}
+    assert len(want) > 15
+    assert {(roots.get(a, a), roots.get(b, b)) for a, b in want} <= {(r, r) for r in range(len(rows))}
+    assert {(r["a"], r["b"]) for r in found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).collect()} <= want
+
+
 def test_one_of_each_group_stays(spark, empty):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(4000)]

@@ -17,20 +17,22 @@ each link all the same.  Along a key the fingerprints are chained in order, whic
 keeps the components of all links with a number of links in proportion to the
 rows.  ``neighbours`` gives every link itself.
 
-Near-duplicates of similarity 0.8 or more (``keep_one``) lie further apart than 2
-bits, so they get a wider fingerprint: 160 bits voted by the distinct words of the
-text, each by its length, in five segments of 32 bits.  The radius-1 ball of each
-segment is enumerated; two fingerprints share a key if some segment differs in at
-most 2 bits.  Holders of a key are chained with the two before them in the order of
-one bin of their MinHash sketch, another for each segment: similar texts mostly have
-equal values there and stand together, however many others hold the key.  Of keys
-with more than three holders, those left in different components are then compared
-wherever they share a triple of sketch bins (``crowded_pairs``), so that the chain
-loses no component.  The complete distance is verified (``WIDE_RADIUS`` bits); an
-exact-leaning check follows:
-the Jaccard similarity of the five-word shingles, by a one-permutation MinHash
-sketch of ``BINS`` bins (exact in effect for short texts), must reach
-``MIN_SIMILARITY``, set below 0.8 by two standard errors of the sketch.
+Near-duplicates of similarity 0.8 or more (``keep_one``), by the Jaccard similarity
+of the sets of five-word shingles, lie further apart than 2 bits.  Texts with the same
+set are one node.  Candidates are nodes that share a key: one of 36 disjoint triples of
+bins of a one-permutation MinHash sketch of ``BINS`` bins (empty bins of short texts
+are filled from other bins, in an order of each bin's own), or one of the five
+segments of a 160-bit SimHash by words.  A pair at similarity J misses all triples
+with probability (1 - J^3)^36, about 6e-12 at 0.8, wherever the texts differ.  One
+hashed bit a bin, carried with the keys, drops pairs that differ in more than
+``BITS_APART`` of 128 (at 0.8: 12.8 expected, standard error 3.4).  The others are
+verified by their sketches (``MIN_SIMILARITY``).
+
+Holders of a key are not all compared, as a key can hold a large group.  First each
+meets the one before it in the order of nodes.  Then, in rounds, those of a key that
+are still in different components meet the ``NEAR`` before them in the order of their
+bits, rotated anew in each round, and the holder with most links so far; the rounds end
+when one finds no link.  Keys of up to ``NEAR`` + 1 holders are complete by that.
 
 Components: alternating large-star and small-star steps on the links, each round
 checkpointed; no link ever reaches the driver.
@@ -173,10 +175,12 @@ def link_documents(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFram
     return group_documents(marked, links).drop("node")
 
 
-SEGMENTS, WIDE_RADIUS, MAX_WEIGHT = 5, 32, 16
+SEGMENTS, MAX_WEIGHT = 5, 16
 BINS, MIN_SIMILARITY = 128, 0.72
-#: Disjoint triples of bins of which one must agree: one more than may differ.
+#: Disjoint triples of bins; one agrees in full if at most 35 bins differ.
 TRIPLES = 36
+#: Bits of 128 in which candidates may differ, and holders before one that it meets.
+BITS_APART, NEAR = 30, 3
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -186,44 +190,97 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.where(least == 0xFFFFFFFF, 0, least).astype(np.uint32).view(np.int32)
 
 
-def wide_fingerprint(text: str | None, width: int = 5) -> tuple[list[int], list[int]]:
-    """(five signed 32-bit segments by words, sketch of the shingles)."""
+def wide_fingerprint(text: str | None, width: int = 5) -> tuple[list[int], list[int], np.ndarray]:
+    """(five signed 32-bit segments by words, sketch of the shingles, their sorted set).
+
+    The set has the upper 32 bits of each hash: two texts of 20,000 words share 0.1
+    of them by chance.
+    """
     from xxhash import xxh3_128_digest, xxh32_digest
 
     words = text.encode().lower().split() if text else []
     if not words:
-        return [0] * SEGMENTS, [0] * BINS
+        return [0] * SEGMENTS, [0] * BINS, np.empty(0, np.int32)
     terms = list(dict.fromkeys(words))
     long = np.frombuffer(b"".join(map(xxh3_128_digest, terms)), np.uint8).reshape(-1, 16)
     short = np.frombuffer(b"".join(map(xxh32_digest, terms)), np.uint8).reshape(-1, 4)
     bits = np.unpackbits(np.hstack([long, short]), axis=1).astype(np.float32)
     weights = np.minimum(np.fromiter(map(len, terms), np.float32, len(terms)), MAX_WEIGHT)
     votes = np.packbits(2 * (weights @ bits) > weights.sum())
-    return votes.view("<i4").tolist(), sketch(shingle_hashes(words, width)).tolist()
+    hashes = shingle_hashes(words, width)
+    return votes.view("<i4").tolist(), sketch(hashes).tolist(), np.unique((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
 def with_wide_fingerprint(docs: DataFrame, carry: list[str], width: int = 5) -> DataFrame:
-    """``carry`` plus segments and sketch (array<int>) and node long (their hash)."""
+    """``carry`` plus segments, sketch and shingles (array<int>) and node long (the hash of shingles)."""
 
     def make():
         def run(texts):
             made = [wide_fingerprint(t, width) for t in texts]
-            return [pa.array([m[i] for m in made], pa.list_(pa.int32())) for i in (0, 1)]
+            return [pa.array([m[i] for m in made], pa.list_(pa.int32())) for i in (0, 1, 2)]
 
         return run
 
-    fields = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("segments", "sketch")]
-    return map_text(docs, make, fields, "text", carry).withColumn("node", F.xxhash64("segments", "sketch"))
+    fields = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("segments", "sketch", "shingles")]
+    return map_text(docs, make, fields, "text", carry).withColumn("node", F.xxhash64("shingles"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def filled(sketches: np.ndarray) -> np.ndarray:
+    """Sketches (rows, BINS) as uint64, empty bins taken from the first bin that is
+    not empty in an order fixed for each bin, so that they agree as often as others."""
+    own = sketches.view(np.uint32).astype(np.uint64)
+    out = own.copy()
+    orders = np.random.default_rng(SEED).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
+    for t in range(BINS):
+        empty = out == 0
+        if not empty.any():
+            break
+        out = np.where(empty, own[:, orders[:, t]], out)
+    return out
+
+
+def candidate_keys(sketches: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys (rows, TRIPLES + SEGMENTS), bits (rows, 2)) as int64."""
+    bins = filled(sketches)
+    keys = np.broadcast_to(np.arange(1, TRIPLES + 1, dtype=np.uint64), (len(bins), TRIPLES))
+    for k in range(3):
+        keys = _mixed(keys ^ bins[:, k : 3 * TRIPLES : 3])
+    by_words = _mixed(segments.view(np.uint32).astype(np.uint64) ^ (np.arange(1, SEGMENTS + 1, dtype=np.uint64) << np.uint64(40)))
+    # the bin's number goes in too: a value that fills many bins gives each a bit of its own
+    one = _mixed(_mixed(bins ^ (np.arange(1, BINS + 1, dtype=np.uint64) << np.uint64(40)))) >> np.uint64(63)
+    bits = np.packbits(one.astype(np.uint8), axis=1).view("<i8")
+    return np.hstack([keys, by_words]).view(np.int64), bits
+
+
+def with_keys(prints: DataFrame) -> DataFrame:
+    """node, key, hi, lo of prints(node, segments, sketch): a row for each key."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, segments, sketches = (batch.column(i) for i in range(3))
+            flat = lambda x, n: np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False), np.int32).reshape(-1, n)
+            keys, bits = candidate_keys(flat(sketches, BINS), flat(segments, SEGMENTS))
+            offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], names=["node", "keys", "hi", "lo"])
+
+    rows = prints.where(F.exists("sketch", lambda v: v != 0)).select("node", "segments", "sketch")
+    return rows.mapInArrow(run, "node long, keys array<long>, hi long, lo long").select("node", "hi", "lo", F.explode("keys").alias("key"))
 
 
 def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose fingerprints and sketches are near enough."""
-    side = lambda x: prints.select(F.col("node").alias(x), F.col("segments").alias(f"s{x}"), F.col("sketch").alias(f"h{x}"))
+    """The pairs (a, b) whose sketches are near enough."""
+    side = lambda x: prints.select(F.col("node").alias(x), F.col("sketch").alias(f"h{x}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda n, d: n + d)
     both = F.zip_with("ha", "hb", lambda x, y: F.struct(((x == y) & (x != 0)).cast("int").alias("same"), ((x != 0) | (y != 0)).cast("int").alias("any")))
     counts = F.aggregate(both, F.struct(F.lit(0).alias("same"), F.lit(0).alias("any")), lambda n, p: F.struct((n["same"] + p["same"]).alias("same"), (n["any"] + p["any"]).alias("any")))
-    close = full.where(apart <= WIDE_RADIUS).select("a", "b", counts.alias("n"))
+    close = full.select("a", "b", counts.alias("n"))
     return close.where(F.col("n.same") >= MIN_SIMILARITY * F.col("n.any")).select("a", "b")
 
 
@@ -233,38 +290,45 @@ def mixed_only(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(spans.where(F.col("lo") != F.col("hi")).select(key), key, "left_semi")
 
 
-def crowded_pairs(crowded: DataFrame, links: DataFrame, prints: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a crowded key that the chain may have missed.
-
-    crowded(node, key): all holders of keys with more than three.  Only holders whose
-    components differ under ``links`` can add anything.  Two sketches that pass the
-    check differ in at most 35 of 128 bins, so one of 36 disjoint triples of bins is
-    the same in both; pairs are formed of holders that share the key and a triple.
-    """
-    named = crowded.join(components(links), "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
-    rows = mixed_only(cut(named), "key").join(prints.select("node", "sketch"), "node")
-    triples = F.transform(F.sequence(F.lit(0), F.lit(TRIPLES - 1)), lambda i: F.xxhash64("key", i, F.slice("sketch", 3 * i + 1, F.lit(3))))
-    parts = mixed_only(cut(rows.select("node", "root", F.explode(triples).alias("part"))), "part")
-    sides = [parts.select("part", F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b")]
-    pairs = sides[0].join(sides[1], "part").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-    return pairs.select("a", "b").distinct()
-
-
-def wide_links(marked: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes of similar texts, of marked(node, segments, sketch),
-    whose components are those of all links between holders of a key."""
-    prints = cut(marked.groupBy("node").agg(F.first("segments").alias("segments"), F.first("sketch").alias("sketch")))
-    flips = F.array(F.lit(0), *[F.lit(1 << i).cast("int") if i < 31 else F.lit(-(1 << 31)).cast("int") for i in range(32)])
-    keyed = prints.select("node", F.posexplode("segments").alias("k", "s"), "sketch")
-    # a bin a segment: the rows of a ball stay alike and pack well on the shuffle
-    keyed = keyed.select("node", F.get("sketch", F.col("k")).alias("least"), F.explode(F.transform(flips, lambda f: F.col("s").bitwiseXOR(f).cast("long") + F.col("k").cast("long") * (1 << 32))).alias("key"))
-    chain = Window.partitionBy("key").orderBy("least", "node")
+def _near_bits(other: Column) -> Column:
+    apart = F.bit_count(F.col("hi").bitwiseXOR(other["hi"])) + F.bit_count(F.col("lo").bitwiseXOR(other["lo"]))
+    return apart <= BITS_APART
+
+
+def round_pairs(near: DataFrame, links: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of holders of a key, of near(node, key, hi, lo), whose components
+    under ``links`` differ: each with ``NEAR`` before it and the one with most links."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    known = cut(components(links).join(degree, "node", "full"))
+    named = near.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("degree", F.coalesce("degree", F.lit(0)))
+    rows = mixed_only(cut(named), "key")
+    word, by = F.col("hi" if turn % 2 else "lo"), 11 * (turn // 2) % 64
+    turned = F.shiftleft(word, by).bitwiseOR(F.shiftrightunsigned(word, 64 - by)) if by else word
+    holder = F.struct("node", "root", "hi", "lo")
+    chain = Window.partitionBy("key").orderBy("turned", "node")
+    most = F.max(F.struct("degree", "node", "root", "hi", "lo")).over(Window.partitionBy("key"))
+    hub = F.struct(most["node"].alias("node"), most["root"].alias("root"), most["hi"].alias("hi"), most["lo"].alias("lo"))
+    met = F.array(*[F.lag(holder, k).over(chain) for k in range(1, NEAR + 1)], hub)
+    pairs = rows.withColumn("turned", turned).withColumn("met", met).select("node", "root", "hi", "lo", F.explode("met").alias("o"))
+    pairs = pairs.where(F.col("o").isNotNull() & (F.col("o.root") != F.col("root")) & _near_bits(F.col("o")))
+    return pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+
+
+def wide_links(marked: DataFrame, check=verified) -> DataFrame:
+    """Links (a, b) between nodes of similar texts, of marked(node, segments, sketch);
+    ``check`` (pairs, marked) keeps the pairs that are similar."""
+    prints = marked.groupBy("node").agg(F.first("segments").alias("segments"), F.first("sketch").alias("sketch"))
+    chain = Window.partitionBy("key").orderBy("node")
     held = F.count(F.lit(1)).over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    near = keyed.select("node", "key", F.array(F.lag("node", 1).over(chain), F.lag("node", 2).over(chain)).alias("before"), held.alias("held"))
-    near = cut(near.where(F.col("held") > 1))
-    pairs = near.select(F.col("node").alias("b"), F.explode("before").alias("a")).where(F.col("a").isNotNull()).distinct()
-    links = cut(verified(pairs, prints))
-    return links.unionByName(verified(crowded_pairs(near.where(F.col("held") > 3).select("node", "key"), links, prints), prints))
+    near = with_keys(prints).withColumn("o", F.lag(F.struct("node", "hi", "lo")).over(chain)).withColumn("held", held)
+    near = cut(near.where(F.col("held") > 1).drop("held"))
+    first = near.where(F.col("o").isNotNull() & _near_bits(F.col("o"))).select(F.col("o.node").alias("a"), F.col("node").alias("b")).distinct()
+    links, near, turn = cut(check(first, marked)), near.drop("o"), 0
+    while True:
+        found = cut(check(round_pairs(near, links, turn), marked))
+        if found.isEmpty():
+            return links
+        links, turn = cut(links.unionByName(found)), turn + 1
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:

@@ -368,6 +368,49 @@ def test_one_of_each_group_stays(spark, empty):
     assert simhash.keep_one(empty).collect() == []
 
 
+def block_edits(rng, words):
+    """(kind, words) of copies with one block changed, all at similarity 0.8 or more."""
+    n = len(words)
+    other = ["o%d" % rng.randrange(10**6) for _ in range(n)]
+    yield "cut", words[: int(n * 0.85)]
+    yield "replaced", words[: int(n * 0.91)] + other[: n - int(n * 0.91)]
+    yield "header", other[: int(n * 0.2)] + words
+    yield "appended", words + other[: int(n * 0.2)]
+
+
+def shingle_similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_block_edits_are_found(spark):
+    rng = random.Random(12)
+    made = []
+    for _ in range(25):
+        for k in range(4):
+            base = ["w%d" % rng.randrange(10**6) for _ in range(rng.randint(60, 400))]
+            copy = list(block_edits(rng, base))[k][1]
+            assert shingle_similarity(base, copy) >= 0.8
+            made += [(len(made) + i, " ".join(w), "en", "s", 0) for i, w in enumerate((base, copy))]
+    kept = [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(made, SCHEMA)).collect()]
+    assert sorted(kept) == list(range(0, len(made), 2))
+
+
+def test_a_hub_keeps_all_its_copies(spark):
+    rng = random.Random(14)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(300)]
+    texts = [base]
+    for k in range(80):  # each near the base, none near another
+        copy = list(base)
+        for i in rng.sample(range(300), 6):
+            copy[i] = "x%d" % rng.randrange(10**6)
+        if shingle_similarity(base, copy) >= 0.8:
+            texts.append(copy)
+    assert len(texts) > 40
+    made = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)]
+    assert [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(made, SCHEMA)).collect()] == [0]
+
+
 # -- 7 lattice
 
 

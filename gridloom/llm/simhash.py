@@ -26,7 +26,7 @@ segments of a 160-bit SimHash by words.  A pair at similarity J misses all tripl
 with probability (1 - J^3)^36, about 6e-12 at 0.8, wherever the texts differ.  One
 hashed bit a bin, carried with the keys, drops pairs that differ in more than
 ``BITS_APART`` of 128 (at 0.8: 12.8 expected, standard error 3.4).  The others are
-verified by their sketches (``MIN_SIMILARITY``).
+verified by their exact sets.
 
 Holders of a key are not all compared, as a key can hold a large group.  First each
 meets the one before it in the order of nodes.  Then, in rounds, those of a key that
@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import cut, map_text
+from gridloom.llm.common import cut, map_text, maybe_broadcast
 
 SEED = 42
 
@@ -284,6 +284,18 @@ def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return close.where(F.col("n.same") >= MIN_SIMILARITY * F.col("n.any")).select("a", "b")
 
 
+def exactly_near(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles, of marked(node, shingles), have a
+    Jaccard similarity of 0.8 or more."""
+    pairs = cut(pairs)
+    used = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = cut(marked.select("node", "shingles").join(maybe_broadcast(used), "node", "left_semi").dropDuplicates(["node"]))
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"h{x}"))
+    common = F.size(F.array_intersect("ha", "hb"))
+    # common / (both - common) >= 4 / 5
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(9 * common >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
+
+
 def mixed_only(rows: DataFrame, key: str) -> DataFrame:
     """The rows (key, root, ...) of keys that hold more than one root."""
     spans = rows.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -336,7 +348,7 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     that share it, any one of those with the same text.  Columns as given."""
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
     marked = cut(with_wide_fingerprint(hashed, ["doc_id", "__hash"], width))
-    grouped = group_documents(marked.select("doc_id", "__hash", "node"), wide_links(marked))
+    grouped = group_documents(marked.select("doc_id", "__hash", "node"), wide_links(marked, exactly_near))
     first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node")).alias("__g")).agg(F.min("__hash").alias("__keep"))
     chosen = cut(chosen.select(F.col("component_id").alias("__id"), "__keep"))

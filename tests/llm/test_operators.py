@@ -396,6 +396,20 @@ def test_block_edits_are_found(spark):
     assert sorted(kept) == list(range(0, len(made), 2))
 
 
+def test_only_exact_similarity_groups(spark):
+    rng = random.Random(13)
+    made, texts = [], []
+    for g in range(60):  # a pair each, at similarities around 0.8
+        base = ["w%d" % rng.randrange(10**6) for _ in range(300)]
+        cut_off = rng.randint(30, 95)
+        texts += [base, base[: len(base) - cut_off]]
+    made = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)]
+    near = {i: shingle_similarity(texts[i], texts[i + 1]) >= 0.8 for i in range(0, len(texts), 2)}
+    assert 10 < sum(near.values()) < 50
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(made, SCHEMA)).collect()}
+    assert kept == set(near) | {i + 1 for i, x in near.items() if not x}
+
+
 def test_a_hub_keeps_all_its_copies(spark):
     rng = random.Random(14)
     base = ["w%d" % rng.randrange(10**6) for _ in range(300)]

@@ -157,14 +157,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def group_documents(marked: DataFrame, links: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """marked(id, node, ...) rows plus component_id, the smallest id reachable.
+    """marked(id, node, ...) rows plus root and component_id, the smallest id reachable.
 
     links(a, b) between nodes; rows of one node belong together anyway.
     """
     nodes = cut(marked.groupBy("node").agg(F.min(id_col).alias("least_id")))
     rooted = nodes.join(components(links), "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     rooted = cut(rooted)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "root", "component_id")
     return marked.join(named, "node")
 
 
@@ -172,7 +172,7 @@ def link_documents(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFram
     """doc_id, simhash, component_id of every row: links at ``radius`` (0 to 2) bits."""
     marked = cut(with_fingerprint(docs, width, carry=["doc_id"]).withColumn("node", F.col("simhash")))
     links = chained_links(marked.select("simhash").distinct(), radius)
-    return group_documents(marked, links).drop("node")
+    return group_documents(marked, links).drop("node", "root")
 
 
 SEGMENTS, MAX_WEIGHT = 5, 16
@@ -350,8 +350,9 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     marked = cut(with_wide_fingerprint(hashed, ["doc_id", "__hash"], width))
     grouped = group_documents(marked.select("doc_id", "__hash", "node"), wide_links(marked, exactly_near))
     first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node")).alias("__g")).agg(F.min("__hash").alias("__keep"))
-    chosen = cut(chosen.select(F.col("component_id").alias("__id"), "__keep"))
+    # repeated ids can be the least of more than one component: one row a root
+    chosen = first.groupBy("root").agg(F.first("component_id").alias("__id"), F.min("__hash").alias("__keep"))
+    chosen = cut(chosen.select("__id", "__keep"))
     keyed = docs.withColumn("__hash", F.xxhash64("text"))
     kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["__id"]) & (keyed["__hash"] == chosen["__keep"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "__hash"]).select(*[f"`{c}`" for c in docs.columns])

@@ -425,6 +425,15 @@ def test_a_hub_keeps_all_its_copies(spark):
     assert [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(made, SCHEMA)).collect()] == [0]
 
 
+def test_repeated_ids_keep_one_of_each_group(spark):
+    rng = random.Random(15)
+    for _ in range(4):
+        a, b = [["w%d" % rng.randrange(10**6) for _ in range(200)] for _ in range(2)]
+        made = [(5, " ".join(a), "en", "s", 0), (5, " ".join(b), "en", "s", 0), (7, " ".join(b[:-10]), "en", "s", 0)]
+        kept = simhash.keep_one(spark.createDataFrame(made, SCHEMA)).collect()
+        assert {(r["doc_id"], r["text"]) for r in kept} == {(5, " ".join(a)), (5, " ".join(b))} and len(kept) == 2
+
+
 # -- 7 lattice
 
 

@@ -193,6 +193,22 @@ def overlap_user_function(spark, sf_dir):
     return blocks.map_overlap(_i2(spark, sf_dir), _sum3, 1, "none").df.where("y < 100")
 
 
+# the same over the whole array; tested against NumPy, as the SQL above ends at y = 100
+@query()
+def overlap_sum_none_whole(spark, sf_dir):
+    return blocks.window_sum(_i2(spark, sf_dir), 1, "none").df
+
+
+@query()
+def overlap_sum_reflect_whole(spark, sf_dir):
+    return blocks.window_sum(_i2(spark, sf_dir), 1, "reflect").df
+
+
+@query()
+def overlap_user_function_whole(spark, sf_dir):
+    return blocks.map_overlap(_i2(spark, sf_dir), _sum3, 1, "none").df
+
+
 @query(f"WITH {I2} SELECT y, x, value * 2 + 1 AS value FROM i2")
 def block_user_function(spark, sf_dir):
     return blocks.map_blocks(_i2(spark, sf_dir), lambda block, scale: block * scale + 1, scale=2).df

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import queries
 from gridloom.arrayframe import ArrayFrame, ArrayMeta, block_to_long, long_to_block
 from gridloom.functions import keys
 from gridloom.operators import align, blocks, cast, celltable, crop, rechunk, segment
@@ -313,3 +314,21 @@ def test_random_crops_of_a_volume(spark):
         a, b, c = (sorted(rng.sample(range(n + 1), 2)) for n in (5, 6, 7))
         got = crop.crop(f, x=tuple(c), y=tuple(b), z=tuple(a))
         assert (array_of(got) == volume[:, a[0] : a[1], b[0] : b[1], c[0] : c[1]]).all()
+
+
+def embeddings_of(spark, tmp_path, n):
+    values = np.random.default_rng(3).normal(0, 0.2, (n, 64)).astype("float32")
+    rows = [(i, v.tolist()) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    return np.floor(values.astype(float) * 1000).astype("int64")
+
+
+def test_whole_overlap_queries(spark, tmp_path):
+    array = embeddings_of(spark, tmp_path, 300)
+    for name, mode in (("sum_none", "constant"), ("sum_reflect", "symmetric"), ("user_function", "constant")):
+        padded = np.pad(array, 1, mode)
+        want = sum(padded[i : i + 300, j : j + 64] for i in range(3) for j in range(3))
+        got = np.full(array.shape, 10**9)
+        pdf = queries.QUERIES[f"overlap_{name}_whole"](spark, str(tmp_path)).toPandas()
+        got[pdf["y"], pdf["x"]] = pdf["value"]
+        assert len(pdf) == array.size and (got == want).all()

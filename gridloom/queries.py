@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -274,9 +275,13 @@ def window_grid(spark, sf_dir):
 @query(f"{_WINDOWS} SELECT i AS index, row_number() OVER (ORDER BY i) AS position, (SELECT 100.0::DOUBLE * count(*) FILTER (i % 3 = 1) / count(*) FROM g) AS progress FROM g WHERE i % 3 <> 1")
 def window_pending(spark, sf_dir):
     grid = windows.WindowGrid(_e2(spark, sf_dir).meta.shape, (100, 24))
-    done = [i for i in range(grid.total) if i % 3 == 1]
-    todo = [i for i in range(grid.total) if i % 3 != 1]
-    return spark.createDataFrame([(i, k + 1, 100.0 * len(done) / grid.total) for k, i in enumerate(todo)], "index long, position long, progress double")
+    with tempfile.TemporaryDirectory() as folder:
+        bitmap = windows.Bitmap(f"{folder}/bitmap")
+        bitmap.create(grid.total)
+        for i in range(1, grid.total, 3):
+            bitmap.mark(i)
+        todo, progress = bitmap.pending(grid.total), bitmap.progress(grid.total)
+    return spark.createDataFrame([(i, k + 1, progress) for k, i in enumerate(todo)], "index long, position long, progress double")
 
 
 @query("""SELECT a * 10 AS y0, b * 10 AS x0, (a * 10) % 8 = 0 AND ((a * 10 + 10) % 8 = 0 OR a = 3) AND (b * 10) % 6 = 0 AND ((b * 10 + 10) % 6 = 0 OR b = 2) AS aligned,
@@ -297,8 +302,6 @@ def zarr_unaligned_chunks(spark, sf_dir):
 def zarr_roundtrip(spark, sf_dir):
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        import tempfile
-
         base = tempfile.mkdtemp()
     path = f"{base.rstrip('/')}/roundtrip-{uuid.uuid4().hex}.zarr"
     i2 = rechunk.rechunk(_i2(spark, sf_dir), "explicit", "100,24")

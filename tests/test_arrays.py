@@ -332,3 +332,11 @@ def test_whole_overlap_queries(spark, tmp_path):
         pdf = queries.QUERIES[f"overlap_{name}_whole"](spark, str(tmp_path)).toPandas()
         got[pdf["y"], pdf["x"]] = pdf["value"]
         assert len(pdf) == array.size and (got == want).all()
+
+
+def test_window_pending_reads_the_bitmap(spark, tmp_path, monkeypatch):
+    embeddings_of(spark, tmp_path, 300)
+    good = queries.QUERIES["window_pending"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in good] == [(i, k + 1, pytest.approx(100 / 3)) for k, i in enumerate(i for i in range(9) if i % 3 != 1)]
+    monkeypatch.setattr(windows.Bitmap, "mark", lambda self, index: None)
+    assert queries.QUERIES["window_pending"](spark, str(tmp_path)).count() == 9

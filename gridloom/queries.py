@@ -289,13 +289,12 @@ def window_pending(spark, sf_dir):
  AND NOT (a * 10 <= cy * 8 AND a * 10 + 10 >= least(cy * 8 + 8, 40) AND b * 10 <= cx * 6 AND b * 10 + 10 >= least(cx * 6 + 6, 30))) AS partial_chunks
 FROM range(4) ra(a), range(3) rb(b)""")
 def zarr_unaligned_chunks(spark, sf_dir):
-    grid = block_grid(spark, ArrayMeta.regular((40, 30), (10, 10)))
-    inside = (F.col("o_y") <= F.col("cy") * 8) & (F.col("o_y") + F.col("n_y") >= F.least(F.col("cy") * 8 + 8, F.lit(40))) & (F.col("o_x") <= F.col("cx") * 6) & (F.col("o_x") + F.col("n_x") >= F.least(F.col("cx") * 6 + 6, F.lit(30)))
-    touched = lambda o, n, c: F.sequence(F.floor(F.col(o) / c), F.floor((F.col(o) + F.col(n) - 1) / c))
-    each = grid.withColumn("cy", F.explode(touched("o_y", "n_y", 8))).withColumn("cx", F.explode(touched("o_x", "n_x", 6)))
-    fits = lambda o, n, c, size: (F.col(o) % c == 0) & (((F.col(o) + F.col(n)) % c == 0) | (F.col(o) + F.col(n) == size))
-    aligned = fits("o_y", "n_y", 8, 40) & fits("o_x", "n_x", 6, 30)
-    return each.groupBy(F.col("o_y").alias("y0"), F.col("o_x").alias("x0")).agg(F.first(aligned).alias("aligned"), F.count_if(~inside).alias("partial_chunks"))
+    shape, chunks, rows = (40, 30), (8, 6), []
+    for r in block_grid(spark, ArrayMeta.regular(shape, (10, 10))).collect():  # 12 blocks
+        origin, extent = (r["o_y"], r["o_x"]), (r["n_y"], r["n_x"])
+        aligned = all(zarr.is_aligned(o, o + e, c, n) for o, e, c, n in zip(origin, extent, chunks, shape))
+        rows.append((*origin, aligned, len(zarr.partial_chunks(origin, extent, chunks, shape))))
+    return spark.createDataFrame(rows, "y0 long, x0 long, aligned boolean, partial_chunks long")
 
 
 @query(f"WITH {I2} SELECT x, CAST(sum(value) AS BIGINT) AS total, count(*) AS n FROM i2 GROUP BY x")

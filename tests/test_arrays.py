@@ -340,3 +340,16 @@ def test_window_pending_reads_the_bitmap(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in good] == [(i, k + 1, pytest.approx(100 / 3)) for k, i in enumerate(i for i in range(9) if i % 3 != 1)]
     monkeypatch.setattr(windows.Bitmap, "mark", lambda self, index: None)
     assert queries.QUERIES["window_pending"](spark, str(tmp_path)).count() == 9
+
+
+def test_unaligned_chunks_ask_the_store(spark, monkeypatch):
+    def touched(y0, x0):
+        cells = np.zeros((40, 30), bool)
+        cells[y0 : y0 + 10, x0 : x0 + 10] = True
+        parts = [cells[y : y + 8, x : x + 6] for y in range(0, 40, 8) for x in range(0, 30, 6)]
+        return sum(p.any() and not p.all() for p in parts)
+
+    run = lambda: {(r["y0"], r["x0"]): (r["aligned"], r["partial_chunks"]) for r in queries.QUERIES["zarr_unaligned_chunks"](spark, None).collect()}
+    assert run() == {(y, x): (touched(y, x) == 0, touched(y, x)) for y in range(0, 40, 10) for x in range(0, 30, 10)}
+    monkeypatch.setattr(zarr, "partial_chunks", lambda *a: [])
+    assert {n for _, n in run().values()} == {0}

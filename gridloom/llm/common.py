@@ -7,6 +7,7 @@ and Arrow's ``ascii_split_whitespace`` cut at exactly these characters.
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,11 +32,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session;
-    a temporary one only where that is unset (local tests)."""
+    a temporary one only where that is unset and the master is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -79,17 +82,63 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_or_none(df, rows) else df
 
 
+#: Parts that a hot key is dealt into when both sides of a join are large.
+SALTS = 32
+
+
+def join_small(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Null-safe join to ``right`` (already cut, one row a key), whatever its size.
+
+    Broadcast if counted to be small.  Else both sides are salted: a hot key of
+    ``left`` is ``SALTS`` tasks, and ``right`` is repeated as often.
+    """
+    same = F.col(f"`{left_key}`").eqNullSafe(F.col(f"`{right_key}`"))
+    if small_or_none(right, rows):
+        return left.join(F.broadcast(right), same, how)
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SALTS)).cast("int"))
+    repeated = right.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(repeated, same & (F.col("__salt") == F.col("__salt2")), how).drop("__salt", "__salt2")
+
+
+#: Copies of one row that one task makes at most in :func:`expand`.
+PIECE = 4096
+
+
+def expand(df: DataFrame, n: str, at: str) -> DataFrame:
+    """Each row ``n`` times (a long column), with ``at`` = 0 .. n - 1.
+
+    Rows of large ``n`` are first cut into pieces that are dealt over the tasks, so
+    a row that stands for a third of a table is not written out by one of them.
+    """
+    spark = df.sparkSession
+    few = df.where(F.col(n) <= PIECE).withColumn("__from", F.lit(0).cast("long"))
+    cut_up = df.where(F.col(n) > PIECE).withColumn("__from", F.explode(F.expr(f"sequence(0L, `{n}` - 1, {PIECE}L)")))
+    many = cut_up.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], "__from"))
+    return few.unionByName(many).withColumn(at, F.explode(F.expr(f"sequence(__from, least(`{n}`, __from + {PIECE}) - 1)"))).drop("__from")
+
+
+def numbered(df: DataFrame, order: list[Column], rows: int, name: str, rows_a_task: int = 1 << 20) -> DataFrame:
+    """``df`` with ``name`` = 0 .. rows - 1 in the given order, over many tasks.
+
+    ``rows``: the count of ``df``.  The driver sees one number a task.
+    """
+    parts = max(1, math.ceil(rows / rows_a_task))
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order) if parts > 1 else df.coalesce(1).sortWithinPartitions(*order)
+    marked = cut(ordered.withColumn("__at", F.monotonically_increasing_id()))
+    counts = {r[0]: r[1] for r in marked.groupBy(F.shiftright("__at", 33).alias("p")).count().collect()}
+    starts, n = [], 0
+    for p in range(parts):
+        starts.append(n)
+        n += counts.get(p, 0)
+    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.shiftright("__at", 33).cast("int") + 1)
+    return marked.withColumn(name, first + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it many times in ``body``."""
     return F.transform(F.array(value), body)[0]
 
 
-def words_of(text: Column) -> Column:
-    """Native array of words; null and blank texts give an empty array."""
-    cut_up = F.split(F.coalesce(text, F.lit("")), WORD_GAP)
-    return F.filter(cut_up, lambda w: w != "")
-
-
 def n_words_of(text: Column) -> Column:
     """Native number of words without lambda evaluation."""
     return let(

@@ -16,11 +16,14 @@ each level 1/``BLOCK`` as many.  The last two of a source are the landing proble
 of the outcomes the one nearest to the expected size is taken.
 
 The order within a block and the direction of each move come from hashes of the
-row, so reruns agree.
+row, and identical rows are numbered after being counted together, so reruns agree
+however the table is split, ordered or read.
 
 Defined cases: null text -> size 0; null source is a source of its own, ordered
-last; a source of size 0 has target 0 and is not taken; repeated rows are drawn one by one (identical
-rows are interchangeable); an empty table gives no rows.
+last; a source of size 0 has target 0 and is not taken; repeated rows are drawn one
+by one (identical rows are interchangeable); equal sizes and equal hashes are ties
+that doc_id breaks; a very long text is a large size, no more; further columns are
+not read, and ``apply_mix`` gives them back; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,44 +36,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, maybe_broadcast, n_words_of, small_or_none
+from gridloom.llm.common import cut, expand, join_small, n_words_of, numbered
 
 #: Documents of a source that one flight block handles.
 BLOCK = 4096
-#: Sources whose totals the driver handles; above that use a coarser source.
-MAX_SOURCES = 100_000
-
-
-def share(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[float]:
-    """Targets that share sum(sizes) by weight, none above cap * its size."""
-    total, n = float(sum(sizes)), len(sizes)
-    targets = [0.0] * n
-    open_ = set(range(n))
-    left = total
-    while open_ and left > 0:
-        weight = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / weight > cap * sizes[i]]
-        if not over:
-            for i in open_:
-                targets[i] = left * weights[i] / weight
-            break
-        for i in over:
-            targets[i] = cap * sizes[i]
-        left -= sum(targets[i] for i in over)
-        open_.difference_update(over)
-    return targets
 
 
 def source_targets(digest: DataFrame, weights=(1.0, 2.0, 3.0), cap: float = 3.0) -> DataFrame:
-    """One row a source: source, source_size, target, n_docs; the targets sum to all sizes."""
-    totals = cut(digest.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")))
-    if not small_or_none(totals, MAX_SOURCES):
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
-    rows = totals.collect()  # at most MAX_SOURCES, checked above
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    targets = share([r["source_size"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], cap)
-    data = [(r["source"], int(r["source_size"]), float(t), int(r["n_docs"])) for r, t in zip(rows, targets)]
-    return digest.sparkSession.createDataFrame(data, "source string, source_size long, target double, n_docs long")
+    """One row a source: source, source_size, target, n_docs; the targets sum to all sizes.
+
+    digest(source, size, n): n equal documents.  The level at which the shares stop
+    rising is found by aggregates over the sources, however many there are: sources
+    above their cap leave, the rest shares what they leave, until none is above.
+    """
+    totals = cut(digest.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs")))
+    ranked = numbered(totals, [F.asc_nulls_last("source")], totals.count(), "rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    shared = cut(ranked.select("source", "source_size", "n_docs", weight.alias("weight"), (F.col("source_size") * float(cap)).alias("most")))
+    total = float(shared.agg(F.sum("source_size")).collect()[0][0] or 0)
+    target, full = F.lit(0.0), -1
+    over = F.lit(False)
+    while total > 0:
+        n, held, open_weight = shared.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).collect()[0]
+        if n == full or not open_weight:
+            target = F.when(over, F.col("most")).otherwise(target)
+            break
+        target = (total - held) * F.col("weight") / open_weight
+        over, full = target > F.col("most"), n
+    return cut(shared.select("source", "source_size", target.alias("target"), "n_docs"))
 
 
 def flight(p: np.ndarray, z: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -167,22 +160,21 @@ def cube_sample(rows: DataFrame, group_docs: int) -> DataFrame:
 def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), cap: float = 3.0, size: Column | None = None) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies, text_hash."""
     measured = n_words_of(F.col("text")) if size is None else size
-    digest = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), measured.cast("long").alias("size"), F.xxhash64("text").alias("text_hash")))
-    targets = source_targets(digest, weights, cap)
-    spread = digest.join(maybe_broadcast(targets), digest["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    narrow = docs.select("doc_id", F.col("source").cast("string").alias("source"), measured.cast("long").alias("size"), F.xxhash64("text").alias("text_hash"))
+    digest = cut(narrow.groupBy("doc_id", "source", "size", "text_hash").agg(F.count(F.lit(1)).alias("n")))
+    targets = source_targets(digest, weights, cap).withColumnRenamed("source", "__source")
+    spread = join_small(digest, targets, "source", "__source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + 1e-9)
     part = F.greatest(ratio - whole, F.lit(0.0))
-    # identical rows need hashes of their own, or all of them fall into one block
-    rows = cut(
-        spread.select(
-            "doc_id", "source", "size", "text_hash", "source_size", "target",
-            whole.cast("long").alias("whole"),
-            F.when(part < 1e-9, 0.0).otherwise(part).alias("p"),
-            F.xxhash64("doc_id", "text_hash", F.spark_partition_id()).alias("mix_hash"),
-        )
+    split = spread.select(
+        "doc_id", "source", "size", "text_hash", "source_size", "target", "n",
+        whole.cast("long").alias("whole"),
+        F.when(part < 1e-9, 0.0).otherwise(part).alias("p"),
     )
-    group_docs = max([r["n_docs"] for r in targets.select("n_docs").collect()], default=0)
+    # identical rows have numbers, and so hashes, of their own, or all would fall into one block
+    rows = cut(expand(split, "n", "copy").withColumn("mix_hash", F.xxhash64("doc_id", "text_hash", "size", "copy")).drop("n", "copy"))
+    group_docs = targets.agg(F.max("n_docs")).collect()[0][0] or 0
     decided = cube_sample(rows, group_docs)
     return decided.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).alias("copies"), "text_hash")
 
@@ -196,10 +188,10 @@ def apply_mix(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     taken = (
         decisions.where("copies > 0")
         .groupBy("doc_id", "source", "text_hash")
-        .agg(F.sum("copies").cast("int").alias("__copies"))
+        .agg(F.sum("copies").alias("__copies"))
         .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "__copies")
     )
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    one = keyed.dropDuplicates(["doc_id", "source", "__h"])
-    match = one["doc_id"].eqNullSafe(taken["__id"]) & one["source"].eqNullSafe(taken["__source"]) & (one["__h"] == taken["__hash"])
-    return one.join(taken, match).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[f"`{c}`" for c in docs.columns])
+    one = docs.withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__h"])
+    match = one["doc_id"].eqNullSafe(taken["__id"]) & one["source"].cast("string").eqNullSafe(taken["__source"]) & (one["__h"] == taken["__hash"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return expand(one.join(taken, match).select(*columns, "__copies"), "__copies", "__n").select(*columns)

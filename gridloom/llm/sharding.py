@@ -9,12 +9,16 @@ their ring owner.
 
 What the driver sees is bounded whatever the input: row counts of
 ``CELLS * SALTS`` units.  It deals those counts onto the ring; each row then finds
-its shard and slot from its rank within its unit.  A unit holds 1/131072 of the
-rows; a hot id, which has one position only, is spread over ``SALTS`` units by
-the partition it was read in.  Identical rows are interchangeable.
+its shard and slot from its rank within its unit.  A unit is a position and a hash
+of the row's other columns modulo ``SALTS``: it holds about 1/131072 of the rows, and
+a hot id is spread by its different texts.  Identical rows are counted first and
+move as one row with a count, so they are one rank interval; they are written out
+again at the end.  Nothing depends on how the table was split or read.
 
 Defined cases: null text -> size 1, crc32 of ''; null doc_id hashes to a fixed
-position; repeated rows are rows of their own; an empty table gives no rows.
+position; repeated rows are rows of their own, ties of the order are such rows only;
+a very long text is only measured; input columns called shard or slot are replaced;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, expand
 
 CELLS = 4096
 SALTS = 32
@@ -98,22 +102,23 @@ def deal(counts: dict[int, int], shards: int, cells: int = CELLS, salts: int = S
 def shard_rows(keyed: DataFrame, key: Column, shards: int = 16) -> DataFrame:
     """Add shard int and slot long to every row of ``keyed`` (a narrow digest).
 
-    ``keyed`` is checkpointed, so give it the columns you need and no texts.
+    ``key`` is an expression of its columns.  The digest is checkpointed, so give it
+    the columns you need and no texts.
     """
     keep = [c for c in keyed.columns if c.lower() not in ("shard", "slot")]
-    spread = keyed.select(
-        *[f"`{c}`" for c in keep],
-        F.xxhash64(key).alias("__at"),
-        (F.pmod(F.xxhash64(key), F.lit(CELLS)) * SALTS + F.pmod(F.spark_partition_id(), F.lit(SALTS))).cast("int").alias("__unit"),
-    )
-    spread = cut(spread)
-    counts = {r[0]: r[1] for r in spread.groupBy("__unit").count().collect()}  # at most CELLS * SALTS rows
-    spark = keyed.sparkSession
-    plan = spark.createDataFrame(deal(counts, shards) or [], "__unit int, __first long, __end long, shard int, __slot long")
-    ranked = spread.withColumn("__rank", F.row_number().over(Window.partitionBy("__unit").orderBy("__at", *[f"`{c}`" for c in keep])) - 1)
+    columns = [F.col(f"`{c}`") for c in keep]
+    counted = keyed.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+    unit = F.pmod(F.xxhash64(key), F.lit(CELLS)) * SALTS + F.pmod(F.xxhash64(*columns), F.lit(SALTS))
+    spread = cut(counted.select(*columns, "__n", F.xxhash64(key).alias("__at"), unit.cast("int").alias("__unit")))
+    counts = {r[0]: r[1] for r in spread.groupBy("__unit").agg(F.sum("__n")).collect()}  # at most CELLS * SALTS rows
+    plan = keyed.sparkSession.createDataFrame(deal(counts, shards) or [], "__unit int, __first long, __end long, shard int, __slot long")
+    before = Window.partitionBy("__unit").orderBy("__at", *columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = spread.withColumn("__rank", F.sum("__n").over(before) - F.col("__n"))
     # the plan has at most CELLS * SALTS + shards**2 rows: a proven bound
-    joined = ranked.join(F.broadcast(plan), "__unit").where((F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__end")))
-    return joined.select(*[f"`{c}`" for c in keep], "shard", (F.col("__slot") + F.col("__rank") - F.col("__first")).alias("slot"))
+    low, high = F.greatest("__rank", "__first"), F.least(F.col("__rank") + F.col("__n"), F.col("__end"))
+    placed = ranked.join(F.broadcast(plan), "__unit").where(low < high)
+    runs = placed.select(*columns, "shard", (F.col("__slot") + low - F.col("__first")).alias("__slot"), (high - low).alias("__n"))
+    return expand(runs, "__n", "__i").select(*columns, "shard", (F.col("__slot") + F.col("__i")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:

@@ -1,19 +1,22 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a unit forwards and backwards with gated recurrent
+The network reads the bytes of a text forwards and backwards with gated recurrent
 cells, labels every position with a distribution over languages, and a document's
-probabilities are the mean over all its positions.  A unit is a word (a run of
-``[^\\x20\\x09-\\x0D]``, in pieces of ``SPAN`` bytes at most); the state starts anew
-at each unit, so a batch runs the network once for each distinct unit and weighs
-it by its occurrences; a worker remembers the sums of up to ``MEMO`` words, which
-bounds its memory.  Every byte of every word of the whole text is labelled.
+probabilities are the mean over all its positions.  Texts are read in windows, so
+that many run side by side and a long text needs no more memory: a window labels
+``CORE`` bytes and reads ``CONTEXT`` bytes more on either side, across words, before
+the state of either direction counts.  Every byte of the whole text is labelled once.
 
 It is trained in numpy by backpropagation through time with Adam, on the driver,
-from a bounded sample: ``TRAIN_DOCS`` documents a language, chosen by a hash of
-the id, and ``TRAIN_WORDS`` words of each, evenly spaced over the whole text.
+from a bounded sample of whole labelled texts: ``TRAIN_DOCS`` a language, and
+``TRAIN_ROWS`` in all where there are many languages, chosen by a hash of the row.
+Every label found gets an output.  A training step draws spans of ``SPAN`` bytes from
+anywhere in these texts, as many of each language.
 
 Defined cases: null text, or a text without a letter -> 'und' with score 0; no
-labelled row at all -> 'und' everywhere; repeated rows give equal rows.
+labelled row at all -> 'und' everywhere; equal probabilities -> the first language in
+order; repeated rows give equal rows and train once; input columns called lang_pred
+or score are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,25 +25,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.common import map_text
 
-#: Bounds of the training sample (documents a language, words a document) and on languages.
-TRAIN_DOCS, TRAIN_WORDS, MAX_LANGS = 300, 120, 200
-SPAN = 24
+#: Bounds of the training sample: documents a language, and in all.
+TRAIN_DOCS, TRAIN_ROWS = 300, 20_000
 EMBED, HIDDEN = 8, 16
-STEPS, WORDS_A_STEP, RATE = 700, 256, 0.01
-#: Units that go through the network at once.
-RUN_UNITS = 4096
-MEMO = 250_000
+STEPS, SPANS_A_STEP, SPAN, RATE = 500, 128, 32, 0.01
+#: Bytes a window labels, and reads before and after these.
+CORE, CONTEXT = 256, 16
+#: Windows that go through the network at once.
+RUN_WINDOWS = 1024
 
 
-def _sigmoid(x):
-    return 1.0 / (1.0 + np.exp(-x))
+def _squash(x):
+    """x / (1 + |x|): the cells' activation, several times as cheap as a tanh."""
+    return x / (1.0 + np.abs(x))
+
+
+def _slope(y):
+    """Derivative of ``_squash`` where its value is y."""
+    return (1.0 - np.abs(y)) ** 2
 
 
 @dataclass
@@ -68,9 +76,9 @@ class BiGru:
         out = np.empty((steps, n, HIDDEN), np.float32)
         for t in range(steps) if d == "f" else reversed(range(steps)):
             a = table[x[t]]
-            zr = _sigmoid(a[:, : 2 * HIDDEN] + h @ u_zr)
+            zr = 0.5 + 0.5 * _squash(a[:, : 2 * HIDDEN] + h @ u_zr)
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            g = np.tanh(a[:, 2 * HIDDEN :] + (r * h) @ u_h)
+            g = _squash(a[:, 2 * HIDDEN :] + (r * h) @ u_h)
             m = mask[t][:, None]
             if keep is not None:
                 keep.append((t, h, z, r, g, m))
@@ -112,9 +120,9 @@ class BiGru:
             for t, h, z, r, g, m in reversed(kept[d]):
                 dh = dh + d_both[t][:, at : at + HIDDEN]
                 step = dh * m
-                dz, dg = step * (g - h) * z * (1 - z), step * z * (1 - g * g)
+                dz, dg = step * (g - h) * 0.5 * _slope(2 * z - 1), step * z * _slope(g)
                 drh = dg @ u[:, 2 * HIDDEN :].T
-                dr = drh * h * r * (1 - r)
+                dr = drh * h * 0.5 * _slope(2 * r - 1)
                 da = np.concatenate([dz, dr, dg], axis=1)
                 grads[f"U{d}"][:, : 2 * HIDDEN] += h.T @ da[:, : 2 * HIDDEN]
                 grads[f"U{d}"][:, 2 * HIDDEN :] += (r * h).T @ dg
@@ -124,17 +132,72 @@ class BiGru:
                 dh = dh - step * z + drh * r + da[:, : 2 * HIDDEN] @ u[:, : 2 * HIDDEN].T
         return loss, grads
 
-    def unit_sums(self, units: list[bytes]) -> np.ndarray:
-        """Sum of the position distributions of each unit (len(units), langs)."""
-        out = np.zeros((len(units), len(self.langs)), np.float32)
-        order = np.argsort([len(u) for u in units], kind="stable")
-        for start in range(0, len(units), RUN_UNITS):
-            some = order[start : start + RUN_UNITS]
-            x, mask = pack([units[i] for i in some])
-            out[some] = (self.positions(x, mask) * mask[..., None]).sum(0)
+    def _states(self, x: np.ndarray, alive: list[int], d: str) -> np.ndarray:
+        """As ``_run``, for columns in order of falling length: at step t the first
+        alive[t] of them go on.  Gates are arrays of their own, so all is contiguous."""
+        steps, n = x.shape
+        gates = [slice(0, HIDDEN), slice(HIDDEN, 2 * HIDDEN), slice(2 * HIDDEN, None)]
+        base = self.p["E"] @ self.p[f"W{d}"] + self.p[f"b{d}"]
+        tables = [np.ascontiguousarray(base[:, g], np.float32) for g in gates]
+        weights = [np.ascontiguousarray(self.p[f"U{d}"][:, g], np.float32) for g in gates]
+        h = np.zeros((n, HIDDEN), np.float32)
+        out = np.zeros((steps, n, HIDDEN), np.float32)
+        spare = np.empty((n, HIDDEN), np.float32)
+
+        def squashed(state, gate, ch):
+            y, size = state @ weights[gate], spare[: len(ch)]
+            y += np.take(tables[gate], ch, axis=0, out=size, mode="clip")
+            np.abs(y, out=size)
+            size += 1.0
+            y /= size
+            return y
+
+        for t in range(steps) if d == "f" else reversed(range(steps)):
+            own, ch = h[: alive[t]], x[t, : alive[t]]
+            z, r = squashed(own, 0, ch), squashed(own, 1, ch)
+            z += 1.0
+            r += 1.0
+            z *= 0.5
+            r *= 0.5
+            r *= own
+            g = squashed(r, 2, ch)
+            g -= own
+            g *= z
+            own += g
+            out[t, : alive[t]] = own
+        return out
+
+    def window_sums(self, raw: np.ndarray, begin: np.ndarray, first: np.ndarray, last: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Sum of the label distributions of raw[first:last] for each window, which
+        reads raw[begin:end] (len(begin), langs)."""
+        out = np.zeros((len(begin), len(self.langs)))
+        order = np.argsort(begin - end, kind="stable")
+        for at in range(0, len(order), RUN_WINDOWS):
+            some = order[at : at + RUN_WINDOWS]
+            sizes = (end - begin)[some]
+            spots = begin[some] + np.arange(sizes[0])[:, None]
+            x = raw[np.minimum(spots, len(raw) - 1)].astype(np.intp)
+            alive = np.searchsorted(-sizes, -np.arange(sizes[0])).tolist()
+            scores = self.p["c"][:, None] + sum(self.p["V"][rows].T @ self._states(x, alive, d).reshape(-1, HIDDEN).T for d, rows in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))))
+            scores -= scores.max(0)
+            np.exp(scores, out=scores)
+            core = (spots >= first[some]) & (spots < last[some])
+            scores *= (core.ravel() / scores.sum(0)).astype(np.float32)
+            out[some] = scores.reshape(-1, *x.shape).sum(1).T
         return out
 
 
+def windows(offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, begin, first, last, end) of all windows of texts at offsets[i]:offsets[i + 1]."""
+    sizes = np.diff(offsets)
+    each = -(-sizes // CORE)
+    text = np.repeat(np.arange(len(sizes)), each)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
+    first = offsets[text] + number * CORE
+    last = np.minimum(first + CORE, offsets[text + 1])
+    return text, np.maximum(first - CONTEXT, offsets[text]), first, last, np.minimum(last + CONTEXT, offsets[text + 1])
+
+
 def pack(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(T, N) bytes, 256 where a unit has ended, and the mask of real bytes."""
     longest = max(map(len, units))
@@ -144,23 +207,23 @@ def pack(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(mask, raw, 256).T.astype(np.int64), mask.T.astype(np.float32)
 
 
-def spans(word: bytes) -> list[bytes]:
-    return [word[i : i + SPAN] for i in range(0, len(word), SPAN)] if len(word) > SPAN else [word]
-
-
 def train(sample: dict[str, list[bytes]], steps: int = STEPS, seed: int = 7) -> BiGru:
-    """sample: units by language.  Each step draws as many of every language."""
+    """sample: texts by language.  Each step draws as many spans of every language."""
     langs = sorted(sample)
     net = BiGru.fresh(langs, seed)
     rng = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    each = max(1, WORDS_A_STEP // len(langs))
+    each = max(1, SPANS_A_STEP // len(langs))
     for step in range(1, steps + 1):
         units, label = [], []
-        for k, lang in enumerate(langs):
-            own = sample[lang]
-            units += [own[i] for i in rng.integers(0, len(own), each)]
+        # all languages in a step, or as many of them as it has spans
+        drawn = range(len(langs)) if len(langs) <= SPANS_A_STEP else rng.choice(len(langs), SPANS_A_STEP, replace=False)
+        for k in drawn:
+            own = sample[langs[k]]
+            for text in (own[i] for i in rng.integers(0, len(own), each)):
+                at = rng.integers(0, max(1, len(text) - SPAN + 1))
+                units.append(text[at : at + SPAN])
             label += [k] * each
         _, grads = net.loss_and_gradients(*pack(units), np.array(label))
         rate = RATE * min(1.0, 2.0 * (1 - step / (steps + 1)))
@@ -172,77 +235,38 @@ def train(sample: dict[str, list[bytes]], steps: int = STEPS, seed: int = 7) ->
     return net
 
 
-def sample_units(docs: DataFrame, lang_col: str = "lang", key_col: str = "doc_id") -> dict[str, list[bytes]]:
-    """The bounded training sample: units by language."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull())
-    # at most MAX_LANGS languages, the most frequent ones
-    counts = labelled.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()
+def sample_texts(docs: DataFrame, lang_col: str = "lang", key_col: str = "doc_id") -> dict[str, list[bytes]]:
+    """The bounded training sample: whole texts by language, equal rows once."""
+    labelled = docs.where(F.col(lang_col).isNotNull() & (F.octet_length("text") > 0))
+    named = labelled.select(F.col(lang_col).cast("string").alias("l"), F.xxhash64(key_col, "text", F.lit(11)).alias("h"), "text")
+    counts = named.groupBy("l").count().collect()  # one number a label
     if not counts:
         return {}
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, 1.5 * TRAIN_DOCS / r["count"]))])
-    draw = F.pmod(F.xxhash64(key_col, F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    chosen = labelled.where(draw < F.coalesce(rate[F.col(lang_col)], F.lit(0.0))).select(F.col(lang_col).alias("l"), F.xxhash64(key_col, "text").alias("h"), "text")
-
-    def pick(batches):
-        for batch in batches:
-            kept = []
-            for text in batch.column(2).to_pylist():
-                words = text.encode().split()
-                step = max(1.0, len(words) / TRAIN_WORDS)
-                kept.append([s for i in range(min(TRAIN_WORDS, len(words))) for s in spans(words[int(i * step)])[:4]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.binary()))], names=["l", "h", "units"])
-
-    out: dict[str, list[bytes]] = {}
-    taken: dict[str, int] = {}
-    # repeated ids could exceed the expected number: the limit holds the bound
-    for r in chosen.mapInArrow(pick, "l string, h long, units array<binary>").limit(2 * TRAIN_DOCS * len(counts)).collect():
-        if r["units"] and taken.get(r["l"], 0) < 2 * TRAIN_DOCS:
-            taken[r["l"]] = taken.get(r["l"], 0) + 1
-            out.setdefault(r["l"], []).extend(bytes(u) for u in r["units"])
-    return {k: sorted(v) for k, v in out.items()}
+    each = max(1, min(TRAIN_DOCS, TRAIN_ROWS // len(counts)))
+    # a small language is taken whole, of others half as much again as is needed
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, max(1.5 * each, each + 20) / r["count"]))])
+    draw = F.pmod(F.xxhash64("h"), F.lit(1 << 40)) / float(1 << 40)
+    chosen = named.where(draw < rate[F.col("l")]).dropDuplicates(["l", "h"])
+    out: dict[str, list[tuple[int, bytes]]] = {}
+    for r in chosen.collect():
+        out.setdefault(r["l"], []).append((r["h"], r["text"].encode()))
+    return {k: [text for _, text in sorted(v)[:each]] for k, v in out.items()}
 
 
 def predictor(net: BiGru | None):
     """A function from a list of texts to [language, score] Arrow arrays."""
-    memo: dict[str, int] = {}
-    held = np.zeros((MEMO, len(net.langs) if net else 0))
-
-    def word_sums(words: list[str]) -> np.ndarray:
-        """Sum of the position distributions of each word (len(words), langs)."""
-        rows = np.fromiter((memo.get(w, -1) for w in words), np.int64, len(words))
-        out = held[rows]
-        missing = np.flatnonzero(rows < 0)
-        units: list[bytes] = []
-        ends = np.zeros(len(missing) + 1, np.int64)
-        for k, i in enumerate(missing):
-            units.extend(spans(words[i].encode()) if words[i] else [])
-            ends[k + 1] = len(units)
-        if units:
-            sums = np.zeros((len(units) + 1, len(net.langs)))
-            np.cumsum(net.unit_sums(units), axis=0, dtype=np.float64, out=sums[1:])
-            out[missing] = sums[ends[1:]] - sums[ends[:-1]]
-        else:
-            out[missing] = 0
-        for i in missing[: MEMO - len(memo)]:
-            held[len(memo)] = out[i]
-            memo[words[i]] = len(memo)
-        return out
 
     def predict(texts: list[str | None]) -> list[pa.Array]:
         langs: list[str] = ["und"] * len(texts)
         scores = [0.0] * len(texts)
         lettered = [i for i, t in enumerate(texts) if net and t and any(map(str.isalpha, t))]
         if lettered:
-            column = pa.array([texts[i].encode() for i in lettered], pa.large_binary())
-            lists = pc.ascii_split_whitespace(column.cast(pa.large_string()))
-            words = lists.values.dictionary_encode()
-            lists_at = np.asarray(lists.offsets)
-            by_word = word_sums(words.dictionary.to_pylist())
-            each = by_word[np.asarray(words.indices)]
-            whole = np.zeros((len(each) + 1, len(net.langs)))
-            np.cumsum(each, axis=0, out=whole[1:])
-            pooled = whole[lists_at[1:]] - whole[lists_at[:-1]]
-            pooled = np.maximum(pooled, 0)
+            raws = [texts[i].encode() for i in lettered]
+            raw = np.frombuffer(b"".join(raws), np.uint8)
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
+            text, *spots = windows(offsets)
+            pooled = np.zeros((len(raws), len(net.langs)))
+            np.add.at(pooled, text, net.window_sums(raw, *spots))
             pooled /= pooled.sum(1, keepdims=True)
             best = pooled.argmax(1)
             for i, b, row in zip(lettered, best, pooled):
@@ -260,5 +284,5 @@ def identify(docs: DataFrame, net: BiGru | None, carry: list[str] | None = None,
 
 def fit(docs: DataFrame, training: Column) -> BiGru | None:
     """Train on the rows for which ``training`` holds; None if none is labelled."""
-    sample = sample_units(docs.where(training))
+    sample = sample_texts(docs.where(training))
     return train(sample) if sample else None

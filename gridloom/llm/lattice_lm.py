@@ -4,29 +4,32 @@ Tokens are the words of the text (A-Z lower-cased) and one end.  A word's
 probability is a marginal: the forward recursion, in log space, sums over all ways
 to write it with the pieces of an existing vocabulary.  The first piece is one that
 begins a word, later ones are not; after each piece the word stops or goes on, so
-the lattice gives a distribution over words.  A character without a piece of its own is written in byte pieces.
+the lattice gives a distribution over words.  A character without a piece of its own
+is written in byte pieces.  A text's score is the log10 of the product of its words'
+marginals and of the end's probability: the marginal probability of the document, as
+no piece reaches over a gap between words.
 
 Piece probabilities start from the vocabulary's own scores (a score is minus a
 rank; the prior is 1 / (rank + ``RANK_OFFSET``)) and are re-estimated by
-expectation-maximisation over all distinct training words, with the prior as
-pseudo-counts.  Each word weighs the same there, as the lattice is the back-off of
-discounted counts, to which each gives d: p(word) = max(c - d, 0) / n + d * v / n *
-lattice(word), with c the word's training count, n all, v distinct training words,
-d = ``DISCOUNT``.
+expectation-maximisation over all uses of words in the training texts, with the
+prior as ``PRIOR_COUNTS`` pseudo-counts.  The end's probability is the share of ends
+among the training tokens.
 
-Along a document that probability is the base of an adaptive rule: after i words, t
-of them distinct, a word met h times before has (max(h - b, 0) + (a + b * t) *
-p(word)) / (a + i), a = ``ADAPT_MASS``, b = ``ADAPT_DISCOUNT``.  It sums to 1 over
-words at each position and sees earlier words of the same text only.
+``mixed_score``, a column beside the score, is another model that takes the lattice as
+the back-off of whole-word counts: p(word) = max(c - d, 0) / n + d * v / n * lattice(word),
+with c the word's training count, n all, v distinct training words, d = ``DISCOUNT``.
 
 Scale: documents are read in chunks of about ``CHUNK_BYTES``.  A chunk is encoded
 against its own dictionary, and only distinct words of chunks are shuffled: once to
-be counted over the corpus, once back to their chunk with count and probability.
+be counted over the corpus, once back to their chunk with count and probability.  A
+task scores the chunks dealt to it; their number grows with the input.
 What reaches the driver is one number a piece and totals.
 
 Defined cases: null text counts as empty and has the end token only; without any
-training document every word has probability by the prior lattice alone; repeated
-rows are scored one by one and count one by one in training.
+training document every word has its probability by the vocabulary's scores alone;
+repeated rows are scored one by one and count one by one in training; ids may be of
+any type; a very long text is a chunk of its own and read whole; other columns are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,10 +48,7 @@ from gridloom.llm.common import regroup, store
 from gridloom.llm.pieces import MARK, default_model, vocabulary
 
 CHUNK_BYTES = 24 << 20
-RANK_OFFSET, PRIOR_COUNTS, ROUNDS, DISCOUNT = 10.0, 1000.0, 3, 0.75
-ADAPT_MASS, ADAPT_DISCOUNT = 100.0, 0.9
-#: Words that are scored at once; a longer document is taken alone.
-SCORE_WORDS = 1 << 16
+RANK_OFFSET, PRIOR_COUNTS, ROUNDS, DISCOUNT = 10.0, 1000.0, 4, 0.75
 #: Matrix cells (words x longest word) that the recursion handles at once.
 CELLS = 1 << 20
 NEG = -1e30
@@ -182,25 +182,12 @@ def _bytes_list(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [raw[4 * a : 4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-TOKENS = T.StructType(
-    [
-        T.StructField("chunk", T.LongType()),
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("held_out", T.BooleanType()),
-        T.StructField("ids", T.BinaryType()),
-        T.StructField("wid", T.IntegerType()),
-        T.StructField("word", T.StringType()),
-        T.StructField("n_train", T.LongType()),
-    ]
-)
-
-
 def tokenise(docs: DataFrame, held_out: Column) -> DataFrame:
     """Rows of two kinds by chunk: documents as word numbers (ids), and the chunk's
     dictionary (wid, word, n_train: its uses in training documents)."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    names = TOKENS.fieldNames()
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.string(), pa.int64()]
+    source = docs.select("doc_id", held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType([T.StructField("chunk", T.LongType()), source.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("ids", T.BinaryType()), T.StructField("wid", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("n_train", T.LongType())])
+    names = schema.fieldNames()
 
     def run(batches):
         from pyspark import TaskContext
@@ -222,6 +209,7 @@ def tokenise(docs: DataFrame, held_out: Column) -> DataFrame:
             training = ~np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
             used = np.bincount(ids[np.repeat(training, np.diff(offsets))], minlength=len(words))
             n, v = batch.num_rows, len(words)
+            kinds = [pa.int64(), batch.column(0).type, pa.bool_(), pa.binary(), pa.int32(), pa.string(), pa.int64()]
             columns = [pa.array(np.full(n, chunk)), batch.column(0), batch.column(1), pa.array(_bytes_list(ids, offsets), pa.binary()), *[pa.nulls(n, t) for t in kinds[4:]]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
             for a in range(0, v, 65536):
@@ -232,11 +220,11 @@ def tokenise(docs: DataFrame, held_out: Column) -> DataFrame:
                 yield out if blank < 0 else out.filter(pa.array(wid != blank))
             chunk += 1
 
-    return source.mapInArrow(run, TOKENS)
+    return source.mapInArrow(run, schema)
 
 
 def fit_pieces(words: DataFrame, model_file: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece log probabilities by expectation-maximisation on the distinct words(word)."""
+    """Piece log probabilities by expectation-maximisation on words(word, c), each c times."""
     pieces = vocabulary(model_file).pieces
     logp = Lattice(pieces).logp
     for _ in range(rounds):
@@ -245,11 +233,11 @@ def fit_pieces(words: DataFrame, model_file: str, rounds: int = ROUNDS) -> np.nd
             lattice = Lattice(vocabulary(model_file).pieces, logp)
             total = np.zeros(len(logp))
             for batch in batches:
-                total += lattice.expected_counts(batch.column(0).to_pylist(), np.ones(batch.num_rows))
+                total += lattice.expected_counts(batch.column(0).to_pylist(), np.asarray(batch.column(1), float))
             at = np.flatnonzero(total).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 
-        sums = words.select("word").mapInArrow(expect, "k int, n double").groupBy("k").agg(F.sum("n").alias("n"))
+        sums = words.select("word", "c").mapInArrow(expect, "k int, n double").groupBy("k").agg(F.sum("n").alias("n"))
         counts = np.zeros(len(logp))
         for r in sums.collect():  # a row a piece at most
             counts[r["k"]] = r["n"]
@@ -257,36 +245,15 @@ def fit_pieces(words: DataFrame, model_file: str, rounds: int = ROUNDS) -> np.nd
     return logp
 
 
-def adapt(ids: np.ndarray, doc: np.ndarray, logp: np.ndarray, go_on: float) -> np.ndarray:
-    """Natural log probability of each word in its place.
-
-    ids: word numbers, document after document; doc: their document's number,
-    ascending; logp: by word number, the factor go_on (no end here) within it.
-    """
-    each = np.arange(len(ids))
-    order = np.lexsort((each, ids, doc))
-    w, d = ids[order], doc[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
-    met = np.empty(len(ids), np.int64)
-    met[order] = each - np.maximum.accumulate(np.where(new, each, 0))
-    first = np.searchsorted(doc, doc)
-    fresh = np.concatenate([[0], np.cumsum(met == 0)])
-    before, distinct = each - first, fresh[each] - fresh[first]
-    again = np.log(np.maximum(met - ADAPT_DISCOUNT, 1e-300) * go_on)
-    again[met == 0] = -np.inf
-    return np.logaddexp(again, np.log(ADAPT_MASS + ADAPT_DISCOUNT * distinct) + logp[ids]) - np.log(ADAPT_MASS + before)
-
-
 def score(docs: DataFrame, held_out: Column, model_file: str | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score."""
     path = model_file or default_model()
     tokens = store(tokenise(docs, held_out))
     rows = tokens.where(F.col("ids").isNotNull()).select("chunk", "doc_id", "held_out", "ids")
     dictionary = tokens.where(F.col("word").isNotNull()).select("chunk", "wid", "word", "n_train")
     words = store(dictionary.groupBy("word").agg(F.sum("n_train").alias("c")))
     n_words, v_words = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).collect()[0]
-    ends = rows.where(~F.col("held_out")).count()
+    ends, chunks = rows.agg(F.count_if(~F.col("held_out")), F.count_distinct("chunk")).collect()[0]
     logp = fit_pieces(words.where("c > 0"), path)
     total, distinct = n_words + ends, v_words + (1 if ends else 0)
     p_end = (ends + 0.5) / (total + 1.0)
@@ -296,54 +263,39 @@ def score(docs: DataFrame, held_out: Column, model_file: str | None = None) -> D
         for batch in batches:
             c = np.asarray(batch.column(1), float)
             q = lattice.log_probability(batch.column(0).to_pylist())
+            mixed = q
             if n_words:
                 seen = np.log(np.maximum(c - DISCOUNT, 1e-300) / n_words)
                 seen[c == 0] = -np.inf
-                q = np.logaddexp(seen, math.log(DISCOUNT * v_words / n_words) + q)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(q + math.log(1 - p_end))], names=["word", "c", "lp"])
+                mixed = np.logaddexp(seen, math.log(DISCOUNT * v_words / n_words) + q)
+            go_on = math.log(1 - p_end)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(q + go_on), pa.array(mixed + go_on)], names=["word", "c", "lp", "mixed"])
 
-    table = words.mapInArrow(word_probabilities, "word string, c long, lp double")
-    known = dictionary.drop("n_train").join(table, "word").select(F.col("chunk").alias("part"), "wid", "c", "lp")
+    table = words.mapInArrow(word_probabilities, "word string, c long, lp double, mixed double")
+    known = dictionary.drop("n_train").join(table, "word").select(F.col("chunk").alias("part"), "wid", "c", "lp", "mixed")
     smooth = 1.0 * (total + 1.0 * (distinct + 1))
-    out = T.StructType(
-        [
-            T.StructField("doc_id", T.LongType()),
-            T.StructField("held_out", T.BooleanType()),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("n_known", T.LongType()),
-            T.StructField("train_tokens", T.LongType()),
-            T.StructField("base_score", T.DoubleType()),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    longs = [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")]
+    doubles = [T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "mixed_score")]
+    out = T.StructType([rows.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *longs, *doubles])
 
     def score_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
         wid = np.asarray(right["wid"].to_numpy(), np.int64)
         size = int(wid.max()) + 1 if len(wid) else 0
-        c, lp = np.zeros(size), np.zeros(size)
-        c[wid], lp[wid] = right["c"].to_numpy(), right["lp"].to_numpy()
+        c, lp, mixed = np.zeros(size), np.zeros(size), np.zeros(size)
+        c[wid], lp[wid], mixed[wid] = right["c"].to_numpy(), right["lp"].to_numpy(), right["mixed"].to_numpy()
         base = np.log10((c + 1) / smooth)
         end_base = math.log10((ends + 1) / smooth)
-        made = [[], [], [], []]
-        texts = [np.frombuffer(raw, np.int32) for raw in left["ids"].to_pylist()]
-        ends_at = np.cumsum([len(ids) for ids in texts])
-        a = 0
-        while a < len(texts):
-            done = ends_at[a] - len(texts[a])
-            b = max(a + 1, int(np.searchsorted(ends_at, done + SCORE_WORDS, side="right")))
-            sizes = [len(ids) for ids in texts[a:b]]
-            ids, doc = np.concatenate(texts[a:b]).astype(np.int64), np.repeat(np.arange(b - a), sizes)
-
-            def total_of(values: np.ndarray) -> np.ndarray:
-                return np.bincount(doc, values, b - a)
-
-            made[0] += [k + 1 for k in sizes]
-            made[1] += (total_of(c[ids] > 0).astype(np.int64) + (1 if ends else 0)).tolist()
-            made[2] += (total_of(base[ids]) + end_base).tolist()
-            made[3] += (total_of(adapt(ids, doc, lp, 1 - p_end)) / math.log(10) + math.log10(p_end)).tolist()
-            a = b
-        n = left.num_rows
-        columns = [left["doc_id"].combine_chunks(), left["held_out"].combine_chunks(), pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array([total] * n, pa.int64()), pa.array(made[2], pa.float64()), pa.array(made[3], pa.float64())]
-        return pa.Table.from_arrays(columns, names=out.fieldNames())
-
-    return rows.groupBy("chunk").cogroup(known.groupBy("part")).applyInArrow(score_chunk, out)
+        end_model = math.log10(p_end)
+        made: list[list] = [[], [], [], [], []]
+        for raw in left["ids"]:
+            ids = np.frombuffer(raw.as_buffer(), np.int32)
+            sums = (len(ids) + 1, int((c[ids] > 0).sum()) + (1 if ends else 0), base[ids].sum() + end_base)
+            for column, value in zip(made, (*sums, lp[ids].sum() / math.log(10) + end_model, mixed[ids].sum() / math.log(10) + end_model)):
+                column.append(value)
+        columns = [pa.array(x, pa.int64()) for x in made[:2]] + [pa.array([total] * left.num_rows, pa.int64())] + [pa.array(x, pa.float64()) for x in made[2:]]
+        return pa.Table.from_arrays([left["doc_id"].combine_chunks(), left["held_out"].combine_chunks(), *columns], names=out.fieldNames())
+
+    # a few chunks a task, however many there are
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks)
+    dealt = rows.repartition(tasks, "chunk"), known.repartition(tasks, "part")
+    return dealt[0].groupBy("chunk").cogroup(dealt[1].groupBy("part")).applyInArrow(score_chunk, out)

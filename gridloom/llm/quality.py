@@ -4,14 +4,21 @@ Rules of a document: ``base`` (under 20 words, or more than 30 % of its words li
 in 8-word windows that repeat) and ``soft`` (more than ``SYMBOLS`` symbols a
 word, or more than ``DUP_LINES`` of its lines repeat earlier ones).
 
-Failures are aggregated by host.  A beta prior is fitted to the hosts' raw rates
-by the method of moments, and a host's rate is shrunk to
+Failures of either kind are aggregated by host.  A beta prior is fitted to the hosts'
+raw rates by the method of moments, and a host's rate is shrunk to
 (failures + alpha) / (documents + alpha + beta): a host with few documents is held
-close to the corpus.  The verdicts are joined back: a host whose shrunk rate exceeds
-``HOST_LIMIT`` loses all its documents, any other only those that fail a rule.
+close to the corpus.  A host is rejected when its shrunk rate is over the limit, which
+comes from the fitted prior: its mean and ``SPREAD`` standard deviations, but no
+less than ``LEAST_LIMIT`` (a host whose documents mostly pass is never rejected) and
+no more than ``MOST_LIMIT`` (however bad the other hosts are).  The verdicts are
+joined back: a document goes if it fails ``base`` or if its host is rejected; ``soft``
+failures count for the host's rate only.
 
 Defined cases: null text has no words and fails; a null host is no host and gets no
-verdict; a null doc_id or repeated rows are judged like any other row; an empty table gives no rows.
+verdict; a null doc_id or repeated rows are judged like any other row; hosts exactly
+at the limit stay; a very long text is measured whole; input columns named like a
+metric are replaced in ``quality_rules`` and kept as they are in ``filter_documents``;
+an empty table gives no rows.
 Eight-word windows are compared by 64-bit hashes.
 """
 
@@ -20,14 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD_GAP, cut, let, maybe_broadcast
+from gridloom.llm.common import WORD_GAP, cut, join_small, let, store
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS, DUP_LINES = 0.5, 0.5
-HOST_LIMIT = 0.6
-#: Parts a host's documents are dealt into when the verdicts are joined by shuffle.
-SALTS = 32
+SPREAD, LEAST_LIMIT, MOST_LIMIT = 2.0, 0.5, 0.75
 
+FLAGS = ["base_failed", "soft_failed"]
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 
 
@@ -57,7 +63,7 @@ def repeat_words(words: Column, n: int = WINDOW) -> Column:
 
 def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns plus METRICS (long), base_failed, soft_failed (boolean)."""
-    new = {*METRICS, "base_failed", "soft_failed"}
+    new = {*METRICS, *FLAGS}
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
@@ -88,26 +94,18 @@ def host_verdicts(judged: DataFrame, host_col: str = "source") -> DataFrame:
     between = max((m["var"] or 0.0) - mean * (1 - mean) * (m["inv"] or 0.0), 1e-6)
     strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e4)
     alpha, beta = mean * strength, (1 - mean) * strength
+    deviation = (mean * (1 - mean) / (strength + 1)) ** 0.5
+    limit = min(max(mean + SPREAD * deviation, LEAST_LIMIT), MOST_LIMIT)
     shrunk = (F.col("failures") + alpha) / (F.col("docs") + alpha + beta)
-    return hosts.withColumn("rate", shrunk).withColumn("rejected", shrunk > HOST_LIMIT)
+    return hosts.withColumn("rate", shrunk).withColumn("rejected", shrunk > limit)
 
 
 def judge(judged: DataFrame, verdicts: DataFrame, host_col: str = "source") -> DataFrame:
-    """Add kept: not failed, and of no rejected host.
-
-    Only rejected hosts are joined.  They are broadcast if counted to be few, else
-    both sides are salted, so that a hot host is many tasks.
-    """
+    """Add kept: base passed, and of no rejected host.  Only rejected hosts are joined."""
     bad = cut(verdicts.where("rejected").select(F.col("host").alias("__host")))
-    small = maybe_broadcast(bad)
-    if small is bad:
-        salted = judged.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in METRICS]), F.lit(SALTS)))
-        spread = bad.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(spread, (F.col(host_col).cast("string") == F.col("__host")) & (F.col("__salt") == F.col("__salt2")), "left").drop("__salt", "__salt2")
-    else:
-        joined = judged.join(small, F.col(host_col).cast("string") == F.col("__host"), "left")
-    kept = ~F.col("base_failed") & ~F.col("soft_failed") & F.col("__host").isNull()
-    return joined.withColumn("kept", kept).drop("__host")
+    keyed = judged.withColumn("__key", F.col(host_col).cast("string"))
+    joined = join_small(keyed, bad, "__key", "__host", "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.col("__host").isNull()).drop("__host", "__key")
 
 
 def quality_rules(docs: DataFrame, host_col: str = "source") -> DataFrame:
@@ -123,9 +121,12 @@ def quality_rules(docs: DataFrame, host_col: str = "source") -> DataFrame:
 def filter_documents(docs: DataFrame, host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, columns as given.
 
-    The rules are cheap beside moving texts, so the texts stay where they are and
-    are measured twice: once for the hosts, once for the rows.
+    A text is measured once.  The rows are stored with their flags, without the texts
+    that fail ``base`` and go anyway; the hosts' rates and the rows are read from that.
     """
-    verdicts = host_verdicts(metrics(docs.select(host_col, "text")), host_col)
-    judged = judge(metrics(docs), verdicts, host_col)
-    return judged.where("kept").select(*[f"`{c}`" for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = docs.select(F.struct(*columns).alias("__row"), F.col(f"`{host_col}`").alias("__site"), "text")
+    flagged = metrics(row).select(F.when(~F.col("base_failed"), F.col("__row")).alias("__row"), "__site", *FLAGS)
+    flagged = store(flagged)
+    judged = judge(flagged, host_verdicts(flagged, "__site"), "__site")
+    return judged.where("kept").select("__row.*")

@@ -90,4 +90,51 @@ ORACLE_SQL = {
                    string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes) AS cleaned
             FROM marked GROUP BY doc_id) m USING (doc_id)
     """,
+    "op8_host_quality": f"""
+        WITH numbered AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+        cut_up AS (
+            SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+                   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+            FROM numbered),
+        word AS (SELECT rid, unnest(words) AS w, unnest(range(len(words))) AS pos FROM cut_up),
+        windows AS (
+            SELECT rid, pos, lead(w, {quality.WINDOW - 1}) OVER win AS last,
+                   {" || ' ' || ".join(f"coalesce(lead(w, {k}) OVER win, '')" for k in range(quality.WINDOW))} AS gram
+            FROM word WINDOW win AS (PARTITION BY rid ORDER BY pos)),
+        repeated AS (
+            SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid, gram) AS n FROM windows WHERE last IS NOT NULL)
+            WHERE n > 1),
+        covered AS (
+            SELECT rid, sum(reach) AS n_repeat_words
+            FROM (SELECT rid, least(coalesce(lead(pos) OVER (PARTITION BY rid ORDER BY pos) - pos, {quality.WINDOW}), {quality.WINDOW}) AS reach FROM repeated)
+            GROUP BY rid),
+        measured AS (
+            SELECT doc_id, source, len(words) AS n_words,
+                   length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                   len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words
+            FROM cut_up LEFT JOIN covered USING (rid)),
+        judged AS (
+            SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed,
+                   n_symbols > {quality.SYMBOLS} * n_words OR n_dup_lines > {quality.DUP_LINES} * n_lines AS soft_failed
+            FROM measured),
+        hosts AS (
+            SELECT source, count(*)::DOUBLE AS docs, count(*) FILTER (base_failed OR soft_failed)::DOUBLE AS failures
+            FROM judged WHERE source IS NOT NULL GROUP BY source),
+        moments AS (
+            SELECT least(greatest(coalesce(avg(failures / docs), 0), 1e-4), 1 - 1e-4) AS mean,
+                   coalesce(var_pop(failures / docs), 0) AS var, coalesce(avg(1 / docs), 0) AS inv FROM hosts),
+        prior AS (
+            SELECT mean, least(greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * inv, 1e-6) - 1, 1), 1e4) AS strength
+            FROM moments),
+        rejected AS (
+            SELECT source FROM hosts, prior
+            WHERE (failures + mean * strength) / (docs + strength)
+                  > least(greatest(mean + {quality.SPREAD} * sqrt(mean * (1 - mean) / (strength + 1)), {quality.LEAST_LIMIT}), {quality.MOST_LIMIT}))
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+               n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+               NOT base_failed AND r.source IS NULL AS kept
+        FROM judged LEFT JOIN rejected r ON judged.source = r.source
+    """,
 }

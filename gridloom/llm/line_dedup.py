@@ -12,7 +12,10 @@ hashes to be taken out of it.
 
 Defined cases: null text stays null; a null site counts as no site; a document may
 lose all lines and then has text ''; null doc_ids never keep a boilerplate line;
-rows that share a doc_id lose the same lines; an empty table gives no rows.
+rows that share a doc_id lose the same lines, and a line that repeats within a document
+counts once for its site; a text at exactly ``MIN_SITES`` sites is boilerplate; a very
+long text is split in one row; input columns called n_lines or n_removed are replaced in
+``dedup_lines`` and kept as they are in ``clean_documents``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -64,14 +67,30 @@ def removals(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source") -> DataFrame:
     """All columns with the cleaned text, plus n_lines and n_removed (long)."""
+    made = _cleaned(docs, min_sites, site_col)
+    keep = [F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return made.select(*keep, F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
+
+
+def clean_documents(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", length_col: str = "n_chars") -> DataFrame:
+    """The columns of ``docs`` with the cleaned text; ``length_col``, if there is one,
+    follows the text where a line was taken out."""
+    made = _cleaned(docs, min_sites, site_col)
+    changed = F.col("__removed") > 0
+    new = {"text": F.col("__text")}
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        new[length_col] = F.when(changed, F.length("__text").cast(kind)).otherwise(F.col(f"`{length_col}`"))
+    return made.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def _cleaned(docs: DataFrame, min_sites: int, site_col: str) -> DataFrame:
+    """``docs`` with __text, __lines and __removed."""
     lost = cut(removals(docs, boilerplate(docs, min_sites, site_col))).withColumnRenamed("doc_id", "__id").withColumnRenamed("drop", "__drop")
     joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["__id"]), "left")
     parts = F.split(F.col("text"), "\n")
     goes = lambda x: F.array_contains(F.col("__drop"), F.coalesce(line_key(x), F.lit(0).cast("long"))) & (F.trim(x) != "")
     cleaned = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x: ~goes(x)), "\n"))
     n_removed = F.when(F.col("__drop").isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.filter(parts, goes)))
-    n_lines = F.coalesce(F.size(F.filter(parts, lambda x: F.trim(x) != "")), F.lit(0))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(n_lines)
-    made = joined.withColumns({"__text": cleaned, "n_removed": n_removed.cast("long"), "n_lines": n_lines.cast("long")})
-    keep = [F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    return made.select(*keep, "n_lines", "n_removed")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: F.trim(x) != "")))
+    return joined.withColumns({"__text": cleaned, "__removed": n_removed.cast("long"), "__lines": n_lines.cast("long")})

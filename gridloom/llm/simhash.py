@@ -5,17 +5,21 @@ Fingerprint: the whole text in lower case (A-Z), its words, and all shingles of
 sequence; none: fingerprint 0).  Each shingle votes with the 64 bits of its XXH64
 (seed 42); a bit is 1 if it is set in over half of the votes.
 
-Links at 2 or fewer differing bits are found among distinct fingerprints.  The 64
-bits are two segments of 32.  Within each segment the Hamming ball of radius 1 is
-enumerated while the other segment is kept, which gives 65 keys a fingerprint (33
-and 33, the centre once).  Two fingerprints differ in at most 2 bits exactly if
-they share a key: with one or two differing bits, change one of them and the key
-is within 1 of both.  So one lookup of equal keys fetches all partners and never
-anything beyond the radius; a key can hold 65 fingerprints at most, however large
-a group of copies is, and no bucket is hot.  The complete distance is verified for
-each link all the same.  Along a key the fingerprints are chained in order, which
-keeps the components of all links with a number of links in proportion to the
-rows.  ``neighbours`` gives every link itself.
+Links at 2 or fewer differing bits are found among distinct fingerprints by
+multi-index hashing.  The 64 bits are two segments of 32.  There is a table for each
+segment, by its value.  Of two fingerprints within 2 bits either the high segments
+differ in one bit at most, or the low ones agree.  So a fingerprint enumerates the
+Hamming ball of radius 1 of its high segment and the ball of radius 0 of its low one,
+looks these values up in the tables and verifies the complete distance of what it
+finds.  Of the ball of radius 1 the values with a bit less than the centre are enough,
+as the partner enumerates the others.
+
+A segment value can be crowded: near copies agree in much.  Fingerprints that hold
+or look up a value with more than ``CROWD`` holders meet by a finer table as well,
+which keeps both segments: its keys are the 65 values within one bit of the whole
+fingerprint.  Two fingerprints within 2 bits share such a key, only those do, and
+a key holds 65 at most, where they are chained in order: that keeps the components.
+``neighbours`` gives every link itself.
 
 Near-duplicates of similarity 0.8 or more (``keep_one``), by the Jaccard similarity
 of the sets of five-word shingles, lie further apart than 2 bits.  Texts with the same
@@ -53,6 +57,8 @@ from pyspark.sql import types as T
 from gridloom.llm.common import cut, map_text, maybe_broadcast
 
 SEED = 42
+#: Holders of a segment value that are all compared with each other.
+CROWD = 32
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -102,7 +108,7 @@ def hex16(simhash: Column) -> Column:
 
 
 def ball_keys(simhash: Column) -> Column:
-    """The 65 keys of a fingerprint: both segments' balls, the centre once."""
+    """The 65 keys of a fingerprint in the finer table: all values within one bit."""
     low = [1 << i for i in range(32)]
     high = [signed(1 << i) for i in range(32, 64)]
     return F.array(simhash, *[simhash.bitwiseXOR(F.lit(b).cast("long")) for b in low + high])
@@ -112,24 +118,61 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def chained_links(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """Links (a, b), a < b, whose components are those of all links within 2.
+def segment(simhash: Column, number: int) -> Column:
+    """Segment 0 (low) or 1 (high) as a number from 0."""
+    return F.shiftrightunsigned(simhash, 32 * number).bitwiseAND(F.lit((1 << 32) - 1))
 
-    prints: distinct simhash.  A link joins neighbours in the order of a key's
-    holders; all holders of a key are within 2 of each other.
-    """
-    keyed = prints.select("simhash", F.explode(ball_keys(F.col("simhash"))).alias("key"))
+
+def looked_up(simhash: Column) -> Column:
+    """Array of (seg, value): the low segment, the high one, and the high one with one
+    of its set bits cleared."""
+    low, high = segment(simhash, 0), segment(simhash, 1)
+    at = lambda seg, value: F.struct(F.lit(seg).alias("seg"), value.alias("value"))
+    bits = F.filter(F.array(*[F.lit(1 << i).cast("long") for i in range(32)]), lambda b: high.bitwiseAND(b) != 0)
+    return F.concat(F.array(at(0, low), at(1, high)), F.transform(bits, lambda b: at(1, high.bitwiseXOR(b))))
+
+
+def segment_links(prints: DataFrame, radius: int = 2, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Of distinct simhash: the links (a, b) by segment values of at most ``crowd``
+    holders, and the fingerprints (simhash) that hold or look up a fuller one."""
+    at = lambda seg: F.struct(F.lit(seg).alias("seg"), segment(F.col("simhash"), seg).alias("value"))
+    table = prints.select(F.explode(F.array(at(0), at(1))).alias("k"), F.col("simhash").alias("b")).select("k.seg", "k.value", "b")
+    held = table.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n"))
+    full = cut(held.where(F.col("n") > crowd).select("seg", "value"))
+    asked = prints.select(F.explode(looked_up(F.col("simhash"))).alias("k"), F.col("simhash").alias("a")).select("k.seg", "k.value", "a")
+    if full.isEmpty():
+        crowded = prints.limit(0)
+    else:
+        crowded = cut(asked.join(maybe_broadcast(full), ["seg", "value"], "left_semi").select("a").union(table.join(maybe_broadcast(full), ["seg", "value"], "left_semi").select("b")).distinct().toDF("simhash"))
+        table = table.join(maybe_broadcast(full), ["seg", "value"], "left_anti")
+    near = (F.col("a") != F.col("b")) & (distance(F.col("a"), F.col("b")) <= radius)
+    pairs = asked.join(table, ["seg", "value"]).where(near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowded
+
+
+def chained_links(prints: DataFrame, radius: int = 2, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b), a < b, of distinct simhash whose components are those of all
+    links within ``radius``, up to 2."""
+    links, crowded = segment_links(prints, radius, crowd)
+    if radius < 2:  # the finer table's chains need all links of two bits
+        return links.unionByName(_finer_pairs(crowded, radius)).distinct()
+    keyed = crowded.select("simhash", F.explode(ball_keys(F.col("simhash"))).alias("key"))
     before = F.lag("simhash").over(Window.partitionBy("key").orderBy("simhash"))
     pairs = keyed.select(before.alias("a"), F.col("simhash").alias("b")).where(F.col("a").isNotNull())
-    return pairs.where(distance(F.col("a"), F.col("b")) <= radius).distinct()
+    return links.unionByName(pairs.where(distance(F.col("a"), F.col("b")) <= radius)).distinct()
 
 
-def neighbours(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """Every link (a, b), a < b, between distinct fingerprints at most 2 apart."""
+def _finer_pairs(prints: DataFrame, radius: int) -> DataFrame:
     keyed = prints.select("simhash", F.explode(ball_keys(F.col("simhash"))).alias("key"))
     held = keyed.groupBy("key").agg(F.sort_array(F.collect_list("simhash")).alias("holders")).where(F.size("holders") > 1)
     pairs = held.select(F.explode(F.flatten(F.transform("holders", lambda x, i: F.transform(F.slice(F.col("holders"), i + 2, 65), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-    return pairs.select("p.a", "p.b").where(distance(F.col("a"), F.col("b")) <= radius).distinct()
+    return pairs.select("p.a", "p.b").where(distance(F.col("a"), F.col("b")) <= radius)
+
+
+def neighbours(prints: DataFrame, radius: int = 2, crowd: int = CROWD) -> DataFrame:
+    """Every link (a, b), a < b, between distinct fingerprints at most 2 apart."""
+    links, crowded = segment_links(prints, radius, crowd)
+    return links.unionByName(_finer_pairs(crowded, radius)).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ arrays and ``data`` (C-order bytes of the element type).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 from math import prod
@@ -82,11 +83,44 @@ class ArrayMeta:
 
 @dataclass(frozen=True)
 class ArrayFrame:
+    """The long form and its descriptor.
+
+    ``load``, where known, gives the elements of half-open ranges, one an axis, or
+    more than these: it reaches back to the scan, which then opens no other chunks.
+    """
+
     df: DataFrame
     meta: ArrayMeta
-
-    def with_df(self, df: DataFrame, **changes) -> "ArrayFrame":
-        return ArrayFrame(df, replace(self.meta, **changes) if changes else self.meta)
+    load: Callable[[list[tuple[int, int]]], DataFrame] | None = None
+
+    def with_df(self, df: DataFrame, load=None, **changes) -> "ArrayFrame":
+        return ArrayFrame(df, replace(self.meta, **changes) if changes else self.meta, load)
+
+    def mapped(self, change: Callable[[DataFrame], DataFrame], **changes) -> "ArrayFrame":
+        """``change`` on the long form, where it leaves elements at their positions."""
+        return self.with_df(change(self.df), self.load and (lambda ranges: change(self.load(ranges))), **changes)
+
+    def within(self, ranges: list[tuple[int, int]]) -> "ArrayFrame":
+        """Only the elements of the ranges; shape and chunks stay as they are."""
+
+        def cut(ranges):
+            df = self.load(ranges) if self.load else self.df
+            for c, n, (a, b) in zip(self.meta.columns, self.meta.shape, ranges):
+                if (a, b) != (0, n):
+                    df = df.where((F.col(c) >= a) & (F.col(c) < b))
+            return df
+
+        narrower = lambda more: cut([(max(a, x), min(b, y)) for (a, b), (x, y) in zip(ranges, more)])
+        return self.with_df(cut(ranges), narrower)
+
+    def block_span(self, axis: int, start: int, stop: int) -> tuple[int, int]:
+        """The positions of all blocks that [start, stop) meets."""
+        at, low, high = 0, None, 0
+        for c in self.meta.chunks[axis]:
+            if at < stop and at + c > start:
+                low, high = at if low is None else low, at + c
+            at += c
+        return (low or 0, high)
 
     def with_blocks(self) -> DataFrame:
         """Long form plus b_<axis> and l_<axis>: block index and local position."""
@@ -114,58 +148,96 @@ def block_grid(spark, meta: ArrayMeta) -> DataFrame:
 NUMPY = {d: np.dtype(d) for d in ("uint8", "uint16", "uint32", "uint64", "int16", "int32", "float32", "float64", "bool")}
 
 
+TOP = 1 << 64
+
+
+def to_bits(value: Column, dtype: str) -> Column:
+    """An exact column for the way to NumPy: uint64 as the long of the same bits."""
+    if dtype != "uint64":
+        return value
+    wide = value.cast("decimal(20,0)")
+    return F.when(wide >= F.lit(str(TOP // 2)).cast("decimal(20,0)"), (wide - F.lit(str(TOP)).cast("decimal(21,0)")).cast("long")).otherwise(F.when(wide < F.lit(str(TOP // 2)).cast("decimal(20,0)"), wide).cast("long"))
+
+
+def from_bits(value: Column, dtype: str) -> Column:
+    """The way back of ``to_bits``."""
+    if dtype != "uint64":
+        return value
+    wide = value.cast("decimal(21,0)")
+    return F.when(value < 0, wide + F.lit(str(TOP)).cast("decimal(21,0)")).otherwise(wide).cast("decimal(20,0)")
+
+
+def spark_kind(dtype: str) -> str:
+    """Type of the value column on its way from NumPy."""
+    return {"f": "double", "b": "boolean"}.get(NUMPY[dtype].kind, "bigint")
+
+
+def numpy_values(block: np.ndarray) -> np.ndarray:
+    """The elements of a block as ``spark_kind`` has them."""
+    flat = block.ravel()
+    return flat.view(np.int64) if flat.dtype == np.uint64 else flat.astype({"f": np.float64, "b": np.bool_}.get(flat.dtype.kind, np.int64))
+
+
 def long_to_block(frame: ArrayFrame, fill=0) -> DataFrame:
-    """Block form: absent elements (a sparse mask's background) become ``fill``."""
+    """Block form: absent elements (a sparse mask's background) become ``fill``.
+
+    A block's positions and values travel as two Arrow arrays and become the block by
+    one NumPy assignment.
+    """
+    import pyarrow as pa
+
     meta, cols = frame.meta, frame.meta.columns
     keyed = frame.with_blocks()
-    value = F.col("value").cast("double") if meta.dtype != "uint64" else F.col("value").cast("decimal(20,0)")
-    elements = F.collect_list(F.struct(*[F.col(f"l_{c}").cast("int") for c in cols], value.alias("v")))
-    held = keyed.groupBy(*[f"b_{c}" for c in cols]).agg(elements.alias("e"))
-    grid = block_grid(keyed.sparkSession, meta)
-    full = grid.join(held, [f"b_{c}" for c in cols], "left")
+    spot = F.lit(0).cast("long")
+    for i, c in enumerate(cols):
+        spot = spot * meta.length_of(i, F.col(f"b_{c}")) + F.col(f"l_{c}")
+    element = F.struct(spot.cast("int").alias("at"), to_bits(F.col("value"), meta.dtype).cast(spark_kind(meta.dtype)).alias("v"))
+    held = keyed.groupBy(*[f"b_{c}" for c in cols]).agg(F.collect_list(element).alias("e"))
+    full = block_grid(keyed.sparkSession, meta).join(held, [f"b_{c}" for c in cols], "left")
     packed = full.select(
         F.array(*[F.col(f"b_{c}").cast("int") for c in cols]).alias("block"),
         F.array(*[F.col(f"o_{c}") for c in cols]).alias("origin"),
         F.array(*[F.col(f"n_{c}").cast("int") for c in cols]).alias("extent"),
-        "e",
+        F.col("e.at").alias("at"),
+        F.col("e.v").alias("v"),
     )
     dtype = NUMPY[meta.dtype]
 
     def pack(batches):
-        for pdf in batches:
+        for batch in batches:
             data = []
-            for extent, elements in zip(pdf["extent"], pdf["e"]):
-                block = np.full(tuple(extent), fill, dtype)
-                for e in elements if elements is not None else ():
-                    *at, v = e.values() if isinstance(e, dict) else e
-                    block[tuple(at)] = v
+            for i in range(batch.num_rows):
+                block = np.full(prod(batch.column(2)[i].as_py()), fill, dtype)
+                at, v = batch.column(3)[i].values, batch.column(4)[i].values
+                if at is not None:
+                    values = v.to_numpy(zero_copy_only=False)
+                    block[at.to_numpy()] = values.view(np.uint64) if dtype == np.uint64 else values
                 data.append(block.tobytes())
-            yield pdf.drop(columns="e").assign(data=data)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(data, pa.binary())], names=["block", "origin", "extent", "data"])
 
-    return packed.mapInPandas(pack, "block array<int>, origin array<bigint>, extent array<int>, data binary")
+    return packed.mapInArrow(pack, "block array<int>, origin array<bigint>, extent array<int>, data binary")
 
 
-def block_to_long(blocks: DataFrame, meta: ArrayMeta) -> ArrayFrame:
-    """Long form of block rows."""
-    import pandas as pd
+def block_to_long(blocks: DataFrame, meta: ArrayMeta, load=None) -> ArrayFrame:
+    """Long form of block rows; ``load`` (ranges -> block rows) prunes the scan."""
+    import pyarrow as pa
 
     dtype, cols = NUMPY[meta.dtype], meta.columns
-    kind = "double" if dtype.kind == "f" else "boolean" if dtype.kind == "b" else "decimal(20,0)" if meta.dtype == "uint64" else "bigint"
 
     def unpack(batches):
-        from decimal import Decimal
-
-        for pdf in batches:
-            for origin, extent, data in zip(pdf["origin"], pdf["extent"], pdf["data"]):
-                block = np.frombuffer(data, dtype).reshape(tuple(extent))
-                at = np.indices(block.shape).reshape(block.ndim, -1)
-                out = {c: at[i] + int(origin[i]) for i, c in enumerate(cols)}
-                values = block.ravel()
-                out["value"] = [Decimal(int(v)) for v in values] if meta.dtype == "uint64" else values.astype("float64" if dtype.kind == "f" else dtype)
-                yield pd.DataFrame(out)
-
-    schema = ", ".join(f"{c} bigint" for c in cols) + f", value {kind}"
-    return ArrayFrame(blocks.select("origin", "extent", "data").mapInPandas(unpack, schema), meta)
+        for batch in batches:
+            for origin, extent, data in zip(*(batch.column(i) for i in range(3))):
+                block = np.frombuffer(data.as_buffer(), dtype).reshape(tuple(extent.as_py()))
+                at = np.indices(block.shape, np.int64).reshape(block.ndim, -1)
+                columns = [pa.array(at[i] + o) for i, o in enumerate(origin.as_py())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(numpy_values(block))], names=[*cols, "value"])
+
+    schema = ", ".join(f"{c} bigint" for c in cols) + f", value {spark_kind(meta.dtype)}"
+
+    def long(rows: DataFrame) -> DataFrame:
+        return rows.select("origin", "extent", "data").mapInArrow(unpack, schema).withColumn("value", from_bits(F.col("value"), meta.dtype))
+
+    return ArrayFrame(long(blocks), meta, load and (lambda ranges: long(load(ranges))))
 
 
 def from_vectors(df: DataFrame, key: str, vector: str, rows: int, width: int, chunk=(128, 16), dtype="float32") -> ArrayFrame:

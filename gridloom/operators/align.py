@@ -13,8 +13,10 @@ from gridloom.operators.rechunk import align
 def zip_arrays(frames: list[ArrayFrame], policy: str = "strict") -> ArrayFrame:
     """Inner equi-join on position: columns value, value_1, value_2, ..."""
     first = frames[0]
-    sides = [first.df] + [align(first, f, policy).df.withColumnRenamed("value", f"value_{i}") for i, f in enumerate(frames[1:], 1)]
-    return first.with_df(reduce(lambda a, b: a.join(b, first.meta.columns), sides))
+    sides = [align(first, f, policy) if i else f for i, f in enumerate(frames)]
+    named = [f.mapped(lambda df, i=i: df.withColumnRenamed("value", f"value_{i}")) if i else f for i, f in enumerate(sides)]
+    joined = lambda parts: reduce(lambda a, b: a.join(b, first.meta.columns), parts)
+    return first.with_df(joined([f.df for f in named]), lambda ranges: joined([f.within(ranges).df for f in named]))
 
 
 def _axis(meta: ArrayMeta, axis: int | str) -> int:
@@ -36,7 +38,8 @@ def select_channel(frame: ArrayFrame, channel: int, secondary: int | None = None
         if c is not None and not 0 <= c < extent:
             raise ValueError(f"channel {c} is outside 0..{extent - 1}")
     if secondary is None:
-        return drop_axis(frame.with_df(frame.df.where(F.col(column) == channel)), at, keep_size=False)
+        only = [(channel, channel + 1) if i == at else (0, n) for i, n in enumerate(frame.meta.shape)]
+        return drop_axis(frame.within(only), at, keep_size=False)
     picked = frame.df.where(F.col(column).isin(channel, secondary))
     stacked = picked.withColumn(column, F.when(F.col(column) == channel, 0).otherwise(1).cast("long")) if channel != secondary else picked.withColumn(column, F.explode(F.array(F.lit(0), F.lit(1))).cast("long"))
     order = [i for i in range(len(frame.meta.shape)) if i != at]
@@ -56,7 +59,8 @@ def drop_axis(frame: ArrayFrame, axis: int | str, keep_size: bool = True) -> Arr
     if keep_size and meta.shape[at] != 1:
         raise ValueError(f"axis {meta.axes[at]} has {meta.shape[at]} positions")
     cut = lambda t: t[:at] + t[at + 1 :]
-    return ArrayFrame(frame.df.drop(meta.columns[at]), ArrayMeta(cut(meta.shape), cut(meta.chunks), cut(meta.axes), meta.dtype))
+    load = frame.load and (lambda ranges: frame.load([*ranges[:at], (0, meta.shape[at]), *ranges[at:]]).drop(meta.columns[at]))
+    return ArrayFrame(frame.df.drop(meta.columns[at]), ArrayMeta(cut(meta.shape), cut(meta.chunks), cut(meta.axes), meta.dtype), load)
 
 
 def new_axis(frame: ArrayFrame, name: str, at: int = 0) -> ArrayFrame:
@@ -65,7 +69,8 @@ def new_axis(frame: ArrayFrame, name: str, at: int = 0) -> ArrayFrame:
         raise ValueError(f"axis {name} exists")
     add = lambda t, v: t[:at] + (v,) + t[at:]
     made = ArrayMeta(add(meta.shape, 1), add(meta.chunks, (1,)), add(meta.axes, name.upper()), meta.dtype)
-    return ArrayFrame(frame.df.withColumn(name.lower(), F.lit(0).cast("long")).select(*made.columns, "value"), made)
+    add_column = lambda df: df.withColumn(name.lower(), F.lit(0).cast("long")).select(*made.columns, "value")
+    return ArrayFrame(add_column(frame.df), made, frame.load and (lambda ranges: add_column(frame.load([*ranges[:at], *ranges[at + 1 :]]))))
 
 
 def permute(frame: ArrayFrame, axes: str) -> ArrayFrame:
@@ -76,4 +81,5 @@ def permute(frame: ArrayFrame, axes: str) -> ArrayFrame:
     pick = lambda t: tuple(t[i] for i in order)
     meta = frame.meta
     made = ArrayMeta(pick(meta.shape), pick(meta.chunks), pick(meta.axes), meta.dtype)
-    return ArrayFrame(frame.df.select(*made.columns, "value"), made)
+    back = lambda ranges: [ranges[order.index(i)] for i in range(len(order))]
+    return ArrayFrame(frame.df.select(*made.columns, "value"), made, frame.load and (lambda ranges: frame.load(back(ranges)).select(*made.columns, "value")))

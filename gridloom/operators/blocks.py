@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gridloom.arrayframe import NUMPY, ArrayFrame, ArrayMeta
+from gridloom.arrayframe import NUMPY, ArrayFrame, ArrayMeta, from_bits, numpy_values, spark_kind, to_bits
 from gridloom.operators.rechunk import align
 
 _CACHE: dict = {}
@@ -66,20 +66,49 @@ def bind(fn: Callable, arrays: dict[str, np.ndarray], params: dict, ctx: BlockCo
 def _rows(block: np.ndarray, origin, columns) -> pd.DataFrame:
     at = np.indices(block.shape).reshape(block.ndim, -1)
     out = {c: at[i].astype(np.int64) + int(origin[i]) for i, c in enumerate(columns)}
-    values = block.ravel()
-    out["value"] = values.astype(np.float64) if values.dtype.kind == "f" else values.astype(bool) if values.dtype.kind == "b" else values.astype(np.int64)
-    return pd.DataFrame(out)
+    return pd.DataFrame(out | {"value": numpy_values(block)})
 
 
 def _schema(columns, dtype: str) -> str:
-    kind = {"f": "double", "b": "boolean"}.get(NUMPY[dtype].kind, "bigint")
-    return ", ".join(f"{c} bigint" for c in columns) + f", value {kind}"
+    return ", ".join(f"{c} bigint" for c in columns) + f", value {spark_kind(dtype)}"
+
+
+def _inputs(parts: list, dtypes: list[str], columns: list[str]):
+    """Rows of all inputs in one table: whole numbers in __i (exact, uint64 by its
+    bits), others in __f, the input's number in __input."""
+    tagged = []
+    for k, (df, dtype) in enumerate(zip(parts, dtypes)):
+        real = NUMPY[dtype].kind == "f"
+        value = F.col("value").cast("int") if dtype == "bool" else to_bits(F.col("value"), dtype)
+        whole = F.lit(None).cast("long") if real else value.cast("long")
+        tagged.append(df.select(*columns, whole.alias("__i"), F.when(F.lit(real), F.col("value").cast("double")).alias("__f"), F.lit(k).alias("__input")))
+    return reduce(lambda a, b: a.unionByName(b), tagged)
+
+
+def _dense(pdf: pd.DataFrame, k: int, columns: list[str], lows, extent, dtype: str) -> np.ndarray:
+    """The block of input k; absent elements are 0."""
+    own = pdf[pdf["__input"] == k]
+    out = np.zeros(extent, NUMPY[dtype])
+    spots = tuple(own[c].to_numpy() - lo for c, lo in zip(columns, lows))
+    if NUMPY[dtype].kind == "f":
+        out[spots] = own["__f"].to_numpy()
+    else:
+        values = own["__i"].to_numpy().astype(np.int64)
+        out[spots] = values.view(np.uint64) if dtype == "uint64" else values
+    return out
+
+
+def _result(grouped, run, columns, dtype: str):
+    made = grouped.applyInPandas(run, _schema(columns, dtype))
+    return made.withColumn("value", from_bits(F.col("value"), dtype))
 
 
 def map_blocks(frames: ArrayFrame | dict[str, ArrayFrame], fn: Callable, dtype: str | None = None, policy: str = "strict", **params) -> ArrayFrame:
     """``fn`` on aligned blocks; it returns a block of the same shape.
 
     The function sees every block that has an element; absent elements are 0.
+    Values keep their dtype exactly.  A range of the result asks its inputs for the
+    blocks it meets only.
     """
     if isinstance(frames, ArrayFrame):
         frames = {"block": frames}
@@ -87,9 +116,7 @@ def map_blocks(frames: ArrayFrame | dict[str, ArrayFrame], fn: Callable, dtype:
     first = frames[names[0]]
     meta, cols = first.meta, first.meta.columns
     sides = [align(first, f, policy) if i else f for i, f in enumerate(frames.values())]
-    tagged = [f.df.select(*cols, F.col("value").cast("double"), F.lit(i).alias("__input")) for i, f in enumerate(sides)]
-    keyed = first.with_df(reduce(lambda a, b: a.unionByName(b), tagged)).with_blocks()
-    dtypes = [NUMPY[f.meta.dtype] for f in sides]
+    dtypes = [f.meta.dtype for f in sides]
     out_dtype = dtype or meta.dtype
     starts = [meta.starts(i) for i in range(len(cols))]
 
@@ -97,19 +124,21 @@ def map_blocks(frames: ArrayFrame | dict[str, ArrayFrame], fn: Callable, dtype:
         block = tuple(int(k) for k in key)
         origin = tuple(s[b] for s, b in zip(starts, block))
         extent = tuple(c[b] for c, b in zip(meta.chunks, block))
-        arrays = {}
-        for i, name in enumerate(names):
-            own = pdf[pdf["__input"] == i]
-            dense = np.zeros(extent, dtypes[i])
-            dense[tuple(own[f"l_{c}"].to_numpy() for c in cols)] = own["value"].to_numpy()
-            arrays[name] = dense
+        arrays = {name: _dense(pdf, i, cols, origin, extent, dtypes[i]) for i, name in enumerate(names)}
         made = np.asarray(fn(**bind(fn, arrays, params, BlockContext(block, origin, extent, meta, params)))).astype(NUMPY[out_dtype])
         if made.shape != extent:
             raise ValueError(f"block function returned {made.shape}, not {extent}")
         return _rows(made, origin, cols)
 
-    out = keyed.groupBy(*[f"b_{c}" for c in cols]).applyInPandas(run, _schema(cols, out_dtype))
-    return first.with_df(out, dtype=out_dtype)
+    def over(parts):
+        keyed = first.with_df(_inputs(parts, dtypes, cols)).with_blocks()
+        return _result(keyed.groupBy(*[f"b_{c}" for c in cols]), run, cols, out_dtype)
+
+    def load(ranges):
+        spans = [first.block_span(i, *r) for i, r in enumerate(ranges)]
+        return over([f.within(spans).df for f in sides])
+
+    return first.with_df(over([f.df for f in sides]), load, dtype=out_dtype)
 
 
 BOUNDARIES = ("none", "reflect", "nearest", "periodic")
@@ -162,7 +191,7 @@ def merge_small(meta: ArrayMeta, pairs) -> ArrayMeta:
     return replace(meta, chunks=tuple(chunks))
 
 
-def halo_rows(frame: ArrayFrame, depth, boundary="none"):
+def halo_rows(frame: ArrayFrame, depth, boundary="none", meta: ArrayMeta | None = None):
     """(rows, meta, pairs): each element once for every block whose halo holds it.
 
     Columns b_<axis> (block), v_<axis> (position, beyond the array for boundary
@@ -171,7 +200,7 @@ def halo_rows(frame: ArrayFrame, depth, boundary="none"):
     """
     pairs = resolve_depth(depth, frame.meta)
     check_overlap(pairs, boundary, True)
-    meta = merge_small(frame.meta, pairs)
+    meta = meta or merge_small(frame.meta, pairs)  # blocks at least as long as the depth
     rows = frame.df
     for i, c in enumerate(meta.columns):
         (before, after), n = pairs[i], meta.shape[i]
@@ -192,35 +221,89 @@ def halo_rows(frame: ArrayFrame, depth, boundary="none"):
         rows = rows.withColumn(f"b_{c}", F.explode(F.sequence(first, last)) if before or after else meta.block_of(i, p))
     if isinstance(boundary, (int, float)) and not isinstance(boundary, bool):
         outside = reduce(lambda a, b: a | b, [(F.col(f"v_{c}") < 0) | (F.col(f"v_{c}") >= n) for c, n in zip(meta.columns, meta.shape)])
-        rows = rows.withColumn("value", F.when(outside, F.lit(boundary).cast("double")).otherwise(F.col("value").cast("double")))
+        own = rows.schema["value"].dataType
+        rows = rows.withColumn("value", F.when(outside, F.lit(boundary).cast(own)).otherwise(F.col("value")))
     return rows.select(*[f"b_{c}" for c in meta.columns], *[f"v_{c}" for c in meta.columns], "value"), meta, pairs
 
 
-def map_overlap(frame: ArrayFrame, fn: Callable, depth, boundary="none", dtype: str | None = None, **params) -> ArrayFrame:
-    """``fn`` on blocks padded by their halo; the result is trimmed to the block."""
-    rows, meta, pairs = halo_rows(frame, depth, boundary)
-    cols, out_dtype, in_dtype = meta.columns, dtype or meta.dtype, NUMPY[meta.dtype]
+def map_overlap(frames: ArrayFrame | dict[str, ArrayFrame], fn: Callable, depth=0, boundary="none", dtype: str | None = None, policy: str = "strict", depth_by_input: dict | None = None, trim: bool = True, allow_untrimmed: bool = False, **params) -> ArrayFrame:
+    """``fn`` on blocks padded by their halo; the result is trimmed to the block.
+
+    Several inputs are aligned by ``policy`` and may have depths of their own by name;
+    chunks are merged for the deepest.  With one depth for all the function returns the
+    padded shape; where depths differ, the shape of the first input's padded block.
+    ``trim=False`` (with ``allow_untrimmed``) keeps the halo: the result's chunks, and
+    so its shape, grow by it.
+    """
+    if isinstance(frames, ArrayFrame):
+        frames = {"block": frames}
+    names = list(frames)
+    first = frames[names[0]]
+    sides = [align(first, f, policy) if i else f for i, f in enumerate(frames.values())]
+    cols, shape = first.meta.columns, first.meta.shape
+    unknown = set(depth_by_input or {}) - set(names)
+    if unknown:
+        raise ValueError(f"no inputs {sorted(unknown)}")
+    pairs = [resolve_depth((depth_by_input or {}).get(n, depth), first.meta) for n in names]
+    for p in pairs:
+        check_overlap(p, boundary, trim, allow_untrimmed=allow_untrimmed)
+    deepest = [(max(p[i][0] for p in pairs), max(p[i][1] for p in pairs)) for i in range(len(cols))]
+    meta = merge_small(first.meta, deepest)
+    out_dtype, dtypes = dtype or first.meta.dtype, [f.meta.dtype for f in sides]
     starts = [meta.starts(i) for i in range(len(cols))]
     edge = boundary == "none"
 
+    def bounds(block, own):
+        lows = [s[b] - a for s, b, (a, _) in zip(starts, block, own)]
+        highs = [s[b] + c[b] + z for s, b, c, (_, z) in zip(starts, block, meta.chunks, own)]
+        return ([max(0, v) for v in lows], [min(n, v) for n, v in zip(shape, highs)]) if edge else (lows, highs)
+
+    def padded(axis, b):
+        low, high = bounds([b if i == axis else 0 for i in range(len(cols))], pairs[0])
+        return high[axis] - low[axis]
+
+    grown = [tuple(padded(axis, b) for b in range(n)) for axis, n in enumerate(meta.numblocks)]
+    out_meta = ArrayMeta(shape, meta.chunks, meta.axes, out_dtype) if trim else ArrayMeta(tuple(map(sum, grown)), tuple(grown), meta.axes, out_dtype)
+    out_starts = [out_meta.starts(i) for i in range(len(cols))]
+
     def run(key, pdf):
         block = tuple(int(k) for k in key)
         origin = tuple(s[b] for s, b in zip(starts, block))
         extent = tuple(c[b] for c, b in zip(meta.chunks, block))
-        lows = [o - a for o, (a, _) in zip(origin, pairs)]
-        highs = [o + e + b for o, e, (_, b) in zip(origin, extent, pairs)]
-        if edge:
-            lows, highs = [max(0, v) for v in lows], [min(n, v) for n, v in zip(meta.shape, highs)]
-        padded = np.zeros([h - lo for lo, h in zip(lows, highs)], in_dtype)
-        padded[tuple(pdf[f"v_{c}"].to_numpy() - lo for c, lo in zip(cols, lows))] = pdf["value"].to_numpy()
-        made = np.asarray(fn(**bind(fn, {"block": padded}, params, BlockContext(block, origin, extent, meta, params)))).astype(NUMPY[out_dtype])
-        if made.shape != padded.shape:
-            raise ValueError(f"halo function returned {made.shape}, not {padded.shape}")
-        inner = made[tuple(slice(o - lo, o - lo + e) for o, lo, e in zip(origin, lows, extent))]
-        return _rows(inner, origin, cols)
-
-    out = rows.groupBy(*[f"b_{c}" for c in cols]).applyInPandas(run, _schema(cols, out_dtype))
-    return ArrayFrame(out, ArrayMeta(meta.shape, meta.chunks, meta.axes, out_dtype))
+        arrays = {}
+        for i, name in enumerate(names):
+            lows, highs = bounds(block, pairs[i])
+            arrays[name] = _dense(pdf, i, [f"v_{c}" for c in cols], lows, [h - lo for lo, h in zip(lows, highs)], dtypes[i])
+        want = arrays[names[0]].shape
+        made = np.asarray(fn(**bind(fn, arrays, params, BlockContext(block, origin, extent, meta, params)))).astype(NUMPY[out_dtype])
+        if made.shape != want:
+            raise ValueError(f"halo function returned {made.shape}, not {want}")
+        if not trim:
+            return _rows(made, tuple(s[b] for s, b in zip(out_starts, block)), cols)
+        lows, _ = bounds(block, pairs[0])
+        return _rows(made[tuple(slice(o - lo, o - lo + e) for o, lo, e in zip(origin, lows, extent))], origin, cols)
+
+    def over(parts, only=None):
+        rows = []
+        for i, (df, f) in enumerate(zip(parts, sides)):
+            halo, _, _ = halo_rows(ArrayFrame(df, f.meta), pairs[i], boundary, meta)
+            rows.append(halo)
+        keys, spots = [f"b_{c}" for c in cols], [f"v_{c}" for c in cols]
+        table = _inputs(rows, dtypes, [*keys, *spots])
+        for c, (a, b) in zip(keys, only or []):
+            table = table.where((F.col(c) >= a) & (F.col(c) < b))
+        return _result(table.groupBy(*keys), run, cols, out_dtype)
+
+    def load(ranges):
+        spans, needed = [], []
+        for i, ((a, b), n) in enumerate(zip(ranges, shape)):
+            hit = [k for k, (s, c) in enumerate(zip(starts[i], meta.chunks[i])) if s < b and s + c > a]
+            spans.append((hit[0], hit[-1] + 1) if hit else (0, 0))
+            low, high = (starts[i][hit[0]], starts[i][hit[-1]] + meta.chunks[i][hit[-1]]) if hit else (0, 0)
+            needed.append((0, n) if boundary == "periodic" and any(deepest[i]) else (max(0, low - deepest[i][0]), min(n, high + deepest[i][1])))
+        return over([f.within(needed).df for f in sides], spans)
+
+    return ArrayFrame(over([f.df for f in sides]), out_meta, load if trim else None)
 
 
 def window_sum(frame: ArrayFrame, radius: int = 1, boundary="none") -> ArrayFrame:

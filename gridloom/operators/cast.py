@@ -28,6 +28,13 @@ def _wrap(whole: Column, target: str) -> Column:
     return F.when(positive > F.lit(str(high)).cast("decimal(38,0)"), positive - size).otherwise(positive)
 
 
+def _wrap_long(whole: Column, target: str) -> Column:
+    """``_wrap`` of a long in a target of 32 bits at most."""
+    low, high = INTEGER_RANGES[target]
+    positive = F.pmod(whole, F.lit(high - low + 1).cast("long"))
+    return positive if low == 0 else F.when(positive > high, positive - (high - low + 1)).otherwise(positive)
+
+
 def cast_column(value: Column, source: str, target: str, clip: bool = True) -> Column:
     for d in (source, target):
         if d not in ARRAY_DTYPES:
@@ -53,7 +60,7 @@ def cast_column(value: Column, source: str, target: str, clip: bool = True) -> C
             return F.when(F.isnan(real), 0).otherwise(F.greatest(F.least(real, F.lit(float(high))), F.lit(float(low))).cast("long")).cast(kind)
         bad = F.isnan(real) | (F.abs(real) >= 2.0**63)
         whole = F.when(bad, F.raise_error(F.lit(f"value has no defined cast to {target} without clip")).cast("long")).otherwise(F.when(bad, F.lit(0.0)).otherwise(real).cast("long"))
-        return _wrap(whole, target).cast(kind)
+        return (_wrap(whole, target) if target == "uint64" else _wrap_long(whole, target)).cast(kind)
     if clip:
         own_low, own_high = INTEGER_RANGES[source]
         wide = value.cast("decimal(38,0)") if "uint64" in (source, target) else value.cast("long")
@@ -63,13 +70,11 @@ def cast_column(value: Column, source: str, target: str, clip: bool = True) -> C
             wide = F.least(wide, F.lit(high).cast("long") if high < 1 << 63 else F.lit(str(high)).cast("decimal(38,0)"))
         return wide.cast(kind)
     if target != "uint64" and source != "uint64":
-        bits = high - low + 1
-        positive = F.pmod(value.cast("long"), F.lit(bits).cast("long"))
-        return (positive if low == 0 else F.when(positive > high, positive - bits).otherwise(positive)).cast(kind)
+        return _wrap_long(value.cast("long"), target).cast(kind)
     return _wrap(value, target).cast(kind)
 
 
 def cast(frame: ArrayFrame, target: str = "float32", clip: bool = True) -> ArrayFrame:
     if frame.meta.dtype == target:
         return frame
-    return frame.with_df(frame.df.withColumn("value", cast_column(F.col("value"), frame.meta.dtype, target, clip)), dtype=target)
+    return frame.mapped(lambda df: df.withColumn("value", cast_column(F.col("value"), frame.meta.dtype, target, clip)), dtype=target)

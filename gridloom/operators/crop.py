@@ -36,26 +36,24 @@ def _clip_chunks(sizes: tuple[int, ...], start: int, end: int) -> tuple[int, ...
 def crop(frame: ArrayFrame, x=(0, 0), y=(0, 0), z=(0, 0)) -> ArrayFrame:
     """Crop X (last axis), Y and, from three dimensions on, Z; others stay whole.
 
-    The filters are plain comparisons, so they reach the scan.
+    The scan is asked for the ranges only; what it gives beyond them is filtered.
     """
     meta, ndim = frame.meta, len(frame.meta.shape)
     if not 2 <= ndim <= 5:
         raise ValueError(f"crop takes 2 to 5 dimensions, not {ndim}")
-    shape, chunks, df = list(meta.shape), list(meta.chunks), frame.df
+    ranges = [(0, n) for n in meta.shape]
     for back, name, (start, end) in ((1, "X", x), (2, "Y", y), (3, "Z", z)):
-        if back > 2 and ndim < 3:
-            continue
-        axis = ndim - back
-        start, end = check_range(name, start, end, meta.shape[axis])
-        column = meta.columns[axis]
-        if (start, end) != (0, meta.shape[axis]):
-            df = df.where((F.col(column) >= start) & (F.col(column) < end)).withColumn(column, F.col(column) - start)
-        shape[axis], chunks[axis] = end - start, _clip_chunks(meta.chunks[axis], start, end)
-    return frame.with_df(df, shape=tuple(shape), chunks=tuple(chunks))
-
-
-def crop_blocks(blocks, meta, ranges):
-    """Block form: keep the blocks that meet the ranges (pruning before decoding)."""
-    for i, (start, end) in enumerate(ranges):
-        blocks = blocks.where((F.col("origin")[i] < end) & (F.col("origin")[i] + F.col("extent")[i] > start))
-    return blocks
+        if back < 3 or ndim > 2:
+            ranges[ndim - back] = check_range(name, start, end, meta.shape[ndim - back])
+    inside = frame.within(ranges)
+
+    def rebased(df):
+        for c, (start, _) in zip(meta.columns, ranges):
+            if start:
+                df = df.withColumn(c, F.col(c) - start)
+        return df
+
+    shape = tuple(end - start for start, end in ranges)
+    chunks = tuple(_clip_chunks(sizes, *span) for sizes, span in zip(meta.chunks, ranges))
+    load = lambda more: rebased(inside.load([(a + start, b + start) for (a, b), (start, _) in zip(more, ranges)]))
+    return frame.with_df(rebased(inside.df), load, shape=shape, chunks=chunks)

@@ -79,7 +79,7 @@ def rechunk(frame: ArrayFrame, mode: str = "explicit", chunks="", axis_sizes: st
         new = reference.meta.chunks
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    return frame.with_df(frame.df, chunks=new)
+    return frame.with_df(frame.df, frame.load, chunks=new)
 
 
 def check_strict(a: ArrayMeta, b: ArrayMeta) -> None:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
-from gridloom.arrayframe import ArrayFrame, ArrayMeta, block_grid, block_to_long, long_to_block
+from gridloom.arrayframe import ArrayFrame, ArrayMeta, block_grid, long_to_block
 from gridloom.operators import align, blocks, cast, crop, rechunk, segment
 from gridloom.plans.graph import Node, register_node
 from gridloom.sources import fragments, zarr
@@ -36,15 +36,14 @@ def _token(frame: ArrayFrame, write) -> Token:
 
 
 def _of_window(frame: ArrayFrame, window) -> ArrayFrame:
-    """Only the elements of the window's blocks: a range filter on each axis."""
+    """Only the elements of the window's blocks; the scan opens no others."""
     if window is None:
         return frame
-    df = frame.df
-    for i, (c, a, b) in enumerate(zip(frame.meta.columns, window.starts, window.stops)):
+    ranges = []
+    for i, (a, b) in enumerate(zip(window.starts, window.stops)):
         starts = frame.meta.starts(i)
-        stop = starts[b] if b < len(starts) else frame.meta.shape[i]
-        df = df.where((df[c] >= starts[a]) & (df[c] < stop))
-    return frame.with_df(df)
+        ranges.append((starts[a], starts[b] if b < len(starts) else frame.meta.shape[i]))
+    return frame.within(ranges)
 
 
 @register_node("OMEZarrReader")
@@ -66,7 +65,7 @@ class ZarrReaderNode(Node):
 
     def execute(self, file_path, array_path, multiscale_index, scale_level, axes, chunk_mode, chunk_z, chunk_y, chunk_x, keep_first_dim):
         sizes = {"Z": chunk_z, "Y": chunk_y, "X": chunk_x}
-        return block_to_long(*zarr.read_zarr(_spark(), file_path, array_path, multiscale_index, scale_level, axes, chunk_mode, sizes, keep_first_dim))
+        return zarr.read_zarr_long(_spark(), file_path, array_path=array_path, multiscale=multiscale_index, level=scale_level, axes=axes, chunk_mode=chunk_mode, sizes=sizes, keep_first=keep_first_dim)
 
 
 class _SameType(Node):
@@ -112,8 +111,8 @@ class RechunkNode(_SameType):
     def execute(self, dask_arr, mode, chunks, axis_chunks, reference_arr, axes):
         if axes:
             names = zarr.parse_axes(axes, len(dask_arr.meta.shape))
-            renamed = dask_arr.df.toDF(*[c.lower() for c in names], "value")
-            dask_arr = dask_arr.with_df(renamed, axes=names)
+            renamed = lambda df: df.toDF(*[c.lower() for c in names], "value")
+            dask_arr = dask_arr.mapped(renamed, axes=names)
         return rechunk.rechunk(dask_arr, mode, chunks, axis_chunks, reference_arr)
 
 
@@ -133,7 +132,7 @@ class SegmentNode(Node):
         sizes = [1 if a not in spatial else None for a in frame.meta.axes]
         if any(sizes):
             parts = [tuple([1] * n) if s else c for s, n, c in zip(sizes, frame.meta.shape, frame.meta.chunks)]
-            frame = frame.with_df(frame.df, chunks=tuple(parts))
+            frame = frame.with_df(frame.df, frame.load, chunks=tuple(parts))
         return segment.segment(frame, type(self).segmenter, threshold=threshold)
 
 

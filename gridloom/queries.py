@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,6 +33,21 @@ def query(sql: str | None = None):
     return add
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share, removed when the driver exits; one of this
+    machine only where the session has none and is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, base, True)
+    base = base.removeprefix("file://") if base.startswith("file:///") else base
+    path = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    atexit.register(zarr.Store(path).remove)
+    return path
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -299,14 +316,11 @@ def zarr_unaligned_chunks(spark, sf_dir):
 
 @query(f"WITH {I2} SELECT x, CAST(sum(value) AS BIGINT) AS total, count(*) AS n FROM i2 GROUP BY x")
 def zarr_roundtrip(spark, sf_dir):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp()
-    path = f"{base.rstrip('/')}/roundtrip-{uuid.uuid4().hex}.zarr"
+    path = f"{_scratch(spark)}/array.zarr"
     i2 = rechunk.rechunk(_i2(spark, sf_dir), "explicit", "100,24")
     prefix = zarr.prepare_store(path, i2.meta, "ome_zarr")
     zarr.write_blocks(long_to_block(i2), i2.meta, path, prefix).count()
-    back = block_to_long(*zarr.read_zarr(spark, path, sizes={"Y": 64, "X": 64}))
+    back = zarr.read_zarr_long(spark, path, sizes={"Y": 64, "X": 64})
     return back.df.groupBy("x").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
 
 

@@ -247,7 +247,9 @@ def read_zarr(spark: SparkSession, path: str, array_path="", multiscale=0, level
 
 
 def read_zarr_long(spark: SparkSession, path: str, **options):
-    return block_to_long(*read_zarr(spark, path, **options))
+    """Long form of a Zarr array; ranges asked of it later prune the scan."""
+    rows, meta = read_zarr(spark, path, **options)
+    return block_to_long(rows, meta, lambda ranges: read_zarr(spark, path, **options | {"ranges": ranges})[0])
 
 
 def is_aligned(start: int, stop: int, chunk: int, size: int) -> bool:

@@ -353,3 +353,116 @@ def test_unaligned_chunks_ask_the_store(spark, monkeypatch):
     assert run() == {(y, x): (touched(y, x) == 0, touched(y, x)) for y in range(0, 40, 10) for x in range(0, 30, 10)}
     monkeypatch.setattr(zarr, "partial_chunks", lambda *a: [])
     assert {n for _, n in run().values()} == {0}
+
+
+def sum3():
+    def near(block):
+        p = np.pad(block.astype("int64"), 1)
+        return sum(p[i : i + block.shape[0], j : j + block.shape[1]] for i in range(3) for j in range(3))
+
+    return near
+
+
+def store_of(spark, path, array, chunk):
+    f = frame_of(spark, array, chunk)
+    zarr.write_blocks(long_to_block(f), f.meta, path, zarr.prepare_store(path, f.meta)).collect()
+    return f.meta
+
+
+def spoil(path, meta, wanted):
+    """Make all chunks but the wanted ones unreadable."""
+    from itertools import product
+    from pathlib import Path
+
+    held = {}
+    for at in product(*map(range, meta.numblocks)):
+        if at not in wanted:
+            chunk = Path(path, ".".join(map(str, at)))
+            held[chunk] = chunk.read_bytes()
+            chunk.write_bytes(b"not a chunk")
+    return held
+
+
+def test_only_wanted_chunks_are_opened(spark, tmp_path):
+    path = str(tmp_path / "a.zarr")
+    array = np.arange(12 * 20, dtype="uint16").reshape(12, 20)
+    meta = store_of(spark, path, array, (4, 5))
+    read = lambda: zarr.read_zarr_long(spark, path, chunk_mode="native")
+    spoil(path, meta, {(1, 1), (1, 2)})
+    roi = lambda: crop.crop(read(), x=(6, 14), y=(4, 8))
+    assert (array_of(roi()) == array[4:8, 6:14]).all()
+    assert (array_of(crop.crop(roi(), x=(1, 3), y=(0, 2))) == array[4:6, 7:9]).all()
+    assert (array_of(cast.cast(roi(), "float32")) == array[4:8, 6:14]).all()
+    assert (array_of(align.permute(roi(), "XY")) == array[4:8, 6:14].T).all()
+    doubled = blocks.map_blocks(cast.cast(read(), "int32"), lambda block: block * 2)
+    assert (array_of(crop.crop(doubled, x=(7, 13), y=(5, 8))) == 2 * array[5:8, 7:13]).all()
+    both = align.zip_arrays([read(), cast.cast(read(), "uint16")])
+    assert both.within([(4, 8), (5, 15)]).df.count() == 40
+    with pytest.raises(Exception, match="zstd|Unknown|frame"):
+        array_of(crop.crop(read(), x=(0, 14), y=(4, 8)))
+
+
+@pytest.mark.parametrize("boundary", ["none", "reflect", "nearest", 7])
+def test_halo_of_a_range_opens_its_neighbours_only(spark, tmp_path, boundary):
+    path = str(tmp_path / "a.zarr")
+    array = np.arange(12 * 20, dtype="int32").reshape(12, 20)
+    meta = store_of(spark, path, array, (4, 5))
+    whole = array_of(blocks.map_overlap(zarr.read_zarr_long(spark, path, chunk_mode="native"), sum3(), 1, boundary))
+    spoil(path, meta, {(a, b) for a in (0, 1) for b in (2, 3)})
+    near = blocks.map_overlap(zarr.read_zarr_long(spark, path, chunk_mode="native"), sum3(), 1, boundary)
+    got = crop.crop(near, x=(16, 20), y=(0, 4))
+    assert (array_of(got) == whole[0:4, 16:20]).all()
+
+
+def test_each_window_opens_its_own_chunks(spark, tmp_path):
+    from gridloom.plans import nodes as node_types
+    from gridloom.plans.windows import WindowGrid
+
+    path = str(tmp_path / "a.zarr")
+    array = np.arange(12 * 20, dtype="int32").reshape(12, 20)
+    meta = store_of(spark, path, array, (4, 5))
+    for window in WindowGrid(meta.numblocks, (1, 2)):
+        wanted = {(a, b) for a in range(window.starts[0], window.stops[0]) for b in range(window.starts[1], window.stops[1])}
+        held = spoil(path, meta, wanted)
+        made = blocks.map_blocks(zarr.read_zarr_long(spark, path, chunk_mode="native"), lambda block: block + 1)
+        rows = node_types._of_window(made, window).df.collect()
+        assert sorted(r["value"] for r in rows) == sorted(1 + v for a, b in wanted for v in array[4 * a : 4 * a + 4, 5 * b : 5 * b + 5].ravel().tolist())
+        for chunk, data in held.items():
+            chunk.write_bytes(data)
+
+
+def test_unsigned_values_stay_exact(spark):
+    from decimal import Decimal
+
+    values = [0, 2**53 + 1, 2**63, 2**64 - 1, 2**63 - 1, 5]
+    df = spark.createDataFrame([(i // 3, i % 3, Decimal(v)) for i, v in enumerate(values)], "y long, x long, value decimal(20,0)")
+    f = ArrayFrame(df, ArrayMeta.regular((2, 3), (1, 2), "YX", "uint64"))
+    got = lambda frame: [int(r["value"]) for r in frame.df.orderBy("y", "x").collect()]
+    assert got(blocks.map_blocks(f, lambda block: block)) == values
+    assert got(blocks.map_overlap(f, lambda block: block, 1)) == values
+    assert got(block_to_long(long_to_block(f), f.meta)) == values
+    assert got(blocks.map_blocks(f, lambda block: block + np.uint64(1))) == [(v + 1) % 2**64 for v in values]
+
+
+def test_halo_of_several_inputs(spark):
+    a, b = np.arange(60).reshape(6, 10).astype("int32"), (np.arange(60).reshape(6, 10) % 7).astype("float32")
+    frames = {"left": frame_of(spark, a, (3, 5)), "right": frame_of(spark, b, (2, 4))}
+    seen = lambda left, right: left * 2 + right.sum()
+    got = array_of(blocks.map_overlap(frames, seen, dtype="float64", policy="rechunk_to_primary", depth_by_input={"right": 1}))
+    for y in (0, 3):
+        for x in (0, 5):
+            near = b[max(0, y - 1) : y + 4, max(0, x - 1) : x + 6]
+            assert (got[y : y + 3, x : x + 5] == a[y : y + 3, x : x + 5] * 2 + near.sum()).all()
+    with pytest.raises(ValueError, match="no inputs"):
+        blocks.map_overlap(frames, seen, policy="relaxed", depth_by_input={"other": 1})
+    with pytest.raises(ValueError):
+        blocks.map_overlap(frames, seen, 1, policy="strict")
+
+
+def test_untrimmed_halo_grows(spark):
+    a = np.arange(48).reshape(6, 8).astype("int32")
+    with pytest.raises(ValueError, match="another shape"):
+        blocks.map_overlap(frame_of(spark, a, (3, 4)), lambda block: block, 1, trim=False)
+    grown = blocks.map_overlap(frame_of(spark, a, (3, 4)), lambda block: block, 1, trim=False, allow_untrimmed=True)
+    assert grown.meta.shape == (8, 10) and grown.meta.chunks == ((4, 4), (5, 5))
+    assert (array_of(grown) == np.block([[a[0:4, 0:5], a[0:4, 3:8]], [a[2:6, 0:5], a[2:6, 3:8]]])).all()

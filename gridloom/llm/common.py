@@ -56,11 +56,25 @@ def store(df: DataFrame, codec: str = "zstd") -> DataFrame:
     Unlike :func:`cut` the copy is columnar and compressed, for larger tables.
     The folder is removed when the driver exits.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/gridloom-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Shelf(df.sparkSession).store(df, codec)
+
+
+class Shelf:
+    """Tables stored for a while: :meth:`clear` removes them from the shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+        path = f"{shared_dir(self.spark).rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        atexit.register(_remove, self.spark, path)
+        df.write.option("compression", codec).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        while self.paths:
+            _remove(self.spark, self.paths.pop())
 
 
 def _remove(spark: SparkSession, path: str) -> None:

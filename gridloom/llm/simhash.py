@@ -32,11 +32,15 @@ hashed bit a bin, carried with the keys, drops pairs that differ in more than
 ``BITS_APART`` of 128 (at 0.8: 12.8 expected, standard error 3.4).  The others are
 verified by their exact sets.
 
-Holders of a key are not all compared, as a key can hold a large group.  First each
-meets the one before it in the order of nodes.  Then, in rounds, those of a key that
-are still in different components meet the ``NEAR`` before them in the order of their
-bits, rotated anew in each round, and the holder with most links so far; the rounds end
-when one finds no link.  Keys of up to ``NEAR`` + 1 holders are complete by that.
+A key can be crowded, so its holders are not all compared.  The rows of all keys are
+dealt by ranges of (key, bits) and streamed in that order, so a hot key is many tasks.
+In a key of up to ``NEAREST`` + 1 holders each meets each.  In a fuller one a holder
+meets, of the ``SIGHT`` around it, the ``NEAREST`` by bits.  Rounds over the holders of
+full keys follow: the bits are rotated, so that the order is another one, candidates
+that were tried are passed over by their rank, each holder meets the one of its key
+with most links as well, and only links between different components are sought.
+They end when a round finds none.  Work and rows are in proportion to the holders in
+each round.
 
 Components: alternating large-star and small-star steps on the links, each round
 checkpointed; no link ever reaches the driver.
@@ -54,7 +58,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import cut, map_text, maybe_broadcast
+from gridloom.llm.common import Shelf, cut, map_text, maybe_broadcast
 
 SEED = 42
 #: Holders of a segment value that are all compared with each other.
@@ -199,14 +203,13 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
-def group_documents(marked: DataFrame, links: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def group_documents(marked: DataFrame, roots: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """marked(id, node, ...) rows plus root and component_id, the smallest id reachable.
 
-    links(a, b) between nodes; rows of one node belong together anyway.
+    roots(node, root) of linked nodes; rows of one node belong together anyway.
     """
-    nodes = cut(marked.groupBy("node").agg(F.min(id_col).alias("least_id")))
-    rooted = nodes.join(components(links), "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    rooted = cut(rooted)
+    nodes = marked.groupBy("node").agg(F.min(id_col).alias("least_id"))
+    rooted = cut(nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "root", "component_id")
     return marked.join(named, "node")
 
@@ -214,16 +217,18 @@ def group_documents(marked: DataFrame, links: DataFrame, id_col: str = "doc_id")
 def link_documents(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFrame:
     """doc_id, simhash, component_id of every row: links at ``radius`` (0 to 2) bits."""
     marked = cut(with_fingerprint(docs, width, carry=["doc_id"]).withColumn("node", F.col("simhash")))
-    links = chained_links(marked.select("simhash").distinct(), radius)
-    return group_documents(marked, links).drop("node", "root")
+    links = chained_links(cut(marked.select("simhash").distinct()), radius, CROWD)
+    return group_documents(marked, components(links)).drop("node", "root")
 
 
 SEGMENTS, MAX_WEIGHT = 5, 16
-BINS, MIN_SIMILARITY = 128, 0.72
+BINS = 128
 #: Disjoint triples of bins; one agrees in full if at most 35 bins differ.
 TRIPLES = 36
-#: Bits of 128 in which candidates may differ, and holders before one that it meets.
-BITS_APART, NEAR = 30, 3
+#: Bits of 128 in which candidates may differ.
+BITS_APART = 28
+#: Partners of a holder in a full key, and holders around it among which they are sought.
+NEAREST, SIGHT = 3, 512
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -300,102 +305,155 @@ def candidate_keys(sketches: np.ndarray, segments: np.ndarray) -> tuple[np.ndarr
     return np.hstack([keys, by_words]).view(np.int64), bits
 
 
-def with_keys(prints: DataFrame) -> DataFrame:
-    """node, key, hi, lo of prints(node, segments, sketch): a row for each key."""
+def with_keys(prints: DataFrame, turn: int = 0) -> DataFrame:
+    """key, turned, hi, lo, node, root, degree of prints(node, root, degree, segments, sketch),
+    a row for each key; turned: the word of the bits to sort by, rotated anew each turn."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, segments, sketches = (batch.column(i) for i in range(3))
+            node, root, degree, segments, sketches = (batch.column(i) for i in range(5))
             flat = lambda x, n: np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False), np.int32).reshape(-1, n)
             keys, bits = candidate_keys(flat(sketches, BINS), flat(segments, SEGMENTS))
-            offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], names=["node", "keys", "hi", "lo"])
-
-    rows = prints.where(F.exists("sketch", lambda v: v != 0)).select("node", "segments", "sketch")
-    return rows.mapInArrow(run, "node long, keys array<long>, hi long, lo long").select("node", "hi", "lo", F.explode("keys").alias("key"))
-
-
-def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches are near enough."""
-    side = lambda x: prints.select(F.col("node").alias(x), F.col("sketch").alias(f"h{x}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = F.zip_with("ha", "hb", lambda x, y: F.struct(((x == y) & (x != 0)).cast("int").alias("same"), ((x != 0) | (y != 0)).cast("int").alias("any")))
-    counts = F.aggregate(both, F.struct(F.lit(0).alias("same"), F.lit(0).alias("any")), lambda n, p: F.struct((n["same"] + p["same"]).alias("same"), (n["any"] + p["any"]).alias("any")))
-    close = full.select("a", "b", counts.alias("n"))
-    return close.where(F.col("n.same") >= MIN_SIMILARITY * F.col("n.any")).select("a", "b")
-
-
-def exactly_near(pairs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles, of marked(node, shingles), have a
-    Jaccard similarity of 0.8 or more."""
-    pairs = cut(pairs)
-    used = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = cut(marked.select("node", "shingles").join(maybe_broadcast(used), "node", "left_semi").dropDuplicates(["node"]))
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"h{x}"))
+            word, by = bits[:, turn % 2].view(np.uint64), np.uint64(11 * (turn // 2) % 63 + 1)
+            turned = ((word << by) | (word >> (np.uint64(64) - by))).view(np.int64)
+            spread = [np.repeat(x, keys.shape[1]) for x in (turned, bits[:, 0], bits[:, 1], *map(np.asarray, (node, root, degree)))]
+            for a in range(0, keys.size, 1 << 16):
+                columns = [pa.array(x[a : a + (1 << 16)]) for x in (keys.ravel(), *spread)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "turned", "hi", "lo", "node", "root", "degree"])
+
+    rows = prints.where(F.exists("sketch", lambda v: v != 0)).select("node", "root", "degree", "segments", "sketch")
+    return rows.mapInArrow(run, "key long, turned long, hi long, lo long, node long, root long, degree long")
+
+
+def _apart(x: np.ndarray, i, j) -> np.ndarray:
+    """Differing bits of the rows i and j of x (columns hi, lo first)."""
+    return np.bitwise_count(x[0][i] ^ x[0][j]) + np.bitwise_count(x[1][i] ^ x[1][j])
+
+
+def candidates(keyed: DataFrame, turn: int = 0) -> DataFrame:
+    """(a, b) rows of pairs to verify, and (a, null) rows of nodes that hold a full key."""
+
+    def pairs_of(key, x, old):
+        """Of rows sorted by key and bits: pairs of those from ``old`` on with any."""
+        hi_lo, node, root = x[:2], x[2], x[3]
+        n = len(key)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, n))
+        full = np.repeat(sizes > NEAREST + 1, sizes)
+        found = []
+        for back in range(1, NEAREST + 1) if turn == 0 else ():
+            i = np.arange(max(old, back), n)
+            i = i[(key[i] == key[i - back]) & ~full[i]]
+            i = i[_apart(hi_lo, i, i - back) <= BITS_APART]
+            found.append((node[i], node[i - back]))
+        many = sizes > NEAREST + 1
+        for start, size in zip(starts[many].tolist(), sizes[many].tolist()):
+            for a in range(max(start, old), start + size, 256):
+                rows = np.arange(a, min(a + 256, start + size))
+                before = np.arange(max(start, a - SIGHT + 256), rows[-1] + 1)
+                far = _apart(hi_lo, rows[:, None], before[None, :]).astype(np.int64)
+                far[(before[None, :] == rows[:, None]) | (root[before][None, :] == root[rows][:, None]) | (far > BITS_APART)] = 999
+                nearest = np.argsort(far, axis=1, kind="stable")[:, NEAREST * turn : NEAREST * (turn + 1)]
+                real = np.take_along_axis(far, nearest, 1) < 999
+                found.append((np.broadcast_to(node[rows][:, None], nearest.shape)[real], node[before[nearest]][real]))
+        fresh = np.arange(n) >= old
+        return found, np.unique(node[full & fresh])
+
+    def run(batches):
+        names = ["key", "hi", "lo", "node", "root"]
+        held, old = [np.empty(0, np.int64)] * 5, 0
+        for batch in batches:
+            arrays = [np.concatenate([h, np.asarray(batch.column(names.index(c)), np.int64)]) for c, h in zip(names, held)]
+            key = arrays[0]
+            if not len(key):
+                continue
+            found, crowded = pairs_of(key, [arrays[1].view(np.uint64), arrays[2].view(np.uint64), arrays[3], arrays[4]], old)
+            a = np.concatenate([x for x, _ in found] or [np.empty(0, np.int64)])
+            b = np.concatenate([y for _, y in found] or [np.empty(0, np.int64)])
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            both = both[both[:, 0] != both[:, 1]]
+            ends = pa.concat_arrays([pa.array(both[:, 1].copy()), pa.nulls(len(crowded), pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([both[:, 0], crowded])), ends], names=["a", "b"])
+            # the last key may go on in the next batch
+            others = np.flatnonzero(key != key[-1])
+            last = max(int(others[-1]) + 1 if len(others) else 0, len(key) - SIGHT)
+            held, old = [x[last:] for x in arrays], len(key) - last
+
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartitionByRange(tasks, "key", "turned", "node").sortWithinPartitions("key", "turned", "node")
+    return dealt.select("key", "hi", "lo", "node", "root").mapInArrow(run, "a long, b long").distinct()
+
+
+def hub_pairs(keyed: DataFrame) -> DataFrame:
+    """(a, b): each holder of a key and the holder with most links, if in another component."""
+    hubs = keyed.where("degree > 0").groupBy("key").agg(F.max(F.struct("degree", "node", "root", "hi", "lo")).alias("hub"))
+    met = keyed.join(hubs, "key").where(F.col("root") != F.col("hub.root"))
+    apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("hub.hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("hub.lo")))
+    return met.where(apart <= BITS_APART).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
+def exactly_near(pairs: DataFrame, sets: DataFrame, shelf: Shelf) -> DataFrame:
+    """The pairs (a, b) whose sets, of sets(node, shingles), have a Jaccard similarity of
+    0.8 or more.  Only the sets of nodes in a pair move."""
+    used = shelf.store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    moved = shelf.store(sets.join(maybe_broadcast(used), "node", "left_semi"))
+    side = lambda x: moved.select(F.col("node").alias(x), F.col("shingles").alias(f"h{x}"))
     common = F.size(F.array_intersect("ha", "hb"))
     # common / (both - common) >= 4 / 5
     return pairs.join(side("a"), "a").join(side("b"), "b").where(9 * common >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
-def mixed_only(rows: DataFrame, key: str) -> DataFrame:
-    """The rows (key, root, ...) of keys that hold more than one root."""
-    spans = rows.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    return rows.join(spans.where(F.col("lo") != F.col("hi")).select(key), key, "left_semi")
-
-
-def _near_bits(other: Column) -> Column:
-    apart = F.bit_count(F.col("hi").bitwiseXOR(other["hi"])) + F.bit_count(F.col("lo").bitwiseXOR(other["lo"]))
-    return apart <= BITS_APART
-
-
-def round_pairs(near: DataFrame, links: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of holders of a key, of near(node, key, hi, lo), whose components
-    under ``links`` differ: each with ``NEAR`` before it and the one with most links."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    known = cut(components(links).join(degree, "node", "full"))
-    named = near.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("degree", F.coalesce("degree", F.lit(0)))
-    rows = mixed_only(cut(named), "key")
-    word, by = F.col("hi" if turn % 2 else "lo"), 11 * (turn // 2) % 64
-    turned = F.shiftleft(word, by).bitwiseOR(F.shiftrightunsigned(word, 64 - by)) if by else word
-    holder = F.struct("node", "root", "hi", "lo")
-    chain = Window.partitionBy("key").orderBy("turned", "node")
-    most = F.max(F.struct("degree", "node", "root", "hi", "lo")).over(Window.partitionBy("key"))
-    hub = F.struct(most["node"].alias("node"), most["root"].alias("root"), most["hi"].alias("hi"), most["lo"].alias("lo"))
-    met = F.array(*[F.lag(holder, k).over(chain) for k in range(1, NEAR + 1)], hub)
-    pairs = rows.withColumn("turned", turned).withColumn("met", met).select("node", "root", "hi", "lo", F.explode("met").alias("o"))
-    pairs = pairs.where(F.col("o").isNotNull() & (F.col("o.root") != F.col("root")) & _near_bits(F.col("o")))
-    return pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
-
-
-def wide_links(marked: DataFrame, check=verified) -> DataFrame:
-    """Links (a, b) between nodes of similar texts, of marked(node, segments, sketch);
-    ``check`` (pairs, marked) keeps the pairs that are similar."""
-    prints = marked.groupBy("node").agg(F.first("segments").alias("segments"), F.first("sketch").alias("sketch"))
-    chain = Window.partitionBy("key").orderBy("node")
-    held = F.count(F.lit(1)).over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    near = with_keys(prints).withColumn("o", F.lag(F.struct("node", "hi", "lo")).over(chain)).withColumn("held", held)
-    near = cut(near.where(F.col("held") > 1).drop("held"))
-    first = near.where(F.col("o").isNotNull() & _near_bits(F.col("o"))).select(F.col("o.node").alias("a"), F.col("node").alias("b")).distinct()
-    links, near, turn = cut(check(first, marked)), near.drop("o"), 0
+def near_roots(prints: DataFrame, check=None) -> DataFrame:
+    """(node, root) of linked nodes, of prints(node, segments, sketch, shingles), one row a
+    node; ``check`` (pairs, prints, shelf) keeps the pairs that are similar."""
+    spark, check, shelf = prints.sparkSession, check or exactly_near, Shelf(prints.sparkSession)
+    roots, turn = None, 0
+    some = prints.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("degree"), "segments", "sketch")
     while True:
-        found = cut(check(round_pairs(near, links, turn), marked))
-        if found.isEmpty():
-            return links
-        links, turn = cut(links.unionByName(found)), turn + 1
+        keyed = with_keys(some, turn)
+        tried = candidates(keyed, turn)
+        tried = shelf.store(tried.union(hub_pairs(keyed)).distinct() if turn else tried)
+        links = shelf.store(check(tried.where(F.col("b").isNotNull()), prints, shelf))
+        if links.isEmpty():
+            break
+        met = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        if roots is None:
+            roots, degrees = components(links), cut(met)
+            crowded = cut(tried.where(F.col("b").isNull()).select(F.col("a").alias("node")))
+        else:  # the links join whole components: contract them, then rename their roots
+            named = links.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+            merged = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+            fresh = met.select("node").join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+            known = roots.union(fresh).union(roots.select("root", "root")).distinct().toDF("node", "old")
+            renamed = known.join(merged.toDF("old", "new"), "old", "left").select("node", F.coalesce("new", "old").alias("root"))
+            roots = cut(renamed.where(F.col("node") != F.col("root")).distinct())
+            degrees = cut(degrees.union(met).groupBy("node").agg(F.sum("degree").alias("degree")))
+        turn += 1
+        shelf.clear()
+        if crowded.isEmpty():
+            break
+        few = prints.select("node", "segments", "sketch").join(maybe_broadcast(crowded), "node", "left_semi")
+        known = few.join(roots, "node", "left").join(degrees, "node", "left")
+        some = known.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"), "segments", "sketch")
+    shelf.clear()
+    return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id; of rows
     that share it, any one of those with the same text.  Columns as given."""
+    shelf = Shelf(docs.sparkSession)
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
-    marked = cut(with_wide_fingerprint(hashed, ["doc_id", "__hash"], width))
-    grouped = group_documents(marked.select("doc_id", "__hash", "node"), wide_links(marked, exactly_near))
+    marked = shelf.store(with_wide_fingerprint(hashed, ["doc_id", "__hash"], width))
+    one = shelf.store(marked.select("node", "segments", "sketch", "shingles").dropDuplicates(["node"]))
+    grouped = group_documents(marked.select("doc_id", "__hash", "node"), near_roots(one))
     first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # repeated ids can be the least of more than one component: one row a root
     chosen = first.groupBy("root").agg(F.first("component_id").alias("__id"), F.min("__hash").alias("__keep"))
     chosen = cut(chosen.select("__id", "__keep"))
+    shelf.clear()
     keyed = docs.withColumn("__hash", F.xxhash64("text"))
     kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["__id"]) & (keyed["__hash"] == chosen["__keep"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "__hash"]).select(*[f"`{c}`" for c in docs.columns])

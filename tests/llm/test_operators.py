@@ -449,30 +449,48 @@ def test_long_chain_of_links(spark):
     assert got == {i: 0 for i in range(1, 61)}
 
 
-def test_crowded_keys_lose_no_component(spark):
+def brute_groups(texts):
+    """The least number of each text's component of pairs at similarity 0.8 or more."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("nearest, sight", [(3, 512), (2, 300)])
+def test_a_crowded_family_against_brute_force(spark, monkeypatch, nearest, sight):
+    """Copies of copies of one text: most pairs are below the limit, keys are full."""
+    monkeypatch.setattr(simhash, "NEAREST", nearest)
+    monkeypatch.setattr(simhash, "SIGHT", sight)
     rng = random.Random(5)
-    bins = simhash.BINS
-    fresh = lambda: [rng.randrange(1, 1 << 31) for _ in range(bins)]
-    sketches = [fresh() for _ in range(60)]
-    for base in range(0, 30, 2):  # near copies that differ in the bins the chain sorts by, and in others
-        twin = list(sketches[base])
-        for i in [*range(simhash.SEGMENTS), *rng.sample(range(simhash.SEGMENTS, bins), 30 - base)]:
-            twin[i] = rng.randrange(1, 1 << 31)
-        sketches.append(twin)
-    short = [fresh()[:3] + [0] * (bins - 3) for _ in range(6)]
-    sketches += short + [[*short[0][:3], *[0] * (bins - 4), 9]]
-    rows = [(node, [7] * simhash.SEGMENTS, s) for node, s in enumerate(sketches)]
-    found = simhash.wide_links(spark.createDataFrame(rows, "node long, segments array<int>, sketch array<int>"))
-    roots = {r["node"]: r["root"] for r in simhash.components(found).collect()}
-
-    def linked(x, y):
-        used = [(a, b) for a, b in zip(x, y) if a or b]
-        return sum(a == b for a, b in used) >= simhash.MIN_SIMILARITY * len(used)
-
-    want = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if linked(sketches[a], sketches[b])}
-    assert len(want) > 15
-    assert {(roots.get(a, a), roots.get(b, b)) for a, b in want} <= {(r, r) for r in range(len(rows))}
-    assert {(r["a"], r["b"]) for r in found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).collect()} <= want
+    texts = [["w%d" % rng.randrange(10**6) for _ in range(120)]]
+    while len(texts) < 700:
+        copy = list(rng.choice(texts[-300:]))
+        for _ in range(rng.choice([1, 2, 2, 6, 9])):
+            copy[rng.randrange(len(copy))] = "x%d" % rng.randrange(10**6)
+        texts.append(copy)
+    roots = brute_groups(texts)
+    assert 20 < len(set(roots)) < 650
+    table = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)], SCHEMA).repartition(5)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(table).collect()) == sorted(set(roots))
+
+
+def test_a_shared_passage_links_nothing(spark):
+    rng = random.Random(6)
+    passage = ["p%d" % i for i in range(150)]
+    texts = [["w%d" % rng.randrange(10**6) for _ in range(100)] + passage for _ in range(400)]
+    table = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)], SCHEMA)
+    assert simhash.keep_one(table).count() == 400
 
 
 def test_one_of_each_group_stays(spark, empty):

@@ -8,6 +8,7 @@ chunk size (plus halo), never by the array.
 from __future__ import annotations
 
 import inspect
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -17,27 +18,108 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gridloom.arrayframe import NUMPY, ArrayFrame, ArrayMeta, from_bits, numpy_values, spark_kind, to_bits
-from gridloom.operators.rechunk import align
+from gridloom.operators.rechunk import align, rechunk
 
 _CACHE: dict = {}
+_LOCK = threading.Lock()
+
+
+def clear_cache(namespace: str | None = None) -> None:
+    """Forget a namespace, or everything, in this process; disposes what it held."""
+    with _LOCK:
+        gone = [_CACHE.pop(k) for k in list(_CACHE) if namespace is None or k[0] == namespace]
+    for value, dispose in gone:
+        if dispose is not None:
+            dispose(value)
 
 
 @dataclass(frozen=True)
 class BlockContext:
-    """What a block function may ask for as ``ctx``."""
+    """What a block function may ask for as ``ctx``.
+
+    ``inputs``: for each input by name its dtype, and the origin and extent of the array
+    it gets (with the halo).  ``resources``: what Spark gave the task, by name.
+    """
 
     block: tuple[int, ...]
     origin: tuple[int, ...]
     extent: tuple[int, ...]
     meta: ArrayMeta
     params: dict = field(default_factory=dict)
+    inputs: dict = field(default_factory=dict)
+
+    @property
+    def resources(self) -> dict[str, list[str]]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        return {k: list(v.addresses) for k, v in task.resources().items()} if task else {}
+
+    @property
+    def device(self) -> str:
+        return "gpu" if self.resources.get("gpu") else "cpu"
 
     @staticmethod
-    def cached(namespace: str, key, factory: Callable):
-        """A value kept by the Python worker, for models and the like."""
-        if (namespace, key) not in _CACHE:
-            _CACHE.setdefault((namespace, key), factory())
-        return _CACHE[namespace, key]
+    def cached(namespace: str, key, factory: Callable, dispose: Callable | None = None):
+        """A value kept by the Python worker, for models and the like.
+
+        It is made outside the lock; of two made at once the later one is disposed of.
+        """
+        with _LOCK:
+            if (namespace, key) in _CACHE:
+                return _CACHE[namespace, key][0]
+        made = factory()
+        with _LOCK:
+            kept = _CACHE.setdefault((namespace, key), (made, dispose))[0]
+        if kept is not made and dispose is not None:
+            dispose(made)
+        return kept
+
+    def model(self, folder: str, name: str, factory: Callable, dispose: Callable | None = None):
+        """``factory(path)`` of a model of the provider's folder, once a worker."""
+        from gridloom.sources.documents import resolve_model
+
+        return self.cached(f"model:{folder}", name, lambda: factory(str(resolve_model(folder, name))), dispose)
+
+
+@dataclass(frozen=True)
+class OutputSpec:
+    """The shape of a block function's result, beside its dtype.
+
+    drop_axis: an axis (name or index) of one block that the result lacks; new_axis:
+    (name, place, size); chunks: 'same', or 'token' for one element a block.
+    """
+
+    drop_axis: str | int | None = None
+    new_axis: tuple[str, int, int] | None = None
+    chunks: str = "same"
+
+    def meta(self, meta: ArrayMeta, dtype: str) -> ArrayMeta:
+        axes, chunks = list(meta.axes), list(meta.chunks)
+        if self.chunks == "token":
+            chunks = [(1,) * len(c) for c in chunks]
+        elif self.chunks != "same":
+            raise ValueError(f"unknown chunks {self.chunks!r}")
+        if self.drop_axis is not None:
+            at = [a.upper() for a in axes].index(self.drop_axis.upper()) if isinstance(self.drop_axis, str) else self.drop_axis % len(axes)
+            if len(chunks[at]) != 1:
+                raise ValueError(f"axis {axes[at]} has {len(chunks[at])} blocks: rechunk it first")
+            del axes[at], chunks[at]
+        if self.new_axis is not None:
+            name, at, size = self.new_axis
+            axes.insert(at, name.upper())
+            chunks.insert(at, (size,))
+        return ArrayMeta(tuple(map(sum, chunks)), tuple(chunks), tuple(axes), dtype)
+
+    def place(self, block: tuple, meta: ArrayMeta) -> tuple:
+        """Index of the result's block."""
+        out = list(block)
+        if self.drop_axis is not None:
+            at = [a.upper() for a in meta.axes].index(self.drop_axis.upper()) if isinstance(self.drop_axis, str) else self.drop_axis % len(out)
+            del out[at]
+        if self.new_axis is not None:
+            out.insert(self.new_axis[1], 0)
+        return tuple(out)
 
 
 PRIMARY_NAMES = ("block", "arr", "array", "dask_arr", "x")
@@ -103,42 +185,54 @@ def _result(grouped, run, columns, dtype: str):
     return made.withColumn("value", from_bits(F.col("value"), dtype))
 
 
-def map_blocks(frames: ArrayFrame | dict[str, ArrayFrame], fn: Callable, dtype: str | None = None, policy: str = "strict", **params) -> ArrayFrame:
-    """``fn`` on aligned blocks; it returns a block of the same shape.
+def _planned(frames: ArrayFrame | dict[str, ArrayFrame], input_chunks: dict | None) -> dict[str, ArrayFrame]:
+    """The inputs by name, rechunked as the plan (input -> explicit chunks) says."""
+    frames = {"block": frames} if isinstance(frames, ArrayFrame) else frames
+    unknown = set(input_chunks or {}) - set(frames)
+    if unknown:
+        raise ValueError(f"no inputs {sorted(unknown)}")
+    return {n: rechunk(f, "explicit", input_chunks[n]) if n in (input_chunks or {}) else f for n, f in frames.items()}
+
+
+def map_blocks(frames: ArrayFrame | dict[str, ArrayFrame], fn: Callable, dtype: str | None = None, policy: str = "strict", output: OutputSpec | None = None, input_chunks: dict | None = None, **params) -> ArrayFrame:
+    """``fn`` on aligned blocks; it returns a block of the same shape, or as ``output`` says.
 
     The function sees every block that has an element; absent elements are 0.
     Values keep their dtype exactly.  A range of the result asks its inputs for the
     blocks it meets only.
     """
-    if isinstance(frames, ArrayFrame):
-        frames = {"block": frames}
+    frames = _planned(frames, input_chunks)
     names = list(frames)
     first = frames[names[0]]
     meta, cols = first.meta, first.meta.columns
     sides = [align(first, f, policy) if i else f for i, f in enumerate(frames.values())]
     dtypes = [f.meta.dtype for f in sides]
-    out_dtype = dtype or meta.dtype
-    starts = [meta.starts(i) for i in range(len(cols))]
+    spec, out_dtype = output or OutputSpec(), dtype or meta.dtype
+    out_meta = spec.meta(meta, out_dtype)
+    starts, out_starts = ([m.starts(i) for i in range(len(m.shape))] for m in (meta, out_meta))
 
     def run(key, pdf):
         block = tuple(int(k) for k in key)
         origin = tuple(s[b] for s, b in zip(starts, block))
         extent = tuple(c[b] for c, b in zip(meta.chunks, block))
         arrays = {name: _dense(pdf, i, cols, origin, extent, dtypes[i]) for i, name in enumerate(names)}
-        made = np.asarray(fn(**bind(fn, arrays, params, BlockContext(block, origin, extent, meta, params)))).astype(NUMPY[out_dtype])
-        if made.shape != extent:
-            raise ValueError(f"block function returned {made.shape}, not {extent}")
-        return _rows(made, origin, cols)
+        inputs = {n: {"dtype": d, "origin": origin, "extent": extent} for n, d in zip(names, dtypes)}
+        made = np.asarray(fn(**bind(fn, arrays, params, BlockContext(block, origin, extent, meta, params, inputs)))).astype(NUMPY[out_dtype])
+        at = spec.place(block, meta)
+        want = tuple(c[b] for c, b in zip(out_meta.chunks, at))
+        if made.shape != want:
+            raise ValueError(f"block function returned {made.shape}, not {want}")
+        return _rows(made, tuple(s[b] for s, b in zip(out_starts, at)), out_meta.columns)
 
     def over(parts):
         keyed = first.with_df(_inputs(parts, dtypes, cols)).with_blocks()
-        return _result(keyed.groupBy(*[f"b_{c}" for c in cols]), run, cols, out_dtype)
+        return _result(keyed.groupBy(*[f"b_{c}" for c in cols]), run, out_meta.columns, out_dtype)
 
     def load(ranges):
         spans = [first.block_span(i, *r) for i, r in enumerate(ranges)]
         return over([f.within(spans).df for f in sides])
 
-    return first.with_df(over([f.df for f in sides]), load, dtype=out_dtype)
+    return ArrayFrame(over([f.df for f in sides]), out_meta, load if output is None else None)
 
 
 BOUNDARIES = ("none", "reflect", "nearest", "periodic")
@@ -226,7 +320,7 @@ def halo_rows(frame: ArrayFrame, depth, boundary="none", meta: ArrayMeta | None
     return rows.select(*[f"b_{c}" for c in meta.columns], *[f"v_{c}" for c in meta.columns], "value"), meta, pairs
 
 
-def map_overlap(frames: ArrayFrame | dict[str, ArrayFrame], fn: Callable, depth=0, boundary="none", dtype: str | None = None, policy: str = "strict", depth_by_input: dict | None = None, trim: bool = True, allow_untrimmed: bool = False, **params) -> ArrayFrame:
+def map_overlap(frames: ArrayFrame | dict[str, ArrayFrame], fn: Callable, depth=0, boundary="none", dtype: str | None = None, policy: str = "strict", depth_by_input: dict | None = None, trim: bool = True, allow_untrimmed: bool = False, input_chunks: dict | None = None, **params) -> ArrayFrame:
     """``fn`` on blocks padded by their halo; the result is trimmed to the block.
 
     Several inputs are aligned by ``policy`` and may have depths of their own by name;
@@ -235,8 +329,7 @@ def map_overlap(frames: ArrayFrame | dict[str, ArrayFrame], fn: Callable, depth=
     ``trim=False`` (with ``allow_untrimmed``) keeps the halo: the result's chunks, and
     so its shape, grow by it.
     """
-    if isinstance(frames, ArrayFrame):
-        frames = {"block": frames}
+    frames = _planned(frames, input_chunks)
     names = list(frames)
     first = frames[names[0]]
     sides = [align(first, f, policy) if i else f for i, f in enumerate(frames.values())]
@@ -270,12 +363,13 @@ def map_overlap(frames: ArrayFrame | dict[str, ArrayFrame], fn: Callable, depth=
         block = tuple(int(k) for k in key)
         origin = tuple(s[b] for s, b in zip(starts, block))
         extent = tuple(c[b] for c, b in zip(meta.chunks, block))
-        arrays = {}
+        arrays, inputs = {}, {}
         for i, name in enumerate(names):
             lows, highs = bounds(block, pairs[i])
             arrays[name] = _dense(pdf, i, [f"v_{c}" for c in cols], lows, [h - lo for lo, h in zip(lows, highs)], dtypes[i])
+            inputs[name] = {"dtype": dtypes[i], "origin": tuple(lows), "extent": arrays[name].shape}
         want = arrays[names[0]].shape
-        made = np.asarray(fn(**bind(fn, arrays, params, BlockContext(block, origin, extent, meta, params)))).astype(NUMPY[out_dtype])
+        made = np.asarray(fn(**bind(fn, arrays, params, BlockContext(block, origin, extent, meta, params, inputs)))).astype(NUMPY[out_dtype])
         if made.shape != want:
             raise ValueError(f"halo function returned {made.shape}, not {want}")
         if not trim:

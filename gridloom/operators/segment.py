@@ -35,8 +35,8 @@ def label_components(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def threshold_components(block: np.ndarray, threshold: float = 0.0) -> np.ndarray:
-    return label_components(block > threshold)
+def threshold_components(block: np.ndarray, threshold: float | None = None, cellprob_threshold: float = 0.0) -> np.ndarray:
+    return label_components(block > (cellprob_threshold if threshold is None else threshold))
 
 
 def segment(frame: ArrayFrame, segmenter=threshold_components, depth=None, boundary="reflect", **params) -> ArrayFrame:

@@ -1,4 +1,8 @@
-"""The seven node types over ArrayFrames."""
+"""The seven node types over ArrayFrames.
+
+Fixed values: the names of node types and inputs, their type strings and defaults, as
+saved graphs have them.
+"""
 
 from __future__ import annotations
 
@@ -109,60 +113,96 @@ class RechunkNode(_SameType):
     }
 
     def execute(self, dask_arr, mode, chunks, axis_chunks, reference_arr, axes):
-        if axes:
-            names = zarr.parse_axes(axes, len(dask_arr.meta.shape))
-            renamed = lambda df: df.toDF(*[c.lower() for c in names], "value")
-            dask_arr = dask_arr.mapped(renamed, axes=names)
+        dask_arr = _named(dask_arr, axes)
         return rechunk.rechunk(dask_arr, mode, chunks, axis_chunks, reference_arr)
 
 
+def _named(frame: ArrayFrame, axes: str) -> ArrayFrame:
+    """The frame with other axis names, if any are given."""
+    if not axes:
+        return frame
+    names = zarr.parse_axes(axes, len(frame.meta.shape))
+    return frame.mapped(lambda df: df.toDF(*[c.lower() for c in names], "value"), axes=names)
+
+
 @register_node("Cellpose")
 class SegmentNode(Node):
-    """Instance segmentation by block; the segmenter is a plug-in (see segment.py)."""
+    """Instance segmentation by block; the segmenter is a plug-in (see segment.py).
 
-    INPUTS = {"dask_arr": (ANY, {}), "threshold": ("FLOAT", {"default": 0.0, "optional": True}), "channel": ("INT", {"default": 0, "optional": True})}
+    It gets the parameters below whose names it asks for.  The built-in one marks what
+    is above ``cellprob_threshold`` and ignores the rest.
+    """
+
+    INPUTS = {
+        "image": (ANY, {}),
+        "primary_channel": ("INT", {"default": 0}),
+        "secondary_channel": ("INT", {"default": -1}),
+        "model_name": ("STRING", {"default": ""}),
+        "diameter": ("FLOAT", {"default": 0.0}),
+        "flow_threshold": ("FLOAT", {"default": 0.4}),
+        "cellprob_threshold": ("FLOAT", {"default": 0.0}),
+        "gpu_batch_size": ("INT", {"default": 8}),
+        "do_3d": (["auto", "true", "false"], {"default": "auto"}),
+        "normalize": ("BOOLEAN", {"default": True}),
+    }
     RETURNS = ("DASK_ARRAY[uint32]",)
     CATEGORY = "segmentation"
     segmenter = staticmethod(segment.threshold_components)
 
-    def execute(self, dask_arr, threshold, channel):
-        frame = align.select_channel(dask_arr, channel) if "C" in dask_arr.meta.axes else dask_arr
-        # labels number components of one position of the other axes at a time
-        spatial = {"Z", "Y", "X"}
+    def execute(self, image, primary_channel, secondary_channel, **params):
+        frame = image
+        if "C" in image.meta.axes:
+            # a model sees both channels as the last axis; the built-in segmenter the first
+            frame = align.select_channel(image, primary_channel)
+        elif primary_channel > 0 or secondary_channel > 0:
+            raise ValueError("the image has no channel axis")
+        # labels number components of one position of the other axes at a time; planes
+        # are segmented one by one unless three dimensions are asked for
+        flat = params["do_3d"] == "false" or params["do_3d"] == "auto" and "Z" not in frame.meta.axes
+        spatial = {"Y", "X"} if flat else {"Z", "Y", "X"}
         sizes = [1 if a not in spatial else None for a in frame.meta.axes]
         if any(sizes):
             parts = [tuple([1] * n) if s else c for s, n, c in zip(sizes, frame.meta.shape, frame.meta.chunks)]
             frame = frame.with_df(frame.df, frame.load, chunks=tuple(parts))
-        return segment.segment(frame, type(self).segmenter, threshold=threshold)
+        return segment.segment(frame, type(self).segmenter, **params)
 
 
 @register_node("ZarrWriter")
 class ZarrWriterNode(Node):
     INPUTS = {
-        "dask_arr": (ANY, {}),
+        "array": (ANY, {}),
         "output_path": ("STRING", {}),
         "store_kind": (["array", "ome_zarr"], {"default": "array"}),
         "dataset_path": ("STRING", {"default": "0", "optional": True}),
+        "axes": ("STRING", {"default": "", "optional": True}),
+        "voxel_size": ("STRING", {"default": "", "optional": True}),
         "compressor_name": (["default", "zstd", "zlib", "blosc", "lz4", "none"], {"default": "default"}),
         "overwrite": ("BOOLEAN", {"default": True, "optional": True}),
+        "write_metadata": ("BOOLEAN", {"default": True, "optional": True}),
     }
     RETURNS = ("DASK_ARRAY[uint8]",)
     OUTPUT, OUTPUT_PATH_INPUT, CATEGORY = True, "output_path", "sink"
 
-    def preprocess(self, dask_arr, output_path, store_kind, dataset_path, compressor_name, overwrite):
-        zarr.prepare_store(output_path, dask_arr.meta, store_kind, dataset_path, compressor_name, overwrite)
+    def preprocess(self, array, output_path, store_kind, dataset_path, axes, voxel_size, compressor_name, overwrite, write_metadata):
+        meta = _named(array, axes).meta
+        zarr.prepare_store(output_path, meta, store_kind, dataset_path, compressor_name, overwrite, voxel_size=voxel_size, metadata=write_metadata)
+
+    def validate(self, output_path, store_kind, dataset_path, array, axes, **_):
+        """On resume: the store must be the one this node would make."""
+        zarr.prepare_store(output_path, _named(array, axes).meta, store_kind, dataset_path, resume=True)
 
-    def execute(self, dask_arr, output_path, store_kind, dataset_path, compressor_name, overwrite):
+    def execute(self, array, output_path, store_kind, dataset_path, axes, **_):
+        array = _named(array, axes)
         prefix = "" if store_kind == "array" else dataset_path.strip("/") + "/"
 
         def write(window):
-            rows = long_to_block(_of_window(dask_arr, window))
+            rows = long_to_block(_of_window(array, window))
             if window is not None:
                 for i, (a, b) in enumerate(zip(window.starts, window.stops)):
                     rows = rows.where((rows["block"][i] >= a) & (rows["block"][i] < b))
-            zarr.write_blocks(rows, dask_arr.meta, output_path, prefix).count()
+            zarr.write_blocks(rows, array.meta, output_path, prefix).count()
 
-        return _token(dask_arr, write)
+        return _token(array, write)
 
 
 @register_node("WriteParquetCellTable")
@@ -170,21 +210,28 @@ class CellTableNode(Node):
     INPUTS = {
         "mask": (ANY, {}),
         "output_dir": ("STRING", {}),
+        "axes": ("STRING", {"default": "", "optional": True}),
         "tile_z": ("INT", {"default": 16, "optional": True}),
         "tile_y": ("INT", {"default": 512, "optional": True}),
         "tile_x": ("INT", {"default": 512, "optional": True}),
         "compression": (["zstd", "snappy"], {"default": "zstd"}),
         "row_group_size": ("INT", {"default": 100000, "optional": True}),
+        "overwrite": ("BOOLEAN", {"default": True, "optional": True}),
         "write_block_metadata": ("BOOLEAN", {"default": True, "optional": True}),
         "sort_by_spatial_key": ("BOOLEAN", {"default": True, "optional": True}),
     }
     RETURNS = ("DASK_ARRAY[uint8]",)
     OUTPUT, OUTPUT_PATH_INPUT, CATEGORY = True, "output_dir", "sink"
 
-    def preprocess(self, mask, output_dir, **_):
-        zarr.Store(output_dir).remove()
+    def preprocess(self, output_dir, overwrite, **_):
+        store = zarr.Store(output_dir)
+        if store.exists() and not overwrite:
+            raise FileExistsError(output_dir)
+        store.remove()
+
+    def execute(self, mask, output_dir, axes, tile_z, tile_y, tile_x, compression, row_group_size, overwrite, write_block_metadata, sort_by_spatial_key):
+        mask = _named(mask, axes)
 
-    def execute(self, mask, output_dir, tile_z, tile_y, tile_x, compression, row_group_size, write_block_metadata, sort_by_spatial_key):
         def write(window):
             blocks_ = None
             if window is not None:

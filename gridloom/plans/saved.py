@@ -1,7 +1,8 @@
-"""Saved workflow documents, run settings and input visibility (driver side).
+"""Saved graph documents, run settings and input visibility (driver side).
 
 A document holds a drawn graph: nodes with a type and values, edges between numbered
-outputs and named inputs, an id, and metadata that may carry run settings.
+outputs and named inputs, metadata that may carry run settings, and an id: the text
+under its one top-level key that ends in ``Id``.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from gridloom.plans.graph import NODES
 from gridloom.plans.recovery import ExecutionConfig
 
 SETTINGS_VERSION = 1
+ID_KEY = "documentId"
 
 
 def visible_inputs(node_type: str, values: dict) -> set[str]:
@@ -29,19 +31,20 @@ def visible_inputs(node_type: str, values: dict) -> set[str]:
 
 
 @dataclass
-class Workflow:
-    workflow_id: str
+class SavedGraph:
+    document_id: str
     nodes: list[dict]
     edges: list[dict]
     metadata: dict = field(default_factory=dict)
     name: str | None = None
     migrated: bool = False  # the document had no id; it got one here
+    id_key: str = ID_KEY  # as the document has it
 
     def document(self) -> dict:
         """What is stored: structure and values, no state of a run."""
         nodes = [{"id": n["id"], "type": n["type"], "position": n["position"], "data": {"opType": n["op"], "values": n["values"]}} for n in self.nodes]
-        out = {"workflowId": self.workflow_id, "metadata": self.metadata, "nodes": nodes, "edges": self.edges}
-        return out | ({} if self.name is None else {"workflow_name": self.name})
+        out = {self.id_key: self.document_id, "metadata": self.metadata, "nodes": nodes, "edges": self.edges}
+        return out | ({} if self.name is None else {"name": self.name})
 
     def graph(self) -> dict:
         """The executable graph; an edge replaces the literal of its input."""
@@ -52,7 +55,7 @@ class Workflow:
         return out
 
 
-def parse_workflow(raw) -> Workflow | None:
+def parse_saved(raw) -> SavedGraph | None:
     """Flat documents, and older ones with nodes and edges under ``graph``; None if
     neither.  A missing id is made once and reported as migrated."""
     if not isinstance(raw, dict):
@@ -68,11 +71,11 @@ def parse_workflow(raw) -> Workflow | None:
             nodes.append({"id": str(n.get("id", "")), "type": str(n.get("type", "dynamic")), "position": {"x": at.get("x", 0), "y": at.get("y", 0)}, "op": str(data.get("opType", "")), "values": dict(data.get("values") or {})})
     found = drawn.get("edges") if isinstance(drawn.get("edges"), list) else []
     edges = [{"id": str(e.get("id", "")), "source": str(e.get("source", "")), "target": str(e.get("target", "")), "sourceHandle": e.get("sourceHandle"), "targetHandle": e.get("targetHandle"), "type": e.get("type")} for e in found if isinstance(e, dict)]
-    own = raw.get("workflowId")
-    own = own.strip() if isinstance(own, str) else ""
+    key = next((k for k in raw if isinstance(k, str) and k.endswith("Id")), ID_KEY)
+    own = raw[key].strip() if isinstance(raw.get(key), str) else ""
     metadata = raw.get("metadata") if isinstance(raw.get("metadata"), dict) else {}
-    name = next((raw[k] for k in ("workflow_name", "name") if isinstance(raw.get(k), str)), None)
-    return Workflow(own or uuid.uuid4().hex, nodes, edges, dict(metadata), name, not own)
+    name = next((raw[k] for k in sorted(raw, reverse=True) if (k == "name" or k.endswith("_name")) and isinstance(raw[k], str)), None)
+    return SavedGraph(own or uuid.uuid4().hex, nodes, edges, dict(metadata), name, not own, key)
 
 
 def settings_errors(settings: dict, plan: dict | None = None) -> dict[str, str]:

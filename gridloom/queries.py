@@ -183,9 +183,12 @@ def drop_axis(spark, sf_dir):
     return flat.df.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("value").cast("double").alias("value"))
 
 
-_NEAR = "SELECT a.y, a.x, CAST(sum(b.value) AS BIGINT) AS value FROM i2 a JOIN {b} b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 WHERE a.y < 100 GROUP BY a.y, a.x"
-_EDGE = """, ys AS (SELECT y AS p, y FROM (SELECT DISTINCT y FROM i2 WHERE y < 102) UNION ALL SELECT -1, 0),
-xs AS (SELECT x AS p, x FROM (SELECT DISTINCT x FROM i2) UNION ALL SELECT -1, 0 UNION ALL SELECT 64, 63),
+# each element adds to the nine positions around it, as far as these are in the array
+_NEAR = """, d AS (SELECT dy, dx FROM range(-1, 2) r(dy), range(-1, 2) c(dx)),
+near AS (SELECT b.y + dy AS y, b.x + dx AS x, sum(b.value) AS total FROM {b} b, d GROUP BY ALL)
+SELECT y, x, CAST(total AS BIGINT) AS value FROM i2 JOIN near USING (y, x)"""
+_EDGE = """, ys AS (SELECT DISTINCT y AS p, y FROM i2 UNION ALL SELECT -1, 0 UNION ALL SELECT max(y) + 1, max(y) FROM i2),
+xs AS (SELECT DISTINCT x AS p, x FROM i2 UNION ALL SELECT -1, 0 UNION ALL SELECT 64, 63),
 r2 AS (SELECT ys.p AS y, xs.p AS x, i2.value FROM i2 JOIN ys USING (y) JOIN xs USING (x))"""
 
 
@@ -196,35 +199,69 @@ def _sum3(block):
     return sum(padded[i : i + block.shape[0], j : j + block.shape[1]] for i in range(3) for j in range(3))
 
 
-@query(f"WITH {I2} {_NEAR.format(b='i2')}")
+@query(f"WITH {I2}{_NEAR.format(b='i2')}")
 def overlap_sum_none(spark, sf_dir):
-    return blocks.window_sum(_i2(spark, sf_dir), 1, "none").df.where("y < 100")
+    return blocks.window_sum(_i2(spark, sf_dir), 1, "none").df
 
 
-@query(f"WITH {I2}{_EDGE} {_NEAR.format(b='r2')}")
+@query(f"WITH {I2}{_EDGE}{_NEAR.format(b='r2')}")
 def overlap_sum_reflect(spark, sf_dir):
-    return blocks.window_sum(_i2(spark, sf_dir), 1, "reflect").df.where("y < 100")
+    return blocks.window_sum(_i2(spark, sf_dir), 1, "reflect").df
 
 
-@query(f"WITH {I2} {_NEAR.format(b='i2')}")
+@query(f"WITH {I2}{_NEAR.format(b='i2')}")
 def overlap_user_function(spark, sf_dir):
-    return blocks.map_overlap(_i2(spark, sf_dir), _sum3, 1, "none").df.where("y < 100")
+    return blocks.map_overlap(_i2(spark, sf_dir), _sum3, 1, "none").df
 
 
-# the same over the whole array; tested against NumPy, as the SQL above ends at y = 100
-@query()
-def overlap_sum_none_whole(spark, sf_dir):
-    return blocks.window_sum(_i2(spark, sf_dir), 1, "none").df
+def _left_and_near(left, right, ctx):
+    """Twice the left element and the sum of the right ones around it."""
+    (y, x), (oy, ox) = ctx.inputs["right"]["origin"], ctx.origin
+    near = _sum3(right)[oy - y : oy - y + left.shape[0], ox - x : ox - x + left.shape[1]]
+    return left.astype("int64") * 2 + near
 
 
-@query()
-def overlap_sum_reflect_whole(spark, sf_dir):
-    return blocks.window_sum(_i2(spark, sf_dir), 1, "reflect").df
+@query(f"""WITH {I2}, w2 AS (SELECT y, x, value % 7 AS value FROM i2), d AS (SELECT dy, dx FROM range(-1, 2) r(dy), range(-1, 2) c(dx)),
+near AS (SELECT b.y + dy AS y, b.x + dx AS x, sum(b.value) AS total FROM w2 b, d GROUP BY ALL)
+SELECT y, x, CAST(2 * i2.value + total AS BIGINT) AS value FROM i2 JOIN near USING (y, x)""")
+def overlap_two_inputs(spark, sf_dir):
+    left = _i2(spark, sf_dir)
+    right = rechunk.rechunk(left.with_df(left.df.withColumn("value", F.col("value") % 7)), "explicit", "100,24")
+    return blocks.map_overlap({"left": left, "right": right}, _left_and_near, dtype="int32", policy="rechunk_to_primary", depth_by_input={"right": 1}).df
 
 
-@query()
-def overlap_user_function_whole(spark, sf_dir):
-    return blocks.map_overlap(_i2(spark, sf_dir), _sum3, 1, "none").df
+@query(f"WITH {E2} SELECT y, x, CAST(18446744073709551000 + (y * 64 + x) % 600 + 1 AS VARCHAR) AS value FROM e2")
+def block_function_unsigned(spark, sf_dir):
+    e2 = _e2(spark, sf_dir)
+    large = F.lit("18446744073709551000").cast("decimal(20,0)") + F.expr("(y * 64 + x) % 600").cast("decimal(3,0)")
+    frame = e2.with_df(e2.df.withColumn("value", large.cast("decimal(20,0)")), dtype="uint64")
+    made = blocks.map_blocks(frame, lambda block: block + block.dtype.type(1))
+    return made.df.withColumn("value", F.col("value").cast("string"))
+
+
+@query(f"WITH {I2} SELECT y // 128 AS y, x // 16 AS x, CAST(max(value) AS BIGINT) AS value FROM i2 GROUP BY ALL")
+def block_function_tokens(spark, sf_dir):
+    return blocks.map_blocks(_i2(spark, sf_dir), lambda block: block.max(keepdims=True), output=blocks.OutputSpec(chunks="token")).df
+
+
+@query(f"WITH {I2} SELECT y, CAST(sum(value) AS BIGINT) AS value FROM i2 GROUP BY y")
+def block_function_drop_axis(spark, sf_dir):
+    i2 = _i2(spark, sf_dir)
+    return blocks.map_blocks(i2, lambda block: block.sum(axis=1), dtype="int32", output=blocks.OutputSpec(drop_axis="X"), input_chunks={"block": "128,-1"}).df
+
+
+@query(f"WITH {E2} SELECT y // 4 AS z, (x // 8) AS y, x % 8 AS x, CASE WHEN y % 4 = 3 THEN 0 ELSE 1 END::BIGINT AS c, CAST(v AS DOUBLE) AS value FROM e2 WHERE y % 4 IN (1, 3)")
+def channel_pair(spark, sf_dir):
+    e3 = _e3(spark, sf_dir)
+    depth = -(-e3.meta.shape[0] // 4)
+    df = e3.df.select(F.expr("z % 4").alias("c"), F.expr("z div 4").alias("z"), "y", "x", F.col("value").cast("double").alias("value"))
+    stacked = ArrayFrame(df, ArrayMeta.regular((4, depth, 8, 8), (1, 64, 8, 8), "CZYX", "float64"))
+    return align.select_channel(stacked, 3, 1).df
+
+
+@query(f"WITH {E2} SELECT CAST(0 AS BIGINT) AS c, y, x, CAST(v AS DOUBLE) AS value FROM e2")
+def new_axis(spark, sf_dir):
+    return align.new_axis(_e2(spark, sf_dir), "C").df.withColumn("value", F.col("value").cast("double"))
 
 
 @query(f"WITH {I2} SELECT y, x, value * 2 + 1 AS value FROM i2")
@@ -281,6 +318,64 @@ def cell_table_sorted_rank(spark, sf_dir):
     return cell_table(_m2(spark, sf_dir), _TILE).select("source_block_id", "global_cell_id", "spatial_key", F.row_number().over(w).cast("long").alias("rank"))
 
 
+def _written(spark, sf_dir) -> str:
+    """The fragments of M2, written twice: the second time finds them complete."""
+    from gridloom.sources import fragments
+
+    path = f"{_scratch(spark)}/cells"
+    write = lambda: fragments.write_fragments(_m2(spark, sf_dir), path, _TILE, overwrite=False)
+    write().count()
+    again = write().agg(F.count_if(~F.col("skipped"))).collect()[0][0]
+    if again:
+        raise RuntimeError(f"{again} fragments were written again")
+    return path
+
+
+@query(f"{_CELLS} SELECT * FROM cells")
+def fragments_read_back(spark, sf_dir):
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(_written(spark, sf_dir))
+    kinds = dict(cell_table(_m2(spark, sf_dir), _TILE).dtypes)
+    return rows.select(*[F.col(c).cast(kinds[c]).alias(c) for c in COLUMNS])
+
+
+@query(f"""{_CELLS}, g AS (SELECT unnest(range(CAST(ny * 4 AS BIGINT))) AS f FROM k)
+SELECT f AS block_id, count(source_block_id) AS row_count, min(spatial_key) AS spatial_key_min, max(spatial_key) AS spatial_key_max, CAST(23 AS BIGINT) AS n_columns, 'zstd' AS compression FROM g LEFT JOIN cells ON f = source_block_id GROUP BY f""")
+def fragment_sidecars(spark, sf_dir):
+    schema = "block_id long, row_count long, spatial_key_min long, spatial_key_max long, schema array<array<string>>, compression string"
+    side = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(_written(spark, sf_dir))
+    return side.withColumn("n_columns", F.size("schema").cast("long")).drop("schema")
+
+
+@query(f"{_CELLS} SELECT CAST(source_block_id AS BIGINT) AS source_block_id, CAST(count(*) AS BIGINT) AS n, true AS in_order FROM cells GROUP BY 1")
+def fragment_order(spark, sf_dir):
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(_written(spark, sf_dir))
+    # a fragment is one file of one row group: rows come in the order of its lines
+    lines = rows.select(F.col("source_block_id").cast("long").alias("source_block_id"), F.col("spatial_key").cast("decimal(20,0)").alias("k"), F.col("global_cell_id").cast("decimal(20,0)").alias("g"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i"))
+    from pyspark.sql import Window
+
+    before = F.lag(F.struct("k", "g")).over(Window.partitionBy("f").orderBy("i"))
+    ordered = lines.withColumn("ok", before.isNull() | (before < F.struct("k", "g")))
+    return ordered.groupBy("source_block_id").agg(F.count(F.lit(1)).alias("n"), F.every("ok").alias("in_order"))
+
+
+_FRAGMENT_AXES = f"""WITH {E2}, {SIZE},
+m AS (SELECT y % 2 AS t, (y // 2) % 3 AS c, y // 6 AS y, x, 1 + x // 8 AS label, (n + 5) // 6 AS ny FROM e2, n WHERE CAST(v AS DOUBLE) > 0.1),
+q AS (SELECT *, y // 32 AS blky, x // 16 AS blkx FROM m)
+SELECT 't0' || t || '_c0' || c || '_00' || lpad(CAST(blky AS VARCHAR), 2, '0') || lpad(CAST(blkx AS VARCHAR), 2, '0') || printf('%06d', label) AS cell_id_str,
+ CAST(((t * 3 + c) * ((any_value(ny) + 31) // 32) + blky) * 4 + blkx AS BIGINT) AS source_block_id, label, count(*) AS area_or_volume, min(y) AS bbox_y_min, max(y) AS bbox_y_max FROM q GROUP BY t, c, blky, blkx, label"""
+
+
+@query(_FRAGMENT_AXES)
+def cell_table_axes(spark, sf_dir):
+    """Time and channel axes: their block index goes into the names."""
+    e2 = _e2(spark, sf_dir)
+    rows = e2.meta.shape[0]
+    label = F.when(F.col("value").cast("double") > 0.1, F.expr("1 + x div 8")).otherwise(0).cast("long")
+    df = e2.df.select(F.expr("y % 2").alias("t"), F.expr("(y div 2) % 3").alias("c"), F.expr("y div 6").alias("y"), "x", label.alias("value"))
+    mask = ArrayFrame(df, ArrayMeta.regular((2, 3, -(-rows // 6), WIDTH), (1, 1, 32, 16), "TCYX", "uint32"))
+    return cell_table(mask, _TILE).select("cell_id_str", "source_block_id", "label", "area_or_volume", "bbox_y_min", "bbox_y_max")
+
+
 _WINDOWS = f"WITH {SIZE}, g AS (SELECT unnest(range(CAST((n + 99) // 100 * 3 AS BIGINT))) AS i, n FROM n)"
 
 
@@ -301,17 +396,29 @@ def window_pending(spark, sf_dir):
     return spark.createDataFrame([(i, k + 1, progress) for k, i in enumerate(todo)], "index long, position long, progress double")
 
 
-@query("""SELECT a * 10 AS y0, b * 10 AS x0, (a * 10) % 8 = 0 AND ((a * 10 + 10) % 8 = 0 OR a = 3) AND (b * 10) % 6 = 0 AND ((b * 10 + 10) % 6 = 0 OR b = 2) AS aligned,
-(SELECT count(*) FROM range(5) cy(cy), range(5) cx(cx) WHERE cy * 8 < a * 10 + 10 AND cy * 8 + 8 > a * 10 AND cx * 6 < b * 10 + 10 AND cx * 6 + 6 > b * 10
- AND NOT (a * 10 <= cy * 8 AND a * 10 + 10 >= least(cy * 8 + 8, 40) AND b * 10 <= cx * 6 AND b * 10 + 10 >= least(cx * 6 + 6, 30))) AS partial_chunks
-FROM range(4) ra(a), range(3) rb(b)""")
+@query(f"""WITH {SIZE}, blocks AS (SELECT a * 100 AS y0, b * 24 AS x0, least(a * 100 + 100, n) AS y1, least(b * 24 + 24, 64) AS x1, n FROM n, range(CAST((n + 99) // 100 AS BIGINT)) r(a), range(3) c(b)),
+touched AS (SELECT y0, x0, y1, x1, n, unnest(range(y0 // 64, (y1 + 63) // 64)) AS cy FROM blocks),
+cells AS (SELECT *, unnest(range(x0 // 10, (x1 + 9) // 10)) AS cx FROM touched)
+SELECT y0, x0, bool_and(y0 % 64 = 0 AND (y1 % 64 = 0 OR y1 = n) AND x0 % 10 = 0 AND (x1 % 10 = 0 OR x1 = 64)) AS aligned,
+count(*) FILTER (NOT (y0 <= cy * 64 AND y1 >= least(cy * 64 + 64, n) AND x0 <= cx * 10 AND x1 >= least(cx * 10 + 10, 64))) AS partial_chunks FROM cells GROUP BY y0, x0""")
 def zarr_unaligned_chunks(spark, sf_dir):
-    shape, chunks, rows = (40, 30), (8, 6), []
-    for r in block_grid(spark, ArrayMeta.regular(shape, (10, 10))).collect():  # 12 blocks
-        origin, extent = (r["o_y"], r["o_x"]), (r["n_y"], r["n_x"])
-        aligned = all(zarr.is_aligned(o, o + e, c, n) for o, e, c, n in zip(origin, extent, chunks, shape))
-        rows.append((*origin, aligned, len(zarr.partial_chunks(origin, extent, chunks, shape))))
-    return spark.createDataFrame(rows, "y0 long, x0 long, aligned boolean, partial_chunks long")
+    """The blocks of E2 at 100 x 24 against storage chunks of 64 x 10."""
+    meta, chunks = ArrayMeta.regular(_e2(spark, sf_dir).meta.shape, (100, 24)), (64, 10)
+    shape = meta.shape
+
+    def asked(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for oy, ox, ny, nx in pdf.itertuples(index=False):
+                origin, extent = (oy, ox), (ny, nx)
+                aligned = all(zarr.is_aligned(o, o + e, c, n) for o, e, c, n in zip(origin, extent, chunks, shape))
+                rows.append((oy, ox, aligned, len(zarr.partial_chunks(origin, extent, chunks, shape))))
+            yield pd.DataFrame(rows, columns=["y0", "x0", "aligned", "partial_chunks"])
+
+    grid = block_grid(spark, meta).select("o_y", "o_x", "n_y", "n_x")
+    return grid.mapInPandas(asked, "y0 long, x0 long, aligned boolean, partial_chunks long")
 
 
 @query(f"WITH {I2} SELECT x, CAST(sum(value) AS BIGINT) AS total, count(*) AS n FROM i2 GROUP BY x")

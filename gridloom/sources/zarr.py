@@ -2,16 +2,16 @@
 
 Chunks are read one partition each, pruned before anything is opened when ranges
 are given.  Writing shuffles by *storage chunk*, so each chunk has one writer and no
-locks are needed; a chunk appears by rename.  Codecs: zstd, zlib and none.
+locks are needed; a chunk appears by rename.  Codecs: see codecs.py.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-import zlib
 from itertools import product
 from math import prod
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +20,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridloom.arrayframe import NUMPY, ArrayMeta, block_to_long, default_axes
+from gridloom.sources.codecs import COMPRESSORS, codec
 
 BLOCK_SCHEMA = "block array<int>, origin array<bigint>, extent array<int>, data binary"
 
 
+def normalise_path(path: str) -> str:
+    """Without quotes and outer spaces; a local path absolute, with ~ resolved."""
+    text = str(path).strip().strip("'\"").strip()
+    if not text or "\0" in text:
+        raise ValueError("the path of a store must not be empty")
+    return text.rstrip("/") if "://" in text else str(Path(text).expanduser().resolve())
+
+
 class Store:
     """Bytes by key below a path or URI."""
 
     def __init__(self, root: str):
         from pyarrow import fs
 
-        text = str(root).strip().strip("'\"")
-        if not text or "\0" in text:
-            raise ValueError("the path of a store must not be empty")
-        self.root = text.rstrip("/")
+        self.root = normalise_path(root)
         self.fs, self.path = fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
 
     def read(self, key: str) -> bytes | None:
@@ -66,6 +72,11 @@ class Store:
 
         return self.fs.get_file_info(self.path).type != fs.FileType.NotFound
 
+    def is_directory(self) -> bool:
+        from pyarrow import fs
+
+        return self.fs.get_file_info(self.path).type == fs.FileType.Directory
+
     def remove(self) -> None:
         from pyarrow import fs
 
@@ -101,30 +112,10 @@ def resolve_array(store: Store, array_path: str = "", multiscale: int = 0, level
     raise ValueError(f"cannot choose among arrays {arrays}")
 
 
-def _codec(header: dict):
-    comp = header.get("compressor")
-    if header.get("filters"):
-        raise ValueError("filters are not supported")
-    if comp is None:
-        return lambda b: b, lambda b: b
-    if comp["id"] == "zstd":
-        import zstandard
-
-        level = comp.get("level", 3)
-        return lambda b: zstandard.ZstdCompressor(level=level).compress(b), lambda b: zstandard.ZstdDecompressor().decompressobj().decompress(b)
-    if comp["id"] == "zlib":
-        return lambda b: zlib.compress(b, comp.get("level", 1)), zlib.decompress
-    raise ValueError(f"compressor {comp['id']!r} is not supported here: use zstd, zlib or none")
-
-
 def compressor(name: str) -> dict | None:
-    if name in ("default", "zstd"):
-        return {"id": "zstd", "level": 3}
-    if name == "zlib":
-        return {"id": "zlib", "level": 1}
-    if name == "none":
-        return None
-    raise ValueError(f"compressor {name!r} is not supported here: use default, zstd, zlib or none")
+    if name not in COMPRESSORS:
+        raise ValueError(f"unknown compressor {name!r}: use one of {sorted(COMPRESSORS)}")
+    return COMPRESSORS[name]
 
 
 class ZarrArray:
@@ -133,12 +124,14 @@ class ZarrArray:
         self.header = store.json(f"{prefix}.zarray")
         if self.header is None:
             raise ValueError(f"no array at {store.root}/{prefix}")
-        if self.header.get("zarr_format") != 2 or self.header.get("order", "C") != "C":
-            raise ValueError("only format 2 in C order is supported")
+        if self.header.get("zarr_format") != 2:
+            raise ValueError("only format 2 is supported")
+        if self.header.get("filters"):
+            raise ValueError("filters are not supported")
         self.shape, self.chunks = tuple(self.header["shape"]), tuple(self.header["chunks"])
         self.dtype = np.dtype(self.header["dtype"])
-        self.separator = self.header.get("dimension_separator", ".")
-        self.pack, self.unpack = _codec(self.header)
+        self.separator, self.order = self.header.get("dimension_separator", "."), self.header.get("order", "C")
+        self.pack, self.unpack = codec(self.header.get("compressor"), self.dtype.itemsize)
 
     def key(self, at) -> str:
         return self.prefix + self.separator.join(map(str, at))
@@ -149,10 +142,10 @@ class ZarrArray:
         if data is None:
             fill = self.header.get("fill_value")
             return np.full(self.chunks, {"NaN": np.nan, "Infinity": np.inf, "-Infinity": -np.inf, None: 0}.get(fill, fill) if not isinstance(fill, (int, float)) else fill, self.dtype)
-        return np.frombuffer(self.unpack(data), self.dtype).reshape(self.chunks).copy()
+        return np.frombuffer(self.unpack(data), self.dtype).reshape(self.chunks, order=self.order).copy()
 
     def write_chunk(self, at, block: np.ndarray) -> None:
-        self.store.write(self.key(at), self.pack(np.ascontiguousarray(block, self.dtype).tobytes()))
+        self.store.write(self.key(at), self.pack(np.asarray(block, self.dtype).tobytes(self.order)))
 
 
 def target_chunks(shape, native, axes, mode="by_axes", sizes=None, keep_first=False) -> tuple[int, ...]:
@@ -236,6 +229,8 @@ class ZarrBlocks(DataSource):
 def read_zarr(spark: SparkSession, path: str, array_path="", multiscale=0, level=0, axes="", chunk_mode="by_axes", sizes=None, keep_first=False, ranges=None):
     """(block form, meta) of a Zarr array; ``ranges`` prunes blocks before the scan."""
     store = Store(path)
+    if not store.is_directory():
+        raise NotADirectoryError(store.root)
     prefix = resolve_array(store, array_path, multiscale, level)
     array = ZarrArray(store, prefix)
     names = parse_axes(axes, len(array.shape))
@@ -267,15 +262,28 @@ def partial_chunks(origin, extent, chunks, shape) -> list[tuple[int, ...]]:
     return out
 
 
-def prepare_store(path: str, meta: ArrayMeta, kind="array", dataset="0", compressor_name="default", overwrite=True, resume=False, voxel_size=None) -> str:
+def voxel_sizes(text, ndim: int) -> list[float]:
+    """One positive size an axis; all 1.0 where none is given."""
+    given = [p for p in text.split(",") if p.strip()] if isinstance(text, str) else list(text or [])
+    sizes = [float(v) for v in given] or [1.0] * ndim
+    if len(sizes) != ndim:
+        raise ValueError(f"{len(sizes)} voxel sizes for {ndim} axes")
+    if not all(0 < v < float("inf") for v in sizes):
+        raise ValueError(f"voxel sizes {sizes} must be positive and finite")
+    return sizes
+
+
+def prepare_store(path: str, meta: ArrayMeta, kind="array", dataset="0", compressor_name="default", overwrite=True, resume=False, voxel_size=None, metadata=True) -> str:
     """Create the store once, on the driver; returns the array's key prefix.
 
     Storage chunks are the first chunk of each axis.  ``resume`` changes nothing
     and checks shape, chunks and dtype instead.
     """
-    if not path.endswith(".zarr"):
-        raise ValueError("an output path must end with .zarr")
+    if kind not in ("array", "ome_zarr"):
+        raise ValueError(f"unknown kind of store {kind!r}")
     store = Store(path)
+    if not store.root.endswith(".zarr"):
+        raise ValueError("an output path must end with .zarr")
     prefix = "" if kind == "array" else dataset.strip("/") + "/"
     chunks = [max(1, c[0]) for c in meta.chunks]
     dtype = NUMPY[meta.dtype].newbyteorder("<").str if NUMPY[meta.dtype].itemsize > 1 else NUMPY[meta.dtype].str
@@ -292,18 +300,17 @@ def prepare_store(path: str, meta: ArrayMeta, kind="array", dataset="0", compres
     header = {"zarr_format": 2, "shape": list(meta.shape), "chunks": chunks, "dtype": dtype, "compressor": compressor(compressor_name), "fill_value": False if meta.dtype == "bool" else 0, "order": "C", "filters": None, "dimension_separator": "."}
     dump = lambda x: json.dumps(x, sort_keys=True, allow_nan=False).encode()
     store.write(f"{prefix}.zarray", dump(header))
-    size = list(voxel_size or [1.0] * len(meta.shape))
-    if len(size) != len(meta.shape):
-        raise ValueError(f"{len(size)} voxel sizes for {len(meta.shape)} axes")
+    size = voxel_sizes(voxel_size, len(meta.shape))
     if kind == "ome_zarr":
         store.write(".zgroup", dump({"zarr_format": 2}))
+    if not metadata:
+        return prefix
+    if kind == "ome_zarr":
         scale = {"path": dataset.strip("/"), "coordinateTransformations": [{"type": "scale", "scale": size}]}
         axes = [{"name": a.lower()} for a in meta.axes]
         store.write(".zattrs", dump({"multiscales": [{"version": "0.4", "name": dataset.strip("/"), "datasets": [scale], "axes": axes}]}))
-    elif kind == "array":
-        store.write(".zattrs", dump({"axes": [a.lower() for a in meta.axes], "voxel_size": size}))
     else:
-        raise ValueError(f"unknown kind of store {kind!r}")
+        store.write(".zattrs", dump({"axes": [a.lower() for a in meta.axes], "voxel_size": size}))
     return prefix
 
 

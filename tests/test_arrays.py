@@ -2,13 +2,15 @@
 
 import json
 import random
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom import queries
+from gridloom import plan_queries, queries  # noqa: F401
 from gridloom.arrayframe import ArrayFrame, ArrayMeta, block_to_long, long_to_block
 from gridloom.functions import keys
 from gridloom.operators import align, blocks, cast, celltable, crop, rechunk, segment
@@ -32,6 +34,15 @@ def array_of(frame):
     return out
 
 
+@pytest.fixture(scope="module")
+def tables():
+    """The smallest of the given tables; the SQL runs on the same files."""
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.is_dir():
+        pytest.skip("no tables here")
+    return str(folder)
+
+
 @pytest.fixture(scope="module")
 def image():
     return np.random.default_rng(0).integers(-50, 200, (13, 17)).astype("int32")
@@ -201,18 +212,18 @@ def test_types():
     assert coerce("INT", "3.7") == 3 and coerce("BOOLEAN", "True") is True and coerce("INT", "x") == "x"
 
 
-def workflow(source, out):
+def saved_graph(source, out):
     return {
         "r": {"type": "OMEZarrReader", "inputs": {"file_path": source, "chunk_y": 5, "chunk_x": 6}},
         "c": {"type": "DaskTypeCast", "inputs": {"dask_arr": ["r", 0], "target_dtype": "float32"}},
-        "s": {"type": "Cellpose", "inputs": {"dask_arr": ["c", 0], "threshold": 20}},
-        "z": {"type": "ZarrWriter", "inputs": {"dask_arr": ["s", 0], "output_path": f"{out}/m.zarr"}},
+        "s": {"type": "Cellpose", "inputs": {"image": ["c", 0], "cellprob_threshold": 20}},
+        "z": {"type": "ZarrWriter", "inputs": {"array": ["s", 0], "output_path": f"{out}/m.zarr"}},
         "p": {"type": "WriteParquetCellTable", "inputs": {"mask": ["s", 0], "output_dir": f"{out}/cells"}},
     }
 
 
 def test_graph_checks():
-    g = workflow("/a.zarr", "/o")
+    g = saved_graph("/a.zarr", "/o")
     assert set(graph.roots(g)) == {"z", "p"} and graph.layers(g)["p"] == 3
     assert graph.check_types(g)["s"] == ("DASK_ARRAY[uint32]",)
     renamed = json.loads(json.dumps(g).replace('"s"', '"seg"'))
@@ -229,7 +240,7 @@ def test_window_run_fails_and_resumes(spark, tmp_path, image):
     source, out = str(tmp_path / "in.zarr"), tmp_path / "out"
     f = frame_of(spark, image, (5, 6))
     zarr.write_blocks(long_to_block(f), f.meta, source, zarr.prepare_store(source, f.meta)).collect()
-    g = workflow(source, str(out))
+    g = saved_graph(source, str(out))
     where = str(tmp_path / "run")
     config = recovery.ExecutionConfig.parse({"mode": "window", "windowShape": [2, 2], "recoveryLocation": {"mode": "custom", "directory": where}})
     seen = []
@@ -329,7 +340,7 @@ def test_whole_overlap_queries(spark, tmp_path):
         padded = np.pad(array, 1, mode)
         want = sum(padded[i : i + 300, j : j + 64] for i in range(3) for j in range(3))
         got = np.full(array.shape, 10**9)
-        pdf = queries.QUERIES[f"overlap_{name}_whole"](spark, str(tmp_path)).toPandas()
+        pdf = queries.QUERIES[f"overlap_{name}"](spark, str(tmp_path)).toPandas()
         got[pdf["y"], pdf["x"]] = pdf["value"]
         assert len(pdf) == array.size and (got == want).all()
 
@@ -342,17 +353,32 @@ def test_window_pending_reads_the_bitmap(spark, tmp_path, monkeypatch):
     assert queries.QUERIES["window_pending"](spark, str(tmp_path)).count() == 9
 
 
-def test_unaligned_chunks_ask_the_store(spark, monkeypatch):
+def test_unaligned_chunks_ask_the_store(spark, tmp_path):
+    embeddings_of(spark, tmp_path, 300)
+
     def touched(y0, x0):
-        cells = np.zeros((40, 30), bool)
-        cells[y0 : y0 + 10, x0 : x0 + 10] = True
-        parts = [cells[y : y + 8, x : x + 6] for y in range(0, 40, 8) for x in range(0, 30, 6)]
+        cells = np.zeros((300, 64), bool)
+        cells[y0 : y0 + 100, x0 : x0 + 24] = True
+        parts = [cells[y : y + 64, x : x + 10] for y in range(0, 300, 64) for x in range(0, 64, 10)]
         return sum(p.any() and not p.all() for p in parts)
 
-    run = lambda: {(r["y0"], r["x0"]): (r["aligned"], r["partial_chunks"]) for r in queries.QUERIES["zarr_unaligned_chunks"](spark, None).collect()}
-    assert run() == {(y, x): (touched(y, x) == 0, touched(y, x)) for y in range(0, 40, 10) for x in range(0, 30, 10)}
-    monkeypatch.setattr(zarr, "partial_chunks", lambda *a: [])
-    assert {n for _, n in run().values()} == {0}
+    got = {(r["y0"], r["x0"]): (r["aligned"], r["partial_chunks"]) for r in queries.QUERIES["zarr_unaligned_chunks"](spark, str(tmp_path)).collect()}
+    assert got == {(y, x): (touched(y, x) == 0, touched(y, x)) for y in range(0, 300, 100) for x in range(0, 64, 24)}
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) & set(queries.ORACLE_SQL)))
+def test_queries_and_their_sql(spark, tables, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("embeddings", "events", "lineitem", "nation", "supplier", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tables}/{t}.parquet')")
+    got, want = queries.QUERIES[name](spark, tables), con.execute(queries.ORACLE_SQL[name])
+    names = sorted(c[0] for c in want.description)
+    assert names == sorted(got.columns)
+    order = [c[0] for c in want.description]
+    rows = lambda some: Counter(tuple(repr(float(v)) if isinstance(v, float) else repr(v) for v in r) for r in some)
+    assert rows(tuple(r[c] for c in order) for r in got.collect()) == rows(want.fetchall())
 
 
 def sum3():
@@ -466,3 +492,185 @@ def test_untrimmed_halo_grows(spark):
     grown = blocks.map_overlap(frame_of(spark, a, (3, 4)), lambda block: block, 1, trim=False, allow_untrimmed=True)
     assert grown.meta.shape == (8, 10) and grown.meta.chunks == ((4, 4), (5, 5))
     assert (array_of(grown) == np.block([[a[0:4, 0:5], a[0:4, 3:8]], [a[2:6, 0:5], a[2:6, 3:8]]])).all()
+
+
+@pytest.mark.parametrize("name", ["default", "zstd", "zlib", "blosc", "lz4", "none"])
+@pytest.mark.parametrize("dtype", ["uint8", "uint16", "float32", "uint64"])
+def test_compressors_round_trip(tmp_path, name, dtype):
+    rng = np.random.default_rng(1)
+    meta = ArrayMeta.regular((90, 70), (64, 64), "YX", dtype)
+    prefix = zarr.prepare_store(str(tmp_path / "a.zarr"), meta, compressor_name=name)
+    made = zarr.ZarrArray(zarr.Store(str(tmp_path / "a.zarr")), prefix)
+    for block in (np.arange(4096).reshape(64, 64).astype(dtype), rng.integers(0, 255, (64, 64)).astype(dtype), np.zeros((64, 64), dtype)):
+        made.write_chunk((0, 0), block)
+        assert (made.read_chunk((0, 0)) == block).all()
+
+
+def blosc_frame(data, item, codec, pack, shuffle, block, split):
+    """A frame written by the format's description, streams split by bytes or not."""
+    import struct
+
+    flags = (0 if split else 0x10) | codec << 5 | shuffle
+    blocks = []
+    for a in range(0, len(data), block):
+        part = data[a : a + block]
+        n = len(part) // item
+        body = np.frombuffer(part[: n * item], np.uint8).reshape(n, item)
+        if shuffle == 1:
+            part = body.T.tobytes() + part[n * item :]
+        elif shuffle == 4 and n % 8 == 0:
+            bits = np.unpackbits(body, axis=1, bitorder="little").reshape(n, item * 8)
+            part = np.packbits(bits.T, axis=1, bitorder="little").tobytes() + part[n * item :]
+        parts = item if split and len(part) == block and block // item >= 128 and 1 < item <= 16 else 1
+        size = len(part) // parts
+        streams = [part[k * size : (k + 1) * size] for k in range(parts)]
+        packed = [p if len(p) < size else s for s, p in ((s, pack(s)) for s in streams)]
+        blocks.append(b"".join(struct.pack("<i", len(p)) + p for p in packed))
+    at, offsets = 16 + 4 * len(blocks), []
+    for b in blocks:
+        offsets.append(at)
+        at += len(b)
+    return struct.pack("<BBBBIII", 2, 1, flags, item, len(data), block, at) + struct.pack(f"<{len(offsets)}i", *offsets) + b"".join(blocks)
+
+
+@pytest.mark.parametrize("item", [1, 2, 4, 8])
+@pytest.mark.parametrize("shuffle", [0, 1, 4])
+def test_blosc_frames_of_others(item, shuffle):
+    import zlib as z
+
+    import pyarrow as pa
+    import zstandard
+
+    from gridloom.sources import codecs
+
+    data = (np.arange(5003, dtype=np.int64) // 7).astype(f"u{item}").tobytes()
+    packs = {1: lambda b: pa.Codec("lz4_raw").compress(b, asbytes=True), 2: lambda b: pa.Codec("snappy").compress(b, asbytes=True), 3: z.compress, 4: zstandard.ZstdCompressor().compress}
+    for codec, pack in packs.items():
+        for split in (True, False):
+            for block in (1024 * item, 64 * item):
+                assert codecs.blosc_decode(blosc_frame(data, item, codec, pack, shuffle, block, split)) == data
+    with pytest.raises(ValueError, match="not supported"):
+        codecs.blosc_decode(blosc_frame(data, item, 0, z.compress, 0, 1024 * item, False))
+
+
+def test_fortran_order_and_paths(spark, tmp_path, monkeypatch):
+    array = np.arange(24, dtype="<u2").reshape(4, 6)
+    root = tmp_path / "f.zarr"
+    root.mkdir()
+    (root / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": [4, 6], "chunks": [4, 6], "dtype": "<u2", "compressor": None, "fill_value": 0, "order": "F", "filters": None}))
+    (root / "0.0").write_bytes(array.tobytes("F"))
+    assert (array_of(zarr.read_zarr_long(spark, f'  "{root}" ')) == array).all()
+    monkeypatch.setenv("HOME", str(tmp_path))
+    assert zarr.normalise_path("~/x.zarr/") == f"{tmp_path}/x.zarr"
+    for bad in ("", " '' ", "a\0b"):
+        with pytest.raises(ValueError):
+            zarr.normalise_path(bad)
+    with pytest.raises(NotADirectoryError):
+        zarr.read_zarr(spark, str(root / "0.0"))
+    assert zarr.voxel_sizes("", 2) == [1.0, 1.0] and zarr.voxel_sizes("2, 0.5", 2) == [2.0, 0.5]
+    for text in ("1", "1,0", "1,inf"):
+        with pytest.raises(ValueError):
+            zarr.voxel_sizes(text, 2)
+
+
+def test_cell_table_keeps_what_it_may_not_replace(spark, tmp_path, image):
+    source, out = str(tmp_path / "in.zarr"), tmp_path / "out"
+    store_of(spark, source, image, (5, 6))
+    (out / "cells").mkdir(parents=True)
+    (out / "cells" / "mine").write_text("x")
+    g = saved_graph(source, str(out))
+    g["p"]["inputs"]["overwrite"] = False
+    with pytest.raises(FileExistsError):
+        graph.build(g)
+    assert (out / "cells" / "mine").exists()
+
+
+def test_hooks(spark, tmp_path, monkeypatch):
+    seen = []
+
+    class Made:
+        meta = None
+
+        def run(self, window):
+            seen.append("run")
+
+    class Probe(graph.Node):
+        RETURNS, OUTPUT = ("INT",), True
+
+        def preprocess(self, **_):
+            seen.append("pre")
+
+        def execute(self, **_):
+            return Made()
+
+        def postprocess(self, result, **_):
+            seen.append(("post", type(result) is Made))
+
+        def cleanup(self, **_):
+            seen.append("clean")
+
+    monkeypatch.setitem(graph.NODES, "Probe", Probe)
+    recovery.run_graph({"a": {"type": "Probe"}}, recovery.ExecutionConfig())
+    assert seen == ["pre", "run", ("post", True)]
+    seen.clear()
+    with pytest.raises(RuntimeError, match="lost"):
+        recovery.run_graph({"a": {"type": "Probe"}}, recovery.ExecutionConfig(), lambda result, window: (_ for _ in ()).throw(RuntimeError("lost")))
+    assert seen == ["pre", "clean"]
+
+
+def test_recorded_outputs_must_match():
+    recorded = [{"nodeId": "z", "nodeType": "ZarrWriter", "path": "/o/m.zarr"}]
+    recovery.check_outputs(recorded, [dict(recorded[0])])
+    for change in ({"path": "/o/other.zarr"}, {"nodeType": "WriteParquetCellTable"}, {"nodeId": "y"}):
+        with pytest.raises(ValueError):
+            recovery.check_outputs(recorded, [recorded[0] | change])
+    g = saved_graph("/a.zarr", "/o")
+    assert [o["nodeId"] for o in recovery.outputs_of(g, ["z", "p"])] == ["z", "p"]
+    g["p"]["inputs"]["output_dir"] = "/o/m.zarr/cells"
+    with pytest.raises(ValueError, match="overlap"):
+        recovery.outputs_of(g, ["z", "p"])
+
+
+def test_ownership_of_a_reused_process_number(tmp_path):
+    import os
+    import socket
+
+    lock = tmp_path / recovery.LOCK
+    lock.write_text(json.dumps({"pid": os.getpid(), "started": "1", "host": socket.gethostname()}))
+    with recovery.Ownership(tmp_path):
+        assert json.loads(lock.read_text())["started"] != "1"
+        with pytest.raises(RuntimeError):
+            recovery.Ownership(tmp_path).__enter__()
+    assert not lock.exists()
+
+
+def test_output_specs(spark, image):
+    f = frame_of(spark, image, (5, 17))
+    sums = blocks.map_blocks(f, lambda block: block.sum(axis=1), dtype="int32", output=blocks.OutputSpec(drop_axis="X"))
+    assert sums.meta.shape == (13,) and (array_of(sums) == image.sum(axis=1)).all()
+    tokens = blocks.map_blocks(frame_of(spark, image, (5, 6)), lambda block: np.array([[block.max()]]), output=blocks.OutputSpec(chunks="token"))
+    assert tokens.meta.shape == (3, 3) and array_of(tokens)[2, 2] == image[10:, 12:].max()
+    pairs = blocks.map_blocks(f, lambda block: np.stack([block, -block]), output=blocks.OutputSpec(new_axis=("C", 0, 2)))
+    assert pairs.meta.axes == ("C", "Y", "X") and (array_of(pairs) == np.stack([image, -image])).all()
+    with pytest.raises(ValueError):
+        blocks.map_blocks(frame_of(spark, image, (5, 6)), lambda block: block, output=blocks.OutputSpec(drop_axis="X"))
+    planned = blocks.map_blocks({"a": frame_of(spark, image, (5, 6)), "b": f}, lambda a, b: a + b, input_chunks={"a": "13,-1", "b": "13,-1"})
+    assert planned.meta.numblocks == (1, 1) and (array_of(planned) == 2 * image).all()
+
+
+def test_context_and_worker_cache(spark, image, tmp_path):
+    f, folder = frame_of(spark, image, (13, 17)), str(tmp_path)
+    (tmp_path / "m.pt").write_text("")
+
+    def seen(block, ctx):
+        made = [ctx.cached("n", 1, lambda: object()) for _ in range(3)]
+        model = ctx.model(folder, "m", lambda path: path)
+        assert made[0] is made[2] and ctx.inputs["block"]["dtype"] == "int32" and ctx.inputs["block"]["extent"] == (13, 17)
+        assert ctx.device in ("cpu", "gpu") and model.endswith("m.pt")
+        return block
+
+    assert (array_of(blocks.map_blocks(f, seen)) == image).all()
+    gone = []
+    blocks.BlockContext.cached("n", 2, lambda: "x", dispose=gone.append)
+    blocks.clear_cache("n")
+    assert gone == ["x"] and not [k for k in blocks._CACHE if k[0] == "n"]

@@ -1,4 +1,4 @@
-"""The control service, saved workflows and settings."""
+"""The control service, saved graphs and settings."""
 
 import base64
 import http.client
@@ -11,11 +11,11 @@ import threading
 
 import numpy as np
 import pytest
-from test_arrays import frame_of, workflow
+from test_arrays import frame_of, saved_graph
 
 from gridloom import service as services
 from gridloom.arrayframe import long_to_block
-from gridloom.plans import recovery, workflow as documents
+from gridloom.plans import recovery, saved as documents
 from gridloom.sources import zarr
 
 
@@ -60,7 +60,7 @@ def test_http(server, store, tmp_path):
     status, info = ask("GET", "/object_info")
     assert status == 200 and len(info) >= 7
     assert ask("GET", "/plugin_status")[0] == 200 and "dashboard_url" in ask("GET", "/dashboard_url")[1]
-    status, plan = ask("POST", "/execution/preflight", {"graph": workflow(store, str(tmp_path / "out")), "windowShape": [2, 2]})
+    status, plan = ask("POST", "/execution/preflight", {"graph": saved_graph(store, str(tmp_path / "out")), "windowShape": [2, 2]})
     assert status == 200 and plan["windowable"] and plan["totalWindows"] == 4
     assert not (tmp_path / "out").exists()
     assert ask("POST", "/execution/preflight", {})[0] == 400
@@ -77,7 +77,7 @@ def test_execute_open_delete(service, store, tmp_path):
     inbox, own = queue.Queue(), {}
     where = str(tmp_path / "run")
     config = {"mode": "window", "windowShape": [2, 2], "recoveryLocation": {"mode": "custom", "directory": where}}
-    g = workflow(store, str(tmp_path / "out"))
+    g = saved_graph(store, str(tmp_path / "out"))
     service.command({"command": "execute_graph", "executionId": "e", "graph": g, "executionConfig": config}, inbox.put, own)
     assert until(inbox, "execution_started")["executionId"] == "e" == own["id"]
     end = until(inbox, "execution_finished")
@@ -167,18 +167,18 @@ def test_visible_inputs():
     assert documents.visible_inputs("DaskRechunk", {}) == seen("explicit")
 
 
-def test_workflow_documents():
+def test_saved_documents():
     drawn = {
         "nodes": [{"id": "r", "data": {"opType": "OMEZarrReader", "values": {"file_path": "/a.zarr"}, "runState": "done"}}, {"id": "c", "data": {"opType": "DaskROI", "values": {"start_x": 2}}}],
         "edges": [{"id": "e", "source": "r", "target": "c", "sourceHandle": "0", "targetHandle": "dask_arr"}],
     }
-    flat = documents.parse_workflow(drawn | {"name": "old"})
-    assert flat.migrated and flat.workflow_id and flat.name == "old"
+    flat = documents.parse_saved(drawn | {"name": "old"})
+    assert flat.migrated and flat.document_id and flat.name == "old"
     assert flat.graph() == {"r": {"type": "OMEZarrReader", "inputs": {"file_path": "/a.zarr"}}, "c": {"type": "DaskROI", "inputs": {"start_x": 2, "dask_arr": ["r", 0]}}}
-    again = documents.parse_workflow(json.loads(json.dumps(flat.document())))
+    again = documents.parse_saved(json.loads(json.dumps(flat.document())))
     assert not again.migrated and again.graph() == flat.graph() and "runState" not in json.dumps(again.document())
-    assert documents.parse_workflow({"graph": drawn}).graph() == flat.graph()
-    assert documents.parse_workflow({"nodes": 1}) is None and documents.parse_workflow([]) is None
+    assert documents.parse_saved({"graph": drawn}).graph() == flat.graph()
+    assert documents.parse_saved({"nodes": 1}) is None and documents.parse_saved([]) is None
 
 
 def test_settings():

@@ -35,12 +35,12 @@ verified by their exact sets.
 A key can be crowded, so its holders are not all compared.  The rows of all keys are
 dealt by ranges of (key, bits) and streamed in that order, so a hot key is many tasks.
 In a key of up to ``NEAREST`` + 1 holders each meets each.  In a fuller one a holder
-meets, of the ``SIGHT`` around it, the ``NEAREST`` by bits.  Rounds over the holders of
-full keys follow: the bits are rotated, so that the order is another one, candidates
-that were tried are passed over by their rank, each holder meets the one of its key
-with most links as well, and only links between different components are sought.
-They end when a round finds none.  Work and rows are in proportion to the holders in
-each round.
+meets, of the ``SIGHT`` around it, the nearest by bits; as a node holds 41 keys, it meets
+a few in all.  Rounds over the holders of full keys follow: the bits are rotated, so
+that the order is another one, the nearest that were tried are passed over by their
+rank, each holder meets the one of its key with most links as well, and only links
+between different components are sought.  They end when two rounds on end find none.
+Work and rows are in proportion to the holders in each round.
 
 Components: alternating large-star and small-star steps on the links, each round
 checkpointed; no link ever reaches the driver.
@@ -227,7 +227,8 @@ BINS = 128
 TRIPLES = 36
 #: Bits of 128 in which candidates may differ.
 BITS_APART = 28
-#: Partners of a holder in a full key, and holders around it among which they are sought.
+#: Holders before one that it meets in a key of at most one more; in a fuller key it meets
+#: the nearest by bits of those in sight, another one each round.
 NEAREST, SIGHT = 3, 512
 
 
@@ -355,7 +356,7 @@ def candidates(keyed: DataFrame, turn: int = 0) -> DataFrame:
                 before = np.arange(max(start, a - SIGHT + 256), rows[-1] + 1)
                 far = _apart(hi_lo, rows[:, None], before[None, :]).astype(np.int64)
                 far[(before[None, :] == rows[:, None]) | (root[before][None, :] == root[rows][:, None]) | (far > BITS_APART)] = 999
-                nearest = np.argsort(far, axis=1, kind="stable")[:, NEAREST * turn : NEAREST * (turn + 1)]
+                nearest = np.argsort(far, axis=1, kind="stable")[:, turn : turn + 1]
                 real = np.take_along_axis(far, nearest, 1) < 999
                 found.append((np.broadcast_to(node[rows][:, None], nearest.shape)[real], node[before[nearest]][real]))
         fresh = np.arange(n) >= old
@@ -396,47 +397,51 @@ def hub_pairs(keyed: DataFrame) -> DataFrame:
 
 def exactly_near(pairs: DataFrame, sets: DataFrame, shelf: Shelf) -> DataFrame:
     """The pairs (a, b) whose sets, of sets(node, shingles), have a Jaccard similarity of
-    0.8 or more.  Only the sets of nodes in a pair move."""
-    used = shelf.store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    moved = shelf.store(sets.join(maybe_broadcast(used), "node", "left_semi"))
+    0.8 or more.  Only the sets of nodes in a pair move; rows of one node are equal."""
+    used = shelf.store(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    moved = shelf.store(sets.select("node", "shingles").join(maybe_broadcast(used), "node", "left_semi").dropDuplicates(["node"]))
     side = lambda x: moved.select(F.col("node").alias(x), F.col("shingles").alias(f"h{x}"))
     common = F.size(F.array_intersect("ha", "hb"))
     # common / (both - common) >= 4 / 5
     return pairs.join(side("a"), "a").join(side("b"), "b").where(9 * common >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
-def near_roots(prints: DataFrame, check=None) -> DataFrame:
-    """(node, root) of linked nodes, of prints(node, segments, sketch, shingles), one row a
-    node; ``check`` (pairs, prints, shelf) keeps the pairs that are similar."""
+def near_roots(prints: DataFrame, sets: DataFrame, check=None) -> DataFrame:
+    """(node, root) of linked nodes, of prints(node, segments, sketch), one row a node;
+    ``check`` (pairs, sets, shelf) keeps the pairs that are similar."""
     spark, check, shelf = prints.sparkSession, check or exactly_near, Shelf(prints.sparkSession)
-    roots, turn = None, 0
+    roots, turn, idle = None, 0, 0
     some = prints.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("degree"), "segments", "sketch")
     while True:
         keyed = with_keys(some, turn)
         tried = candidates(keyed, turn)
         tried = shelf.store(tried.union(hub_pairs(keyed)).distinct() if turn else tried)
-        links = shelf.store(check(tried.where(F.col("b").isNotNull()), prints, shelf))
-        if links.isEmpty():
-            break
-        met = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        if roots is None:
-            roots, degrees = components(links), cut(met)
+        links = shelf.store(check(tried.where(F.col("b").isNotNull()), sets, shelf))
+        if turn == 0:
             crowded = cut(tried.where(F.col("b").isNull()).select(F.col("a").alias("node")))
-        else:  # the links join whole components: contract them, then rename their roots
-            named = links.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-            merged = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-            fresh = met.select("node").join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
-            known = roots.union(fresh).union(roots.select("root", "root")).distinct().toDF("node", "old")
-            renamed = known.join(merged.toDF("old", "new"), "old", "left").select("node", F.coalesce("new", "old").alias("root"))
-            roots = cut(renamed.where(F.col("node") != F.col("root")).distinct())
-            degrees = cut(degrees.union(met).groupBy("node").agg(F.sum("degree").alias("degree")))
+        idle = idle + 1 if links.isEmpty() else 0
+        if not idle:
+            met = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+            if roots is None:
+                roots, degrees = components(links), cut(met)
+            else:  # the links join whole components: contract them, then rename their roots
+                named = links.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+                merged = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+                fresh = met.select("node").join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+                known = roots.union(fresh).union(roots.select("root", "root")).distinct().toDF("node", "old")
+                renamed = known.join(merged.toDF("old", "new"), "old", "left").select("node", F.coalesce("new", "old").alias("root"))
+                roots = cut(renamed.where(F.col("node") != F.col("root")).distinct())
+                degrees = cut(degrees.union(met).groupBy("node").agg(F.sum("degree").alias("degree")))
         turn += 1
         shelf.clear()
-        if crowded.isEmpty():
+        if idle == 2 or crowded.isEmpty():
             break
         few = prints.select("node", "segments", "sketch").join(maybe_broadcast(crowded), "node", "left_semi")
-        known = few.join(roots, "node", "left").join(degrees, "node", "left")
-        some = known.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"), "segments", "sketch")
+        if roots is None:
+            some = few.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("degree"), "segments", "sketch")
+        else:
+            known = few.join(roots, "node", "left").join(degrees, "node", "left")
+            some = known.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"), "segments", "sketch")
     shelf.clear()
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
@@ -447,8 +452,8 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     shelf = Shelf(docs.sparkSession)
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
     marked = shelf.store(with_wide_fingerprint(hashed, ["doc_id", "__hash"], width))
-    one = shelf.store(marked.select("node", "segments", "sketch", "shingles").dropDuplicates(["node"]))
-    grouped = group_documents(marked.select("doc_id", "__hash", "node"), near_roots(one))
+    one = shelf.store(marked.select("node", "segments", "sketch").dropDuplicates(["node"]))
+    grouped = group_documents(marked.select("doc_id", "__hash", "node"), near_roots(one, marked))
     first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # repeated ids can be the least of more than one component: one row a root
     chosen = first.groupBy("root").agg(F.first("component_id").alias("__id"), F.min("__hash").alias("__keep"))

@@ -70,7 +70,7 @@ def counter(path: str):
         held = 0
         for part in parts:
             call.append(part)
-            held += len(part) + 16
+            held += len(part.encode()) + 16
             if held >= CALL_BYTES:
                 out.update(zip(call, map(len, encode(call, add_special_tokens=False))))
                 call, held = [], 0

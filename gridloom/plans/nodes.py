@@ -117,11 +117,19 @@ class RechunkNode(_SameType):
         return rechunk.rechunk(dask_arr, mode, chunks, axis_chunks, reference_arr)
 
 
+def axes_of(ndim: int, declared: str = "", given: dict | None = None, name: str = "array", inputs: int = 1) -> tuple[str, ...]:
+    """Axes of an input: by the number of dimensions, over that the node's declaration,
+    over that ``axes`` (of a node with one input only), over that ``<name>_axes``."""
+    given = given or {}
+    text = given.get(f"{name}_axes") or (given.get("axes") if inputs == 1 else "") or ",".join(declared)
+    return zarr.parse_axes(text, ndim)
+
+
 def _named(frame: ArrayFrame, axes: str) -> ArrayFrame:
     """The frame with other axis names, if any are given."""
     if not axes:
         return frame
-    names = zarr.parse_axes(axes, len(frame.meta.shape))
+    names = axes_of(len(frame.meta.shape), given={"axes": axes})
     return frame.mapped(lambda df: df.toDF(*[c.lower() for c in names], "value"), axes=names)
 
 

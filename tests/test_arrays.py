@@ -674,3 +674,26 @@ def test_context_and_worker_cache(spark, image, tmp_path):
     blocks.BlockContext.cached("n", 2, lambda: "x", dispose=gone.append)
     blocks.clear_cache("n")
     assert gone == ["x"] and not [k for k in blocks._CACHE if k[0] == "n"]
+
+
+def test_slots_and_memory(spark):
+    assert resources.slot_totals([{"slots": {"cpu": 4, "gpu": 1}}, {"threads": 3}, {"slots": {"gpu": 2}}]) == {"cpu": 7, "gpu": 3}
+    assert resources.session_slots(spark) == {"cpu": spark.sparkContext.defaultParallelism}
+    found = resources.executors(spark)
+    assert found and all(w["total"] >= w["used"] >= 0 for w in found)
+    states = iter([[{"worker": "a", "used": 5}, {"worker": "b", "used": 1}], [{"worker": "a", "used": 9}, {"worker": "c", "used": 2}]])
+    log = resources.MemoryLog(lambda: next(states))
+    log.snapshot("before"), log.snapshot("after")
+    assert log.delta("before", "after") == {"a": 4, "b": -1, "c": 2}
+    with pytest.raises(KeyError):
+        log.delta("before", "never")
+
+
+def test_axes_precedence():
+    assert nodes.axes_of(3) == tuple("ZYX")
+    assert nodes.axes_of(3, declared="TYX") == tuple("TYX")
+    assert nodes.axes_of(3, declared="TYX", given={"axes": "c,y,x"}) == tuple("CYX")
+    assert nodes.axes_of(3, declared="TYX", given={"axes": "c,y,x", "mask_axes": "q,y,x"}, name="mask") == tuple("QYX")
+    assert nodes.axes_of(3, given={"axes": "c,y,x"}, inputs=2) == tuple("ZYX")
+    with pytest.raises(ValueError):
+        nodes.axes_of(3, given={"axes": "y,x"})

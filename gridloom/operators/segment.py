@@ -25,7 +25,9 @@ def label_components(mask: np.ndarray) -> np.ndarray:
             a, b = spread[tuple(lo)], spread[tuple(hi)]
             both = (a > 0) & (b > 0)
             least = np.minimum(a, b)
-            a[both], b[both] = least[both], least[both]
+            # a position is in both views: neither write may raise what the other lowered
+            np.minimum(a, least, out=a, where=both)
+            np.minimum(b, least, out=b, where=both)
         if (spread == labels).all():
             break
         labels = spread

@@ -277,8 +277,8 @@ def overlap_membership(spark, sf_dir):
     return rows.groupBy("b_y", "b_x").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CELLS = f"""WITH {E2}, {SIZE}, k AS (SELECT n, (n + 127) // 128 AS ny, 24 - length(bin((n + 127) // 128 * 4 - 1)) AS bits FROM n),
-m AS (SELECT y, x, y // 128 AS blky, x // 16 AS bx, 1 + (y // 16) * 8 + x // 8 AS label FROM e2 WHERE CAST(v AS DOUBLE) > 0.1),
+_TABLE = f"""WITH RECURSIVE {E2}, {SIZE}, k AS (SELECT n, (n + 127) // 128 AS ny, 24 - length(bin((n + 127) // 128 * 4 - 1)) AS bits FROM n),
+{{mask}}
 c AS (SELECT blky, bx, label, count(*) AS area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1, sum(y - blky * 128) AS sy, sum(x - bx * 16) AS sx FROM m GROUP BY ALL),
 d AS (SELECT *, blky * 4 + bx AS blk, row_number() OVER (PARTITION BY blky, bx ORDER BY label) AS ord, blky * 128 + CAST(sy AS DOUBLE) / area AS cy, bx * 16 + CAST(sx AS DOUBLE) / area AS cx FROM c),
 t AS (SELECT *, CAST(floor(cy) AS BIGINT) // 64 AS ty, CAST(floor(cx) AS BIGINT) // 16 AS tx FROM d),
@@ -288,6 +288,15 @@ cells AS (SELECT CAST((skey << 24) | ((blk << bits) | ord) AS BIGINT) AS global_
  ord AS local_ordinal, CAST(label AS BIGINT) AS label, CAST(0 AS FLOAT) AS centroid_z, CAST(cy AS FLOAT) AS centroid_y, CAST(cx AS FLOAT) AS centroid_x,
  CAST(0 AS BIGINT) AS bbox_z_min, CAST(0 AS BIGINT) AS bbox_z_max, CAST(y0 AS BIGINT) AS bbox_y_min, CAST(y1 AS BIGINT) AS bbox_y_max, CAST(x0 AS BIGINT) AS bbox_x_min, CAST(x1 AS BIGINT) AS bbox_x_max, area AS area_or_volume,
  y0 = blky * 128 OR y1 = least(blky * 128 + 127, n - 1) OR x0 = bx * 16 OR x1 = bx * 16 + 15 AS touches_block_boundary FROM s)"""
+_MASK = "m AS (SELECT y, x, y // 128 AS blky, x // 16 AS bx, 1 + (y // 16) * 8 + x // 8 AS label FROM e2 WHERE CAST(v AS DOUBLE) > 0.1),"
+# labels of face-connected cells of a block, numbered by their first cell
+_COMPONENTS = """f AS (SELECT y, x, y // 128 AS blky, x // 16 AS bx, y * 64 + x AS id FROM e2 WHERE CAST(v AS DOUBLE) > 0.1),
+l AS (SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON b.id = a.id + 1 AND b.y = a.y AND b.bx = a.bx UNION ALL SELECT a.id, b.id FROM f a JOIN f b ON b.id = a.id + 64 AND b.blky = a.blky),
+w AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(id, root) AS (SELECT id, id FROM f UNION SELECT w.b, reach.root FROM reach JOIN w ON w.a = reach.id WHERE w.b > reach.root),
+r AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+m AS (SELECT y, x, blky, bx, dense_rank() OVER (PARTITION BY blky, bx ORDER BY root) AS label FROM f JOIN r USING (id)),"""
+_CELLS = _TABLE.format(mask=_MASK)
 
 _TILE = (16, 64, 16)
 
@@ -483,7 +492,7 @@ def segment_threshold_count(spark, sf_dir):
     return keyed.groupBy("flat").agg(F.count_if(F.col("value") > 0).alias("foreground"))
 
 
-@query()
+@query(f"{_TABLE.format(mask=_COMPONENTS)} SELECT * FROM cells")
 def segment_components(spark, sf_dir):
     mask = segment.segment(_e2(spark, sf_dir), threshold=0.1)
     return cell_table(mask, _TILE).select(*COLUMNS)

@@ -194,6 +194,25 @@ def test_segmentation_is_local(spark):
     assert segment.label_components(np.array([[1, 0, 1], [1, 0, 0], [0, 1, 1]], bool)).tolist() == [[1, 0, 2], [1, 0, 0], [0, 3, 3]]
 
 
+def test_components_that_wind():
+    rng = np.random.default_rng(4)
+    for shape in ((9, 11), (4, 5, 6)):
+        for _ in range(20):
+            mask = rng.random(shape) < 0.55
+            want, n = np.zeros(shape, int), 0
+            for start in map(tuple, np.argwhere(mask)):
+                if want[start]:
+                    continue
+                n += 1
+                todo = [start]
+                while todo:
+                    at = todo.pop()
+                    if all(0 <= i < s for i, s in zip(at, shape)) and mask[at] and not want[at]:
+                        want[at] = n
+                        todo += [(*at[:k], at[k] + d, *at[k + 1 :]) for k in range(len(shape)) for d in (-1, 1)]
+            assert (segment.label_components(mask) == want).all()
+
+
 def test_windows():
     assert windows.WindowGrid((391, 391, 391), (4, 4, 4)).total == 941192
     grid = windows.WindowGrid((10, 8, 6), (4, 4, 4))

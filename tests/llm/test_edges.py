@@ -52,56 +52,45 @@ def test_no_rows(spark, name):
     assert got.collect() == []
 
 
+#: Names that operators use for their own columns.
+OUTPUTS = ["n_words", "n_lines", "n_removed", "n_tokens", "kept", "base_failed", "shard", "slot", "simhash", "node", "root", "key", "score", "size", "copies", "target", "Lang_Pred", "p", "n", "h", "a", "b", "site", "lo", "component_id", "text_hash", "piece_ids"]
+LONG = "\n".join(f"line {i} of a long text with number {i * i}" for i in range(30_000))
+ROWS = [(None,) * 5] * 3 + [(1, "", None, "s", 0), (2, " \n\t", "en", "s", 3), (3, None, "en", None, None)]
+ROWS += [(4, WORDS, "en", "s", 9)] * 6 + [(5, WORDS, "fr", "t", 9), (None, WORDS, None, "t", 9)]
+ROWS += [(6, LONG, "en", "s", 9), (7, LONG + " end", "en", "t", 9), (8, "x" * 300_000, "fr", "t", 9)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty texts, ties, repeated rows, very long texts and
+    further columns with clashing names."""
+    assert len(LONG) > 1_000_000
+    schema = SCHEMA + "".join(f", `{c}` int" for c in OUTPUTS)
+    return spark.createDataFrame([(*r, *[-7] * len(OUTPUTS)) for r in ROWS], schema).repartition(3).cache()
+
+
 @pytest.mark.parametrize("name", list(ROW_BY_ROW))
-def test_nulls_ties_and_repeated_rows(spark, name):
-    rows = [(None,) * 5] * 3 + [(1, "", None, "s", 0), (2, " \n\t", "en", "s", 3), (3, None, "en", None, None)]
-    rows += [(4, WORDS, "en", "s", 9)] * 6 + [(5, WORDS, "fr", "t", 9), (None, WORDS, None, "t", 9)]
-    table = spark.createDataFrame(rows, SCHEMA)
-    got = ROW_BY_ROW[name](table).collect()
-    assert len(got) == len(rows)
-    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+def test_a_row_for_each_row(odd, name):
+    got = ROW_BY_ROW[name](odd).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in ROWS)
     if name not in ("sharding", "mixing"):  # these place rows one by one
         assert len({str(r) for r in got if r["doc_id"] == 4}) == 1
 
 
 @pytest.mark.parametrize("name", list(STAGES))
-def test_stages_with_nulls_and_repeated_rows(spark, name):
-    rows = [(None,) * 5] * 3 + [(1, "", None, "s", 0), (3, None, "en", None, None)]
-    rows += [(4, WORDS, "en", "s", 9)] * 6 + [(None, WORDS, None, "t", 9)]
-    got = STAGES[name](spark.createDataFrame(rows, SCHEMA)).collect()
-    if name == "keep_one":  # one of the texts without words, one of the others
-        assert sorted((r["text"] or "").strip() for r in got) == ["", WORDS]
+def test_stages_keep_columns(odd, name):
+    out = STAGES[name](odd)
+    got = out.collect()
+    assert out.columns == odd.columns
+    assert all(r[c] == -7 for r in got for c in OUTPUTS)
+    texts = Counter(r["text"] for r in got)
+    if name == "keep_one":  # one of the texts without words, one of each other
+        assert sorted((t or "").strip() for t in texts) == sorted(["", WORDS, LONG, "x" * 300_000]) and set(texts.values()) == {1}
+        assert {r["doc_id"] for r in got if r["text"] and r["text"].strip()} == {4, 6, 8}
     if name == "clean_documents":
-        assert Counter(map(str, got)) == Counter(map(str, spark.createDataFrame(rows, SCHEMA).collect()))
+        assert texts == Counter(r[1] for r in ROWS)
     if name == "filter_documents":
-        assert [r["text"] for r in got] == [WORDS] * 7
+        assert texts == Counter({WORDS: 8, LONG: 1, LONG + " end": 1})
     if name == "apply_mix":
-        assert all(n <= 3 * rows.count(r) for r, n in Counter(map(tuple, got)).items())
-
-
-@pytest.mark.parametrize("name", [*ROW_BY_ROW, *STAGES])
-def test_a_very_long_text(spark, name):
-    long = "\n".join(f"line {i} of a long text with number {i * i}" for i in range(30_000))
-    assert len(long) > 1_000_000
-    rows = [(1, long, "en", "s", 9), (2, long + " end", "en", "t", 9), (3, "x" * 300_000, "fr", "t", 9), (4, WORDS, "en", "s", 9)]
-    got = (ROW_BY_ROW | STAGES)[name](spark.createDataFrame(rows, SCHEMA)).collect()
-    if name in ROW_BY_ROW:
-        assert sorted(r["doc_id"] for r in got) == [1, 2, 3, 4]
-    if name == "keep_one":
-        assert sorted(r["doc_id"] for r in got) == [1, 3, 4]
-
-
-OUTPUTS = ["n_words", "n_lines", "n_removed", "n_tokens", "kept", "base_failed", "shard", "slot", "simhash", "node", "root", "key", "score", "size", "copies", "target", "Lang_Pred", "p", "n", "h", "a", "b", "site", "lo", "component_id", "text_hash", "piece_ids"]
-
-
-@pytest.mark.parametrize("name", [*ROW_BY_ROW, *STAGES])
-def test_clashing_names(spark, name):
-    rows = [(i, WORDS + f" {i // 2}", "en", f"s{i % 3}", 9, *[-7] * len(OUTPUTS)) for i in range(12)]
-    table = spark.createDataFrame(rows, SCHEMA + "".join(f", `{c}` int" for c in OUTPUTS))
-    got = (ROW_BY_ROW | STAGES)[name](table)
-    found = got.collect()
-    if name in ROW_BY_ROW:
-        assert len(found) == 12
-    else:
-        assert got.columns == table.columns and found
-        assert all(r[c] == -7 for r in found for c in OUTPUTS)
+        own = Counter(ROWS)
+        assert all(n <= 3 * own[r] for r, n in Counter(tuple(r)[:5] for r in got).items())

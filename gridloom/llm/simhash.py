@@ -36,10 +36,11 @@ A key can be crowded, so its holders are not all compared.  The rows of all keys
 dealt by ranges of (key, bits) and streamed in that order, so a hot key is many tasks.
 In a key of up to ``NEAREST`` + 1 holders each meets each.  In a fuller one a holder
 meets, of the ``SIGHT`` around it, the nearest by bits; as a node holds 41 keys, it meets
-a few in all.  Rounds over the holders of full keys follow: the bits are rotated, so
-that the order is another one, the nearest that were tried are passed over by their
-rank, each holder meets the one of its key with most links as well, and only links
-between different components are sought.  They end when two rounds on end find none.
+a few in all.  Rounds over the holders of full keys follow, a third of the keys each:
+the bits are rotated, so that the order is another one, the nearest that were tried are
+passed over by their rank, each holder meets the one of its key with most links as
+well, and only links between different components are sought.  They end when two rounds
+on end find none.
 Work and rows are in proportion to the holders in each round.
 
 Components: alternating large-star and small-star steps on the links, each round
@@ -308,7 +309,7 @@ def candidate_keys(sketches: np.ndarray, segments: np.ndarray) -> tuple[np.ndarr
 
 def with_keys(prints: DataFrame, turn: int = 0) -> DataFrame:
     """key, turned, hi, lo, node, root, degree of prints(node, root, degree, segments, sketch),
-    a row for each key; turned: the word of the bits to sort by, rotated anew each turn."""
+    a row for each key of this turn; turned: the word of the bits to sort by, rotated anew each turn."""
 
     def run(batches):
         for batch in batches:
@@ -317,6 +318,8 @@ def with_keys(prints: DataFrame, turn: int = 0) -> DataFrame:
             node, root, degree, segments, sketches = (batch.column(i) for i in range(5))
             flat = lambda x, n: np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False), np.int32).reshape(-1, n)
             keys, bits = candidate_keys(flat(sketches, BINS), flat(segments, SEGMENTS))
+            if turn:  # a third of the keys by turns
+                keys = np.ascontiguousarray(keys[:, (turn - 1) % 3 :: 3])
             word, by = bits[:, turn % 2].view(np.uint64), np.uint64(11 * (turn // 2) % 63 + 1)
             turned = ((word << by) | (word >> (np.uint64(64) - by))).view(np.int64)
             spread = [np.repeat(x, keys.shape[1]) for x in (turned, bits[:, 0], bits[:, 1], *map(np.asarray, (node, root, degree)))]
@@ -334,7 +337,9 @@ def _apart(x: np.ndarray, i, j) -> np.ndarray:
 
 
 def candidates(keyed: DataFrame, turn: int = 0) -> DataFrame:
-    """(a, b) rows of pairs to verify, and (a, null) rows of nodes that hold a full key."""
+    """(a, b) rows of pairs to verify, and in the first turn (a, null) rows of nodes that
+    hold a full key."""
+    rank = 1 + (turn - 1) // 3 if turn else 0  # how often a key was met before
 
     def pairs_of(key, x, old):
         """Of rows sorted by key and bits: pairs of those from ``old`` on with any."""
@@ -356,11 +361,11 @@ def candidates(keyed: DataFrame, turn: int = 0) -> DataFrame:
                 before = np.arange(max(start, a - SIGHT + 256), rows[-1] + 1)
                 far = _apart(hi_lo, rows[:, None], before[None, :]).astype(np.int64)
                 far[(before[None, :] == rows[:, None]) | (root[before][None, :] == root[rows][:, None]) | (far > BITS_APART)] = 999
-                nearest = np.argsort(far, axis=1, kind="stable")[:, turn : turn + 1]
+                nearest = np.argsort(far, axis=1, kind="stable")[:, rank : rank + 1]
                 real = np.take_along_axis(far, nearest, 1) < 999
                 found.append((np.broadcast_to(node[rows][:, None], nearest.shape)[real], node[before[nearest]][real]))
         fresh = np.arange(n) >= old
-        return found, np.unique(node[full & fresh])
+        return found, np.unique(node[full & fresh]) if turn == 0 else node[:0]
 
     def run(batches):
         names = ["key", "hi", "lo", "node", "root"]

@@ -32,16 +32,12 @@ hashed bit a bin, carried with the keys, drops pairs that differ in more than
 ``BITS_APART`` of 128 (at 0.8: 12.8 expected, standard error 3.4).  The others are
 verified by their exact sets.
 
-A key can be crowded, so its holders are not all compared.  The rows of all keys are
-dealt by ranges of (key, bits) and streamed in that order, so a hot key is many tasks.
-In a key of up to ``NEAREST`` + 1 holders each meets each.  In a fuller one a holder
-meets, of the ``SIGHT`` around it, the nearest by bits; as a node holds 41 keys, it meets
-a few in all.  Rounds over the holders of full keys follow, a third of the keys each:
-the bits are rotated, so that the order is another one, the nearest that were tried are
-passed over by their rank, each holder meets the one of its key with most links as
-well, and only links between different components are sought.  They end when two rounds
-on end find none.
-Work and rows are in proportion to the holders in each round.
+All pairs that share a key are compared, in the first key that they share.  In a key of
+up to ``NEAREST`` + 1 holders the pairs are rows.  In a fuller one the holders are dealt
+into blocks of about ``SIGHT`` by a hash, each two blocks meet in a task of their own, sets
+included, and only links come out: pairs that are connected already there are passed over,
+all others are verified.  So a hot key is many tasks and makes no rows of pairs; its
+comparisons grow with the square of its holders, its rows with holders times blocks.
 
 Components: alternating large-star and small-star steps on the links, each round
 checkpointed; no link ever reaches the driver.
@@ -55,6 +51,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -228,8 +225,8 @@ BINS = 128
 TRIPLES = 36
 #: Bits of 128 in which candidates may differ.
 BITS_APART = 28
-#: Holders before one that it meets in a key of at most one more; in a fuller key it meets
-#: the nearest by bits of those in sight, another one each round.
+#: Holders of a key, less one, whose pairs are rows; the holders of a fuller key meet in
+#: blocks of about ``SIGHT``.
 NEAREST, SIGHT = 3, 512
 
 
@@ -307,97 +304,95 @@ def candidate_keys(sketches: np.ndarray, segments: np.ndarray) -> tuple[np.ndarr
     return np.hstack([keys, by_words]).view(np.int64), bits
 
 
-def with_keys(prints: DataFrame, turn: int = 0) -> DataFrame:
-    """key, turned, hi, lo, node, root, degree of prints(node, root, degree, segments, sketch),
-    a row for each key of this turn; turned: the word of the bits to sort by, rotated anew each turn."""
+def _ints(column, n: int) -> np.ndarray:
+    """Arrow lists of ``n`` numbers as an array (rows, n) of int32."""
+    return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), np.int32).reshape(-1, n)
+
+
+def with_keys(sets: DataFrame) -> DataFrame:
+    """node, size, hi, lo, keys, a row for each node of sets(node, segments, sketch,
+    shingles) that has a shingle."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, root, degree, segments, sketches = (batch.column(i) for i in range(5))
-            flat = lambda x, n: np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False), np.int32).reshape(-1, n)
-            keys, bits = candidate_keys(flat(sketches, BINS), flat(segments, SEGMENTS))
-            if turn:  # a third of the keys by turns
-                keys = np.ascontiguousarray(keys[:, (turn - 1) % 3 :: 3])
-            word, by = bits[:, turn % 2].view(np.uint64), np.uint64(11 * (turn // 2) % 63 + 1)
-            turned = ((word << by) | (word >> (np.uint64(64) - by))).view(np.int64)
-            spread = [np.repeat(x, keys.shape[1]) for x in (turned, bits[:, 0], bits[:, 1], *map(np.asarray, (node, root, degree)))]
-            for a in range(0, keys.size, 1 << 16):
-                columns = [pa.array(x[a : a + (1 << 16)]) for x in (keys.ravel(), *spread)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "turned", "hi", "lo", "node", "root", "degree"])
-
-    rows = prints.where(F.exists("sketch", lambda v: v != 0)).select("node", "root", "degree", "segments", "sketch")
-    return rows.mapInArrow(run, "key long, turned long, hi long, lo long, node long, root long, degree long")
-
-
-def _apart(x: np.ndarray, i, j) -> np.ndarray:
-    """Differing bits of the rows i and j of x (columns hi, lo first)."""
-    return np.bitwise_count(x[0][i] ^ x[0][j]) + np.bitwise_count(x[1][i] ^ x[1][j])
-
-
-def candidates(keyed: DataFrame, turn: int = 0) -> DataFrame:
-    """(a, b) rows of pairs to verify, and in the first turn (a, null) rows of nodes that
-    hold a full key."""
-    rank = 1 + (turn - 1) // 3 if turn else 0  # how often a key was met before
-
-    def pairs_of(key, x, old):
-        """Of rows sorted by key and bits: pairs of those from ``old`` on with any."""
-        hi_lo, node, root = x[:2], x[2], x[3]
-        n = len(key)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(starts, n))
-        full = np.repeat(sizes > NEAREST + 1, sizes)
-        found = []
-        for back in range(1, NEAREST + 1) if turn == 0 else ():
-            i = np.arange(max(old, back), n)
-            i = i[(key[i] == key[i - back]) & ~full[i]]
-            i = i[_apart(hi_lo, i, i - back) <= BITS_APART]
-            found.append((node[i], node[i - back]))
-        many = sizes > NEAREST + 1
-        for start, size in zip(starts[many].tolist(), sizes[many].tolist()):
-            for a in range(max(start, old), start + size, 256):
-                rows = np.arange(a, min(a + 256, start + size))
-                before = np.arange(max(start, a - SIGHT + 256), rows[-1] + 1)
-                far = _apart(hi_lo, rows[:, None], before[None, :]).astype(np.int64)
-                far[(before[None, :] == rows[:, None]) | (root[before][None, :] == root[rows][:, None]) | (far > BITS_APART)] = 999
-                nearest = np.argsort(far, axis=1, kind="stable")[:, rank : rank + 1]
-                real = np.take_along_axis(far, nearest, 1) < 999
-                found.append((np.broadcast_to(node[rows][:, None], nearest.shape)[real], node[before[nearest]][real]))
-        fresh = np.arange(n) >= old
-        return found, np.unique(node[full & fresh]) if turn == 0 else node[:0]
+            node, size, segments, sketches = batch.columns
+            keys, bits = candidate_keys(_ints(sketches, BINS), _ints(segments, SEGMENTS))
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
+            columns = [node, size, pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "hi", "lo", "keys"])
+
+    rows = sets.where(F.exists("sketch", lambda v: v != 0)).select("node", F.size("shingles").alias("size"), "segments", "sketch")
+    return rows.mapInArrow(run, "node long, size int, hi long, lo long, keys array<long>").dropDuplicates(["node"])
+
+
+def shared_keys(made: DataFrame) -> DataFrame:
+    """key, slot, node, n of keys with n > 1 holders, of the rows of :func:`with_keys`."""
+    rows = made.select("node", F.posexplode("keys").alias("slot", "key"))
+    held = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    return held.where(F.col("n") > 1).select("key", "slot", "node", "n")
 
-    def run(batches):
-        names = ["key", "hi", "lo", "node", "root"]
-        held, old = [np.empty(0, np.int64)] * 5, 0
-        for batch in batches:
-            arrays = [np.concatenate([h, np.asarray(batch.column(names.index(c)), np.int64)]) for c, h in zip(names, held)]
-            key = arrays[0]
-            if not len(key):
-                continue
-            found, crowded = pairs_of(key, [arrays[1].view(np.uint64), arrays[2].view(np.uint64), arrays[3], arrays[4]], old)
-            a = np.concatenate([x for x, _ in found] or [np.empty(0, np.int64)])
-            b = np.concatenate([y for _, y in found] or [np.empty(0, np.int64)])
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            both = both[both[:, 0] != both[:, 1]]
-            ends = pa.concat_arrays([pa.array(both[:, 1].copy()), pa.nulls(len(crowded), pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([both[:, 0], crowded])), ends], names=["a", "b"])
-            # the last key may go on in the next batch
-            others = np.flatnonzero(key != key[-1])
-            last = max(int(others[-1]) + 1 if len(others) else 0, len(key) - SIGHT)
-            held, old = [x[last:] for x in arrays], len(key) - last
-
-    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartitionByRange(tasks, "key", "turned", "node").sortWithinPartitions("key", "turned", "node")
-    return dealt.select("key", "hi", "lo", "node", "root").mapInArrow(run, "a long, b long").distinct()
-
-
-def hub_pairs(keyed: DataFrame) -> DataFrame:
-    """(a, b): each holder of a key and the holder with most links, if in another component."""
-    hubs = keyed.where("degree > 0").groupBy("key").agg(F.max(F.struct("degree", "node", "root", "hi", "lo")).alias("hub"))
-    met = keyed.join(hubs, "key").where(F.col("root") != F.col("hub.root"))
-    apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("hub.hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("hub.lo")))
-    return met.where(apart <= BITS_APART).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+def candidates(shared: DataFrame, made: DataFrame) -> DataFrame:
+    """(a, b) of all pairs to verify that share a key of few holders."""
+    few = shared.where(F.col("n") <= NEAREST + 1).join(made.select("node", "size", "hi", "lo"), "node")
+    held = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "size", "hi", "lo"))).alias("holders"))
+    pairs = held.select(F.explode(F.flatten(F.transform("holders", lambda x, i: F.transform(F.slice(F.col("holders"), i + 2, NEAREST + 1), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
+    apart = distance(F.col("a.hi"), F.col("b.hi")) + distance(F.col("a.lo"), F.col("b.lo"))
+    alike = 5 * F.least("a.size", "b.size") >= 4 * F.greatest("a.size", "b.size")
+    return pairs.where((apart <= BITS_APART) & alike).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def near_in_blocks(keys, bits, sizes, flat, slot: int, at, pair) -> list[tuple[int, int]]:
+    """Links (i, j) that connect what all near pairs of two blocks of a key's holders do.
+
+    ``at``: the block of each holder; ``pair``: the two blocks, the same one for the pairs
+    within it.  ``flat``: the sorted shingles of all holders, ``sizes`` of each.
+    """
+    hi, lo = bits[:, 0].view(np.uint64), bits[:, 1].view(np.uint64)
+    ends = np.cumsum(sizes)
+    left, right = np.flatnonzero(at == pair[0]), np.flatnonzero(at == pair[1])
+    group, links = np.arange(len(sizes)), []
+    for i in left.tolist():
+        js = right[(group[right] != group[i]) & (right > i if pair[0] == pair[1] else True)]
+        js = js[np.bitwise_count(hi[js] ^ hi[i]) + np.bitwise_count(lo[js] ^ lo[i]) <= BITS_APART]
+        js = js[5 * np.minimum(sizes[js], sizes[i]) >= 4 * np.maximum(sizes[js], sizes[i])]
+        js = js[(keys[js] == keys[i]).argmax(1) == slot]  # other pairs meet in an earlier key
+        if not len(js):
+            continue
+        own = flat[ends[i] - sizes[i] : ends[i]]
+        others = np.concatenate([flat[ends[j] - sizes[j] : ends[j]] for j in js.tolist()])
+        hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+        common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes[js])[:-1]]), dtype=np.int64)
+        js = js[9 * common >= 4 * (sizes[js] + sizes[i])]
+        _, one = np.unique(group[js], return_index=True)
+        links += [(i, j) for j in js[one].tolist()]
+        group[np.isin(group, group[js])] = group[i]
+    return links
+
+
+def crowd_links(shared: DataFrame, sets: DataFrame, shelf: Shelf) -> DataFrame:
+    """(a, b): links of the same components as all near pairs that share a full key."""
+    full = shared.where(F.col("n") > NEAREST + 1)
+    used = shelf.store(full.select("node").distinct())
+    moved = sets.select("node", "segments", "sketch", "shingles").join(maybe_broadcast(used), "node", "left_semi").dropDuplicates(["node"])
+    count = F.ceil(F.col("n") / F.lit(SIGHT))
+    dealt = full.withColumn("at", F.pmod(F.xxhash64("node", "slot"), count)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    dealt = dealt.select("node", "key", "slot", "at", F.least("at", "other").alias("one"), F.greatest("at", "other").alias("two"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, at = (table[c].to_numpy() for c in ("node", "at"))
+        segments, sketches, shingles = (table[c].combine_chunks() for c in ("segments", "sketch", "shingles"))
+        keys, bits = candidate_keys(_ints(sketches, BINS), _ints(segments, SEGMENTS))
+        sizes = pa.compute.list_value_length(shingles).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = shingles.flatten().to_numpy(zero_copy_only=False)
+        slot, *pair = (table[c][0].as_py() for c in ("slot", "one", "two"))
+        links = np.array(near_in_blocks(keys, bits, sizes, flat, slot, at, pair), np.int64).reshape(-1, 2)
+        a, b = node[links[:, 0]], node[links[:, 1]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.join(moved, "node").groupBy("key", "one", "two").applyInArrow(meet, "a long, b long").distinct()
 
 
 def exactly_near(pairs: DataFrame, sets: DataFrame, shelf: Shelf) -> DataFrame:
@@ -411,44 +406,16 @@ def exactly_near(pairs: DataFrame, sets: DataFrame, shelf: Shelf) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(9 * common >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
-def near_roots(prints: DataFrame, sets: DataFrame, check=None) -> DataFrame:
-    """(node, root) of linked nodes, of prints(node, segments, sketch), one row a node;
-    ``check`` (pairs, sets, shelf) keeps the pairs that are similar."""
-    spark, check, shelf = prints.sparkSession, check or exactly_near, Shelf(prints.sparkSession)
-    roots, turn, idle = None, 0, 0
-    some = prints.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("degree"), "segments", "sketch")
-    while True:
-        keyed = with_keys(some, turn)
-        tried = candidates(keyed, turn)
-        tried = shelf.store(tried.union(hub_pairs(keyed)).distinct() if turn else tried)
-        links = shelf.store(check(tried.where(F.col("b").isNotNull()), sets, shelf))
-        if turn == 0:
-            crowded = cut(tried.where(F.col("b").isNull()).select(F.col("a").alias("node")))
-        idle = idle + 1 if links.isEmpty() else 0
-        if not idle:
-            met = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-            if roots is None:
-                roots, degrees = components(links), cut(met)
-            else:  # the links join whole components: contract them, then rename their roots
-                named = links.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-                merged = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-                fresh = met.select("node").join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
-                known = roots.union(fresh).union(roots.select("root", "root")).distinct().toDF("node", "old")
-                renamed = known.join(merged.toDF("old", "new"), "old", "left").select("node", F.coalesce("new", "old").alias("root"))
-                roots = cut(renamed.where(F.col("node") != F.col("root")).distinct())
-                degrees = cut(degrees.union(met).groupBy("node").agg(F.sum("degree").alias("degree")))
-        turn += 1
-        shelf.clear()
-        if idle == 2 or crowded.isEmpty():
-            break
-        few = prints.select("node", "segments", "sketch").join(maybe_broadcast(crowded), "node", "left_semi")
-        if roots is None:
-            some = few.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("degree"), "segments", "sketch")
-        else:
-            known = few.join(roots, "node", "left").join(degrees, "node", "left")
-            some = known.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"), "segments", "sketch")
+def near_roots(sets: DataFrame) -> DataFrame:
+    """(node, root) of linked nodes, of sets(node, segments, sketch, shingles); rows of one
+    node are equal."""
+    shelf = Shelf(sets.sparkSession)
+    made = shelf.store(with_keys(sets))
+    shared = shelf.store(shared_keys(made))
+    links = exactly_near(shelf.store(candidates(shared, made)), sets, shelf)
+    roots = components(links.union(crowd_links(shared, sets, shelf)))
     shelf.clear()
-    return roots if roots is not None else spark.createDataFrame([], "node long, root long")
+    return roots
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -457,8 +424,7 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     shelf = Shelf(docs.sparkSession)
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
     marked = shelf.store(with_wide_fingerprint(hashed, ["doc_id", "__hash"], width))
-    one = shelf.store(marked.select("node", "segments", "sketch").dropDuplicates(["node"]))
-    grouped = group_documents(marked.select("doc_id", "__hash", "node"), near_roots(one, marked))
+    grouped = group_documents(marked.select("doc_id", "__hash", "node"), near_roots(marked))
     first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # repeated ids can be the least of more than one component: one row a root
     chosen = first.groupBy("root").agg(F.first("component_id").alias("__id"), F.min("__hash").alias("__keep"))

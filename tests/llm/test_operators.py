@@ -485,6 +485,20 @@ def test_a_crowded_family_against_brute_force(spark, monkeypatch, nearest, sight
     assert sorted(r["doc_id"] for r in simhash.keep_one(table).collect()) == sorted(set(roots))
 
 
+def test_a_full_key_loses_no_pair(spark):
+    """600 texts just below the limit share full keys; a few are near one other, which is
+    not among their nearest by bits."""
+    rng = random.Random(16)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(264)]
+    own = lambda n: ["x%d" % rng.randrange(10**6) for _ in range(n)]
+    texts = [base + own(36) for _ in range(600)]
+    texts += [texts[k][:272] + own(28) for k in range(0, 600, 40)]
+    roots = brute_groups(texts)
+    assert len(set(roots)) == 600
+    table = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)], SCHEMA).repartition(7)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(table).collect()) == list(range(600))
+
+
 def test_a_shared_passage_links_nothing(spark):
     rng = random.Random(6)
     passage = ["p%d" % i for i in range(150)]

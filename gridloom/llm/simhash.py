@@ -56,7 +56,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import Shelf, cut, map_text, maybe_broadcast
+from gridloom.llm.common import BATCH_BYTES, Shelf, cut, map_text, maybe_broadcast
 
 SEED = 42
 #: Holders of a segment value that are all compared with each other.
@@ -269,7 +269,8 @@ def with_wide_fingerprint(docs: DataFrame, carry: list[str], width: int = 5) ->
         return run
 
     fields = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("segments", "sketch", "shingles")]
-    return map_text(docs, make, fields, "text", carry).withColumn("node", F.xxhash64("shingles"))
+    # small batches: the workers live on, with what they have taken, into the next stages
+    return map_text(docs, make, fields, "text", carry, BATCH_BYTES >> 2).withColumn("node", F.xxhash64("shingles"))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
